@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .packing import op2_packing
 from .toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing}
 SQL: dict[str, str] = {}

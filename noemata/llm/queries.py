@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .mixing import op5_mixing
 from .packing import op2_packing
 from .toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op5_mixing": op5_mixing}
 SQL: dict[str, str] = {}

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from heapq import heappop, heappush
 
 import numpy as np
@@ -22,34 +23,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, texts, written
+from .common import slices, table, texts, written
 
-CACHE = 400_000
+CACHE = 1_200_000
 #: Rows of one hash slice of a length, about; placements up to which they are broadcast.
 SLICE, BROADCAST = 100_000, 200_000
 
 
+#: Ids of words by vocabulary; lives as long as the Python worker, over its tasks.
+_KEPT: dict[str, dict[bytes, bytes]] = {}
+MARKS = (46, 44)  # full stop and comma
+
+
 class Ids:
-    """Token ids as little-endian 32-bit bytes. White space never lies within a token, so stretches between it are encoded once and remembered (a bounded number of them)."""
+    """Token ids as little-endian 32-bit bytes. White space never lies within a token, nor does the border between a letter and a mark, so words are encoded once and remembered (a bounded number of them)."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.kept: dict[bytes, bytes] = {}
-
-    def of(self, text: bytes) -> bytes:
-        kept, parts = self.kept, text.split()
-        try:
-            return b"".join(map(kept.__getitem__, parts))
-        except KeyError:
-            if len(kept) > CACHE:
-                kept.clear()
-            new = [x for x in dict.fromkeys(parts) if x not in kept]
-            encoded = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)
-            kept.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(new, encoded, strict=True))
-            return b"".join(map(kept.__getitem__, parts))
+        self.kept = _KEPT.setdefault(vocabulary, {})
+
+        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words of letters alone are encoded in one text, as each of them ends with the next token that ends a word; the others one by one."""
+        read = [x.decode("utf-8", "replace") for x in words]
+        plain = [k for k, x in enumerate(read) if x.isalpha()]
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = self.tokenizer.encode(" ".join([read[k] for k in some]), add_special_tokens=False).ids
+            stops = [k + 1 for k, i in enumerate(ids) if i in self.ends]
+            if len(stops) == len(some):
+                packed, start = array("I", ids).tobytes(), 0
+                for k, stop in zip(some, stops, strict=True):
+                    self.kept[words[k]] = packed[4 * start : 4 * stop]
+                    start = stop
+        rest = [k for k, x in enumerate(words) if x not in self.kept]
+        encoded = self.tokenizer.encode_batch_fast([read[k] for k in rest], add_special_tokens=False)
+        self.kept.update((words[k], array("I", e.ids).tobytes()) for k, e in zip(rest, encoded, strict=True))
+
+    def of(self, some: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        # The vocabulary is of lower case; only its special tokens are told by case.
+        kept, parts = self.kept, [(t if b"<|" in t else t.lower()).split() for t in some]
+        if len(kept) > CACHE:
+            kept.clear()
+        new = [x for x in set().union(*parts) if x not in kept]
+        marked = [x for x in new if x[-1] in MARKS and len(x) > 1 and 97 <= x[-2] <= 122]
+        if new:
+            self._learn([x for x in dict.fromkeys([b".", b",", *(x[:-1] for x in marked)]) if x not in kept])
+            kept.update((x, kept[x[:-1]] + kept[x[-1:]]) for x in marked)
+            self._learn([x for x in new if x not in kept])
+        return [b"".join(map(kept.__getitem__, p)) for p in parts]
 
 
 def _vocabulary(name: str) -> str:
@@ -64,10 +91,10 @@ def pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int, with_ids:
 
     def cut(batches):
         encoder = Ids(_vocabulary(vocabulary))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                ids = encoder.of(text) + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.of(texts(batch)), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, length):
                     piece = ids[4 * start : 4 * (start + length)]

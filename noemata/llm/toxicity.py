@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 3000, max_windo
     n_toxic = sum(t for _, t in chosen)
     if not n_toxic:
         return {"none": True}
-    sample = docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int")), "doc_id").select("toxic", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int")), "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text")
 
     def windows(batches):
         held: tuple[Counter, Counter] = (Counter(), Counter())

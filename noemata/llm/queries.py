@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .mixing import op5_mixing
 from .packing import op2_packing
+from .quality import op8_quality_rules
 from .toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op5_mixing": op5_mixing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op5_mixing": op5_mixing, "op8_quality_rules": op8_quality_rules}
 SQL: dict[str, str] = {}

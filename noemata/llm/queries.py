@@ -6,6 +6,8 @@ from .mixing import op5_mixing
 from .packing import op2_packing
 from .quality import op8_quality_rules
 from .toxicity import op1_toxicity
+from .urls import op10_url_filters
+from .vectors import op6_nearest_neighbours
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op5_mixing": op5_mixing, "op8_quality_rules": op8_quality_rules}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op5_mixing, op6_nearest_neighbours, op8_quality_rules, op10_url_filters)}
 SQL: dict[str, str] = {}

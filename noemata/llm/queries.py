@@ -6,9 +6,10 @@ from .mixing import op5_mixing
 from .packing import op2_packing
 from .quality import op8_quality_rules
 from .simhash import op7_simhash
+from .suffixes import op4_suffix_dedup
 from .toxicity import op1_toxicity
 from .urls import op10_url_filters
 from .vectors import op6_nearest_neighbours
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op5_mixing, op6_nearest_neighbours, op7_simhash, op8_quality_rules, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op4_suffix_dedup, op5_mixing, op6_nearest_neighbours, op7_simhash, op8_quality_rules, op10_url_filters)}
 SQL: dict[str, str] = {}

@@ -11,8 +11,8 @@ then added as a level; levels of equal size merge, so there are logarithmically
 hashes of the compared bytes rather than by the bytes, which finds the same matches in fixed-size rows.
 
 Two rounds. First whole contexts: of equal ones all but the first are repeats from end to end, which settles the inside of
-repeated passages. Only where different contexts share an anchor (at the ends of passages) every string of the context is
-a suffix of its own in a second round. Before anything is shuffled, each task settles what repeats within its own rows and
+repeated passages. Only where different contexts share an anchor (at the ends of passages) a second round looks closer: up to PAIRED
+contexts of an anchor are compared in pairs, byte by byte; with more, every string of them is a suffix of its own. Before anything is shuffled, each task settles what repeats within its own rows and
 sends one row for each context or string, so a passage that a third of all documents hold costs a row for each task.
 
 Cases: null or empty texts, and texts shorter than `length`, lose nothing; rows of the same id are one document, so equal
@@ -34,7 +34,7 @@ from .common import table, texts, written
 U = np.uint64
 LENGTH, GRAM = 100, 32
 #: Bytes of text worked on at once; suffixes settled at once before the shuffle; suffixes of one batch of the family.
-CHUNK, LOCAL, BATCH = 1 << 21, 1_000_000, 1 << 16
+CHUNK, LOCAL, BATCH = 1 << 21, 1_000_000, 1 << 18
 LAST_ID = (1 << 63) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _TABLES = np.random.default_rng(17).integers(1, 1 << 63, (2, 256), dtype=np.int64).view(U)
@@ -104,8 +104,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> np.nd
     return np.flatnonzero(most[: len(h)] == h)
 
 
-def units(ids: np.ndarray, found: list[bytes], length: int, gram: int):
-    """Groups of (document place, bytes, offset in the document, document's size) of about CHUNK bytes; long documents in stretches that overlap by what contexts need."""
+def units(found: list[bytes], length: int):
+    """Groups of (row, bytes, their offset in the document, the document's size, where its own anchors begin) of about CHUNK bytes. Long documents go in stretches that overlap by what contexts need."""
     group, held = [], 0
     margin = 2 * length
     for i, text in enumerate(found):
@@ -116,10 +116,8 @@ def units(ids: np.ndarray, found: list[bytes], length: int, gram: int):
             if group and held + hi - lo > CHUNK:
                 yield group
                 group, held = [], 0
-            group.append((i, text[lo:hi] if (lo, hi) != (0, len(text)) else text, lo, len(text)))
+            group.append((i, text[lo:hi], lo, len(text), start))
             held += hi - lo
-            if start + CHUNK + margin >= len(text):
-                break
     if group:
         yield group
 
@@ -131,54 +129,65 @@ class Family:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     @staticmethod
-    def _merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        k1, k2 = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-        order = np.lexsort((k2, k1))
-        return k1[order], k2[order], order
+    def _array(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        """The order of a suffix array: by the first half; by both where the first halves of different keys coincide."""
+        order = np.argsort(k1, kind="stable")
+        a, b = k1[order], k2[order]
+        return np.lexsort((k2, k1)) if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any() else order
 
     def add(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-        order = np.lexsort((k2, k1))
+        order = self._array(k1, k2)
         k1, k2 = k1[order], k2[order]
-        again = np.zeros(len(k1), bool)
-        again[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
-        new = (k1[~again], k2[~again])
-        places = np.flatnonzero(~again)
-        for level in self.levels:  # merge-scan: a key of the batch right behind an equal one of the level
-            m1, m2, at = self._merge(level, new)
-            hit = np.flatnonzero((m1[1:] == m1[:-1]) & (m2[1:] == m2[:-1])) + 1
-            again[places[at[hit] - len(level[0])]] = True
-        # A run of equal keys is known as a whole where its first is.
-        first = np.maximum.accumulate(np.where(np.isin(np.arange(len(k1)), places), np.arange(len(k1)), 0)) if len(k1) else places
-        known = again[first] if len(k1) else again
-        again |= known
-        fresh = places[~again[places]]
-        if len(fresh):
-            self.levels.append((k1[fresh], k2[fresh]))
+        turn = np.ones(len(k1), bool)
+        turn[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        first = np.flatnonzero(turn)
+        new1, new2 = k1[first], k2[first]
+        known = np.zeros(len(first), bool)
+        for m1, m2 in self.levels:  # merge-scan
+            at = np.searchsorted(m1, new1)
+            while True:
+                at = np.minimum(at, len(m1) - 1)
+                same = m1[at] == new1
+                known |= same & (m2[at] == new2)
+                on = same & (m2[at] < new2) & (at + 1 < len(m1))
+                if not on.any():
+                    break
+                at += on
+        if not known.all():
+            self.levels.append((new1[~known], new2[~known]))
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            a, b = self.levels.pop(), self.levels.pop()
-            self.levels.append(self._merge(b, a)[:2])
+            (b1, b2), (a1, a2) = self.levels.pop(), self.levels.pop()
+            m1, m2 = np.concatenate([a1, b1]), np.concatenate([a2, b2])
+            by = self._array(m1, m2)
+            self.levels.append((m1[by], m2[by]))
+        again = ~turn
+        again |= known[np.cumsum(turn) - 1]
         out = np.zeros(len(k1), bool)
         out[order] = again
         return out
 
 
-def repeated(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Which rows have a row of the same key and smaller (doc, lo). Rows at the same place are one occurrence."""
-    order = np.lexsort((lo, doc))
-    family, out = Family(), np.zeros(len(k1), bool)
-    start = 0
-    while start < len(order):
-        stop = min(len(order), start + BATCH)
-        at = order[start:stop]
-        out[at] = family.add(k1[at], k2[at])
-        start = stop
-    if out.any():  # a row told as repeated may stand at the place of the key's first row itself
-        by = np.lexsort((lo, doc, k2, k1))
-        a, b, d, p = k1[by], k2[by], doc[by], lo[by]
-        turn = np.ones(len(by), bool)
-        turn[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first = np.maximum.accumulate(np.where(turn, np.arange(len(by)), 0))
-        out[by[(d == d[first]) & (p == p[first])]] = False
+def repeated(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which rows have a row of the same key and smaller (doc, place). Rows of the same key at the same place are one occurrence."""
+    n = len(k1)
+    if not n:
+        return np.zeros(0, bool)
+    order = np.arange(n)
+    if ((doc[1:] < doc[:-1]) | ((doc[1:] == doc[:-1]) & (place[1:] < place[:-1]))).any():
+        order = np.lexsort((place, doc))
+    if ((doc[order][1:] == doc[order][:-1]) & (place[order][1:] == place[order][:-1])).any():
+        order = np.lexsort((k2, k1, place, doc))
+    key = _mix(k1 + k2 * U(0x9E3779B97F4A7C15))[order]  # for a given k2 as good as k1
+    k2, doc, place = k2[order], doc[order], place[order]
+    own = np.ones(n, bool)
+    own[1:] = (key[1:] != key[:-1]) | (k2[1:] != k2[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+    family, at = Family(), np.flatnonzero(own)
+    again = np.zeros(len(at), bool)
+    for start in range(0, len(at), BATCH):
+        some = at[start : start + BATCH]
+        again[start : start + BATCH] = family.add(key[some], k2[some])
+    out = np.zeros(n, bool)
+    out[order] = again[np.cumsum(own) - 1]
     return out
 
 
@@ -200,21 +209,36 @@ def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
 
 
 SCHEMA = "route long, kind int, k1 long, k2 long, doc long, lo long, hi long"
-#: A suffix to be compared; a stretch that repeats; a context whose strings must be compared.
-SUFFIX, STRETCH, OPEN = 0, 1, 2
+#: A suffix to be compared; a stretch lo..hi that repeats; a context to be compared byte by byte with the others of its
+#: anchor; a context whose anchor has too many others for that, to be compared string by string.
+SUFFIX, STRETCH, FEW, MANY = range(4)
+#: Contexts of one anchor up to which they are compared in pairs.
+PAIRED = 128
 
 
-def _rows(kind: int, route: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, k1: np.ndarray | None = None, k2: np.ndarray | None = None) -> pa.RecordBatch:
+def _rows(kind: int, route, doc, lo, hi, k1=None, k2=None, extra=None) -> pa.RecordBatch:
+    """For a suffix and a context lo is its place, and hi has in its halves how far it reaches to the left and to the right."""
     none = np.zeros(len(doc), np.int64)
-    columns = [route, np.full(len(doc), kind, np.int32), none if k1 is None else k1.view(np.int64), none if k2 is None else k2.view(np.int64), doc, lo, hi]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["route", "kind", "k1", "k2", "doc", "lo", "hi"])
+    columns = [pa.array(c) for c in (route, np.full(len(doc), kind, np.int32), none if k1 is None else k1.view(np.int64), none if k2 is None else k2.view(np.int64), doc, lo, hi)]
+    names = ["route", "kind", "k1", "k2", "doc", "lo", "hi"]
+    if extra is not None:
+        columns, names = [*columns, extra], [*names, "bytes"]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _reach(left, right):
+    return (left << 32) | right
+
+
+def _stretch(place: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return place - (reach >> 32), place + (reach & 0xFFFFFFFF)
 
 
 class Local:
     """Suffixes of one task. flush() settles what repeats among them and passes on one row for each key."""
 
-    def __init__(self):
-        self.parts, self.count = [], 0
+    def __init__(self, with_bytes: bool = False):
+        self.parts, self.count, self.with_bytes = [], 0, with_bytes
 
     def add(self, *columns: np.ndarray) -> bool:
         self.parts.append(columns)
@@ -224,15 +248,15 @@ class Local:
     def flush(self):
         if not self.parts:
             return
-        k1, k2, doc, lo, hi = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        k1, k2, doc, place, reach = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         self.parts, self.count = [], 0
-        again = repeated(k1, k2, doc, lo)
-        d, a, b = merged(doc[again], lo[again], hi[again])
+        again = repeated(k1, k2, doc, place)
+        none = lambda n: pa.nulls(n, pa.binary()) if self.with_bytes else None
+        d, a, b = merged(doc[again], *_stretch(place[again], reach[again]))
         if len(d):
-            yield _rows(STRETCH, d * 31 + (a >> 12), d, a, b)
+            yield _rows(STRETCH, d * 31 + (a >> 12), d, a, b, extra=none(len(d)))
         once = ~again
-        route = k1[once].view(np.int64)
-        yield _rows(SUFFIX, route, doc[once], lo[once], hi[once], k1[once], k2[once])
+        yield _rows(SUFFIX, k1[once].view(np.int64), doc[once], place[once], reach[once], k1[once], k2[once], extra=none(int(once.sum())))
 
 
 def _contexts(length: int, gram: int):
@@ -240,75 +264,115 @@ def _contexts(length: int, gram: int):
         local, side = Local(), length - gram
         for batch in batches:
             ids, all_texts = np.asarray(batch.column("doc")), texts(batch)
-            for group in units(ids, all_texts, length, gram):
+            for group in units(all_texts, length):
                 data = np.frombuffer(b"".join(g[1] for g in group), np.uint8)
-                ends = np.cumsum([len(g[1]) for g in group])
+                row, offset, size, core = (np.array([g[k] for g in group], np.int64) for k in (0, 2, 3, 4))
+                sizes = np.array([len(g[1]) for g in group], np.int64)
+                ends = np.cumsum(sizes)
                 at = anchors(data, ends, length, gram)
                 which = np.searchsorted(ends, at, "right")
-                begin = ends[which] - np.array([len(g[1]) for g in group])[which]
-                offset, size = (np.array([g[k] for g in group])[which] for k in (2, 3))
-                place = at - begin + offset  # in the document
-                lo, hi = np.maximum(0, place - side), np.minimum(size, place + length)
-                inside = (lo >= offset) & (hi <= offset + ends[which] - begin)  # contexts cut by a stretch are whole in the next
-                at, lo, hi, place, begin, offset, which = (x[inside] for x in (at, lo, hi, place, begin, offset, which))
+                place = at - (ends - sizes)[which] + offset[which]  # in the document
+                mine = (place >= core[which]) & (place < core[which] + CHUNK)  # each anchor once
+                at, which, place = at[mine], which[mine], place[mine]
+                left, right = np.minimum(place, side), np.minimum(size[which] - place, length)
                 key = Hashes(data, 0).of(at, at + gram)
-                context = Hashes(data, 1).of(lo - offset + begin, hi - offset + begin)
-                shape = ((place - lo) * 1024 + (hi - lo)).astype(U)
-                if local.add(key, _mix(context + shape * U(0x9E3779B97F4A7C15)), ids[[group[w][0] for w in which.tolist()]] if len(which) else np.zeros(0, np.int64), lo, hi):
+                context = Hashes(data, 1).of(at - left, at + right) + _reach(left, right).view(U) * U(0x9E3779B97F4A7C15)
+                if local.add(key, _mix(context), ids[row[which]], place, _reach(left, right)):
                     yield from local.flush()
         yield from local.flush()
 
     return found
 
 
-def _strings(length: int):
+def _reopened(length: int):
+    """Open contexts with their bytes, or all strings of them."""
+
     def found(batches):
-        local = Local()
+        local = Local(with_bytes=True)
         for batch in batches:
-            ids = np.asarray(batch.column("doc"))
-            for doc, text, spans in zip(ids.tolist(), texts(batch), batch.column("spans").to_pylist(), strict=True):
-                # The stretches in which strings start, in order and without overlaps.
-                starts = sorted((s["lo"], s["hi"] - length + 1) for s in spans)
-                _, lo, hi = merged(np.zeros(len(starts), np.int64), *(np.array(x, np.int64) for x in zip(*starts, strict=True)))
-                for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
-                    for c in range(a, b, CHUNK):
-                        d = min(b, c + CHUNK)
-                        data = np.frombuffer(text[c : d + length - 1], np.uint8)
-                        place = np.arange(c, d)
-                        if local.add(Hashes(data, 0).all_of(length), Hashes(data, 1).all_of(length), np.full(d - c, doc, np.int64), place, place + length):
-                            yield from local.flush()
+            few = []
+            for doc, text, open_ in zip(batch.column("doc").to_pylist(), texts(batch), batch.column("open").to_pylist(), strict=True):
+                starts = []
+                for x in open_:
+                    lo, hi = x["lo"] - (x["hi"] >> 32), x["lo"] + (x["hi"] & 0xFFFFFFFF)
+                    if x["kind"] == FEW:
+                        few.append((x["k1"], doc, x["lo"], x["hi"], text[lo:hi]))
+                    else:
+                        starts.append((lo, hi - length + 1))
+                if starts:  # the stretches in which strings start, without overlaps
+                    _, lo, hi = merged(np.zeros(len(starts), np.int64), *(np.array(x, np.int64) for x in zip(*starts, strict=True)))
+                    for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+                        for c in range(a, b, CHUNK):
+                            d = min(b, c + CHUNK)
+                            data = np.frombuffer(text[c : d + length - 1], np.uint8)
+                            if local.add(Hashes(data, 0).all_of(length), Hashes(data, 1).all_of(length), np.full(d - c, doc, np.int64), np.arange(c, d), np.full(d - c, length, np.int64)):
+                                yield from local.flush()
+            if few:
+                k1, doc, lo, hi, own = zip(*few, strict=True)
+                k1 = np.array(k1, np.int64)
+                yield _rows(FEW, k1, np.array(doc, np.int64), np.array(lo, np.int64), np.array(hi, np.int64), k1, extra=pa.array(own, pa.binary()))
         yield from local.flush()
 
     return found
 
 
-def _settle(with_open: bool):
-    """Suffixes dealt out by key: stretches that repeat and, where asked for, contexts that share an anchor with others."""
+def paired(key: np.ndarray, doc: np.ndarray, place: np.ndarray, reach: np.ndarray, own: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of at least `length` bytes around the anchor that a context shares with an earlier one of the same key."""
+    order = np.lexsort((place, doc, key))
+    key, doc, place, reach = key[order], doc[order], place[order], reach[order]
+    side, n = length - gram, len(key)
+    # Contexts with their anchors at one place; what a context lacks at the borders of its document equals nothing.
+    grid = np.full((n, side + length), 256, np.int16)
+    left, right = reach >> 32, reach & 0xFFFFFFFF
+    for i, k in enumerate(order.tolist()):
+        grid[i, side - left[i] : side + right[i]] = np.frombuffer(own[k], np.uint8)
+    out = []
+    for step in range(1, n):
+        later = np.flatnonzero(key[step:] == key[:-step]) + step
+        if not len(later):
+            break
+        later = later[(doc[later] != doc[later - step]) | (place[later] != place[later - step])]
+        for start in range(0, len(later), 20_000):
+            i = later[start : start + 20_000]
+            differs = (grid[i] != grid[i - step]) | (grid[i] == 256)
+            before, after = differs[:, side - 1 :: -1] if side else differs[:, :0], differs[:, side:]
+            # Pads at the ends stop the count where nothing differs.
+            one = np.ones((len(i), 1), bool)
+            back, on = np.argmax(np.hstack([before, one]), 1), np.argmax(np.hstack([after, one]), 1)
+            hit = (back + on >= length) & (on >= gram)
+            out.append((doc[i][hit], (place[i] - back)[hit], (place[i] + on)[hit]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _settle(length: int, gram: int, last: bool):
+    """Suffixes dealt out by key: stretches that repeat and, but for the last round, contexts that share an anchor with others."""
 
     def settled(batches):
         rows = pa.Table.from_batches(list(batches))
         if not rows.num_rows:
             return
         kind, k1, k2, doc, lo, hi = (np.asarray(rows.column(c).combine_chunks()) for c in ("kind", "k1", "k2", "doc", "lo", "hi"))
-        done = kind == STRETCH
-        of = ~done
-        k1, k2 = k1[of].view(U), k2[of].view(U)
-        again = repeated(k1, k2, doc[of], lo[of])
-        d, a, b = merged(*(np.concatenate([x[done], x[of][again]]) for x in (doc, lo, hi)))
+        done, of, few = kind == STRETCH, kind == SUFFIX, kind == FEW
+        parts = [(doc[done], lo[done], hi[done])]
+        again = repeated(k1[of].view(U), k2[of].view(U), doc[of], lo[of])
+        parts.append((doc[of][again], *_stretch(lo[of][again], hi[of][again])))
+        if few.any():
+            own = rows.column("bytes").filter(pa.array(few)).to_pylist()
+            parts.append(paired(k1[few], doc[few], lo[few], hi[few], own, length, gram))
+        d, a, b = merged(*(np.concatenate(c) for c in zip(*parts, strict=True)))
         yield _rows(STRETCH, d, d, a, b)
-        if with_open:
-            once = ~again
-            k1, k2, doc, lo, hi = k1[once], k2[once], doc[of][once], lo[of][once], hi[of][once]
-            order = np.lexsort((k2, k1))
-            s1, s2 = k1[order], k2[order]
+        if not last:
+            once = np.flatnonzero(of)[~again]
+            # One row for a context, of the least place; then the anchors that several contexts have.
+            once = once[np.lexsort((lo[once], doc[once], k2[once], k1[once]))]
+            s1, s2 = k1[once], k2[once]
             turn = np.ones(len(s1), bool)
             turn[1:] = s1[1:] != s1[:-1]
-            group = np.cumsum(turn) - 1
-            differs = np.zeros(len(s1), np.int64)
-            differs[1:] = (s1[1:] == s1[:-1]) & (s2[1:] != s2[:-1])
-            several = np.bincount(group, differs, minlength=1)[group] > 0 if len(s1) else turn
-            at = order[several]
-            yield _rows(OPEN, doc[at], doc[at], lo[at], hi[at])
+            new = turn.copy()
+            new[1:] |= s2[1:] != s2[:-1]
+            number = np.bincount(np.cumsum(turn) - 1, new)[np.cumsum(turn) - 1] if len(s1) else np.zeros(0)
+            for what, at in ((FEW, once[(number > 1) & (number <= PAIRED)]), (MANY, once[number > PAIRED])):
+                yield _rows(what, doc[at], doc[at], lo[at], hi[at], k1[at])
 
     return settled
 
@@ -316,15 +380,14 @@ def _settle(with_open: bool):
 def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(doc, text) and (doc, spans): the stretches of each document that repeat, as an array of (lo, hi), which may overlap."""
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text")
-    first = named.mapInArrow(_contexts(length, gram), SCHEMA).repartition("route").mapInArrow(_settle(True), SCHEMA)
-    first = written(first.select("kind", "doc", "lo", "hi"), "contexts")
-    spans = F.collect_list(F.struct("lo", "hi")).alias("spans")
-    open_ = first.where(F.col("kind") == OPEN).groupBy("doc").agg(spans)
-    # Equal joins on doc in one plan: the texts are shuffled once for this and for what uses the result.
-    strings = named.join(open_, "doc").mapInArrow(_strings(length), SCHEMA)
-    second = strings.repartition("route").mapInArrow(_settle(False), SCHEMA)
+    first = named.mapInArrow(_contexts(length, gram), SCHEMA).repartition("route").mapInArrow(_settle(length, gram, False), SCHEMA)
+    first = written(first.select("kind", "k1", "doc", "lo", "hi"), "contexts")
+    open_ = first.where(F.col("kind") != STRETCH).groupBy("doc").agg(F.collect_list(F.struct("kind", "k1", "lo", "hi")).alias("open"))
+    # Equal exchanges of the texts by doc in one plan: they are shuffled once for this and for what uses the result.
+    again = named.join(open_, "doc").mapInArrow(_reopened(length), SCHEMA + ", bytes binary")
+    second = again.repartition("route").mapInArrow(_settle(length, gram, True), SCHEMA)
     both = first.where(F.col("kind") == STRETCH).select("doc", "lo", "hi").unionAll(second.select("doc", "lo", "hi"))
-    return named, both.groupBy("doc").agg(spans)
+    return named, both.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def _runs(spans: list | None) -> list[tuple[int, int]]:

@@ -97,16 +97,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    names = docs.columns
+    names, own = docs.columns, ["_mix_id", "_mix_source", "_mix_size"]
     taken = mix(docs, **options).groupBy("doc_id", "source_key", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    keyed = docs.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("size", words("text")) if "source_key" not in names and "size" not in names else None
-    if keyed is None:
-        raise ValueError("documents may not have columns source_key or size")
-    # Rows alike take their share of the copies by their place among them.
-    joined = keyed.join(taken, ["doc_id", "source_key", "size"])
-    place = F.row_number().over(Window.partitionBy("doc_id", "source_key", "size").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names])))
-    copies = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("long")
-    return joined.withColumn("_place", F.when(F.col("_rows") > 1, place).otherwise(1)).withColumn("_n", copies).where("_n > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[F.col(f"`{c}`") for c in names])
+    taken = taken.where("_copies > 0").toDF(*own, "_copies", "_rows")
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("doc_id").alias(own[0]), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias(own[1]), words("text").alias(own[2]))
+    # A null id equals another here; rows alike take their share of the copies by their place among them.
+    same = inner["_mix_id"].eqNullSafe(taken["_mix_id"]) & (inner["_mix_source"] == taken["_mix_source"]) & (inner["_mix_size"] == taken["_mix_size"])
+    joined = inner.join(taken, same)
+    alike = Window.partitionBy(inner["_mix_id"], inner["_mix_source"], inner["_mix_size"]).orderBy(F.xxhash64(*[F.col(f"c{i}") for i in range(len(names))]))
+    once = joined.where("_rows = 1").select(*[f"c{i}" for i in range(len(names))], F.col("_copies").alias("_n"))
+    several = joined.where("_rows > 1").withColumn("_place", F.row_number().over(alike))
+    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_place") <= F.col("_copies") % F.col("_rows")).cast("long")
+    several = several.select(*[f"c{i}" for i in range(len(names))], share.cast("long").alias("_n")).where("_n > 0")
+    rows = once.unionAll(several) if taken.where("_rows > 1").take(1) else once
+    return rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -377,10 +377,10 @@ def _settle(length: int, gram: int, last: bool):
     return settled
 
 
-def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(doc, text) and (doc, spans): the stretches of each document that repeat, as an array of (lo, hi), which may overlap."""
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text")
-    first = named.mapInArrow(_contexts(length, gram), SCHEMA).repartition("route").mapInArrow(_settle(length, gram, False), SCHEMA)
+def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[F.Column, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(doc, text, columns to keep) and (doc, spans): the stretches of each document that repeat, as an array of (lo, hi), which may overlap."""
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text", *keep)
+    first = named.select("doc", "text").mapInArrow(_contexts(length, gram), SCHEMA).repartition("route").mapInArrow(_settle(length, gram, False), SCHEMA)
     first = written(first.select("kind", "k1", "doc", "lo", "hi"), "contexts")
     open_ = first.where(F.col("kind") != STRETCH).groupBy("doc").agg(F.collect_list(F.struct("kind", "k1", "lo", "hi")).alias("open"))
     # Equal exchanges of the texts by doc in one plan: they are shuffled once for this and for what uses the result.
@@ -424,5 +424,38 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     return named.join(spans, "doc", "left").mapInArrow(measured, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _whole(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs without the characters that they hold in part."""
+    out = []
+    for lo, hi in runs:
+        while lo < hi and text[lo] & 0xC0 == 0x80:
+            lo += 1
+        while hi > lo and hi < len(text) and text[hi] & 0xC0 == 0x80:
+            hi -= 1
+        if lo < hi:
+            out.append((lo, hi))
+    return out
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The rows of docs, with repeated passages taken out of text (characters held in part stay) and n_chars, where there is one, as the text then has."""
+    names, null = docs.columns, F.col("text").isNull()
+    named, spans = stretches(docs, length, gram, (null.alias("_null"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"]))
+    joined = named.join(spans, "doc", "left").drop("doc")
+    kept = [c for c in joined.columns if c not in ("text", "spans", "_null")]
+    schema = "text string" + "".join(f", {c} {joined.schema[c].dataType.simpleString()}" for c in kept)
+
+    def shortened(batches):
+        for batch in batches:
+            out = []
+            for text, none, found in zip(texts(batch), batch.column("_null").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                out.append(None if none else _keep(text, _whole(text, _runs(found))).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *[batch.column(c) for c in kept]], names=["text", *kept])
+
+    found = joined.mapInArrow(shortened, schema)
+    value = lambda i, c: F.col("text") if c == "text" else F.length("text").cast("long") if c == "n_chars" else F.col(f"c{i}")
+    return found.select(*[value(i, c).alias(c) for i, c in enumerate(names)])
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -67,9 +70,9 @@ def flat(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.nd
 
 def slices(batch: pa.RecordBatch, most: int = 8 << 20, column: str = "text"):
     """The batch in row slices of at most so many text bytes each (or one row), so that work arrays stay bounded."""
-    sizes = np.array([len(x) for x in texts(batch, column)] or [0], np.int64)
     if len(batch) == 0:
         return
+    sizes = np.diff(flat(batch, column)[1])
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > most:
@@ -79,5 +82,9 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20, column: str = "text"):
     yield batch.slice(start)
 
 
-def total(df: DataFrame, column: str) -> int:
-    return int(df.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0])
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: Python workers are kept for later tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -14,6 +14,7 @@ each; an empty table gives no piece. Columns of other names are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from heapq import heappop, heappush
@@ -23,16 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts, written
+from .common import release, slices, table, texts, written
 
-CACHE = 1_200_000
+CACHE = 800_000
 #: Rows of one hash slice of a length, about; placements up to which they are broadcast.
 SLICE, BROADCAST = 100_000, 200_000
 
 
 #: Ids of words by vocabulary; lives as long as the Python worker, over its tasks.
 _KEPT: dict[str, dict[bytes, bytes]] = {}
-MARKS = (46, 44)  # full stop and comma
+#: A full stop or comma after a letter, at the end of a word: a token of its own.
+MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\s]|$)")
 
 
 class Ids:
@@ -67,15 +69,12 @@ class Ids:
     def of(self, some: list[bytes]) -> list[bytes]:
         """The ids of each text."""
         # The vocabulary is of lower case; only its special tokens are told by case.
-        kept, parts = self.kept, [(t if b"<|" in t else t.lower()).split() for t in some]
-        if len(kept) > CACHE:
-            kept.clear()
+        kept, parts = self.kept, [(t if b"<|" in t else MARK.sub(rb" \1", t.lower())).split() for t in some]
+        if len(kept) > CACHE:  # the words learned first are the frequent ones
+            for _ in range(len(kept) - CACHE // 2):
+                kept.popitem()
         new = [x for x in set().union(*parts) if x not in kept]
-        marked = [x for x in new if x[-1] in MARKS and len(x) > 1 and 97 <= x[-2] <= 122]
-        if new:
-            self._learn([x for x in dict.fromkeys([b".", b",", *(x[:-1] for x in marked)]) if x not in kept])
-            kept.update((x, kept[x[:-1]] + kept[x[-1:]]) for x in marked)
-            self._learn([x for x in new if x not in kept])
+        self._learn(new)
         return [b"".join(map(kept.__getitem__, p)) for p in parts]
 
 
@@ -91,7 +90,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int, with_ids:
 
     def cut(batches):
         encoder = Ids(_vocabulary(vocabulary))
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.of(texts(batch)), strict=True):
                 ids += end
@@ -103,6 +102,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int, with_ids:
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
+        release()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts, written
+from .common import release, slices, table, texts, written
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
@@ -94,10 +94,11 @@ def features(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1]) + "".join(f", {x} long" for x in FIGURES)
 
     def measured(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, column="_text")):
             found = [figures(t) for t in texts(batch, "_text")]
             columns = list(zip(*found, strict=True)) or [()] * len(FIGURES)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(c, pa.int64()) for c in columns], names=[*keep, *FIGURES])
+        release()
 
     return picked.mapInArrow(measured, schema)
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, texts, written
+from .common import cut, release, slices, table, texts, written
 from .components import components
 
 WIDTH = 64
@@ -58,9 +58,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, print (signed) of every row."""
 
     def printed(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = np.array([fingerprint(t, shingle) for t in texts(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "print"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(printed, "doc_id long, print long")
 

@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts, written
+from .common import release, slices, table, texts, written
 
 U = np.uint64
 LENGTH, GRAM = 100, 32
 #: Bytes of text worked on at once; suffixes settled at once before the shuffle; suffixes of one batch of the family.
-CHUNK, LOCAL, BATCH = 1 << 21, 1_000_000, 1 << 18
+CHUNK, LOCAL, BATCH = 1 << 20, 500_000, 1 << 18
 LAST_ID = (1 << 63) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _TABLES = np.random.default_rng(17).integers(1, 1 << 63, (2, 256), dtype=np.int64).view(U)
@@ -262,7 +262,7 @@ class Local:
 def _contexts(length: int, gram: int):
     def found(batches):
         local, side = Local(), length - gram
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, all_texts = np.asarray(batch.column("doc")), texts(batch)
             for group in units(all_texts, length):
                 data = np.frombuffer(b"".join(g[1] for g in group), np.uint8)
@@ -280,6 +280,7 @@ def _contexts(length: int, gram: int):
                 if local.add(key, _mix(context), ids[row[which]], place, _reach(left, right)):
                     yield from local.flush()
         yield from local.flush()
+        release()
 
     return found
 
@@ -312,6 +313,7 @@ def _reopened(length: int):
                 k1 = np.array(k1, np.int64)
                 yield _rows(FEW, k1, np.array(doc, np.int64), np.array(lo, np.int64), np.array(hi, np.int64), k1, extra=pa.array(own, pa.binary()))
         yield from local.flush()
+        release()
 
     return found
 
@@ -373,6 +375,7 @@ def _settle(length: int, gram: int, last: bool):
             number = np.bincount(np.cumsum(turn) - 1, new)[np.cumsum(turn) - 1] if len(s1) else np.zeros(0)
             for what, at in ((FEW, once[(number > 1) & (number <= PAIRED)]), (MANY, once[number > PAIRED])):
                 yield _rows(what, doc[at], doc[at], lo[at], hi[at], k1[at])
+        release()
 
     return settled
 

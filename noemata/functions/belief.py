@@ -59,16 +59,14 @@ def combined(qs: Column, qr: Column, qu: Column, t: Column) -> Column:
 
 
 def combine(*masses: Column) -> Column:
-    """Combination of the masses of one row."""
-    product = lambda f: _times([f(m) for m in masses])
-    return combined(product(lambda m: m["s"] + m["theta"]), product(lambda m: m["r"] + m["theta"]), product(lambda m: m["u"] + m["theta"]), product(lambda m: m["theta"]))
+    """Combination of the masses of one row. A fold, so that each mass is an expression once and not once for each of its uses."""
+    one = F.struct(*[F.lit(1.0).alias(n) for n in ("qs", "qr", "qu", "t")])
 
+    def times(acc: Column, m: Column) -> Column:
+        products = [acc[q] * (m[n] + m["theta"]) for q, n in (("qs", "s"), ("qr", "r"), ("qu", "u"))]
+        return F.struct(*[p.alias(q) for p, q in zip([*products, acc["t"] * m["theta"]], ("qs", "qr", "qu", "t"), strict=True)])
 
-def _times(xs: list[Column]) -> Column:
-    out = xs[0]
-    for x in xs[1:]:
-        out = out * x
-    return out
+    return F.aggregate(F.array(*masses), one, times, lambda acc: combined(acc["qs"], acc["qr"], acc["qu"], acc["t"]))
 
 
 def combine_rows(m: Column) -> Column:

@@ -61,10 +61,14 @@ def temporal_refs(sentence: Column) -> Column:
     found = []
     for precision, pattern in TEMPORAL:
         hits = F.regexp_extract_all(sentence, F.lit(rf"(?U)\b(?:{pattern})\b"), F.lit(0))
-        found.append(F.transform(hits, lambda t, p=precision: F.struct(t.alias("text"), F.lit(p).alias("precision"), F.lit(TEMPORAL_CONFIDENCE).alias("confidence"))))
+        found.append(F.transform(hits, _as_ref(precision)))
     return F.concat(*found)
 
 
+def _as_ref(precision: str):
+    return lambda t: F.struct(t.alias("text"), F.lit(precision).alias("precision"), F.lit(TEMPORAL_CONFIDENCE).alias("confidence"))
+
+
 def precision(refs: Column) -> Column:
     return F.coalesce(F.get(refs, F.lit(0))["precision"], F.lit("unknown"))
 
@@ -83,9 +87,9 @@ def first_token_span(sentence: Column, tokens: Column) -> Column:
 
 def longest_token_span(sentence: Column, tokens: Column) -> Column:
     """(text, start, end) of the leftmost match of any token, longer ones tried first; null without any."""
-    by_length = F.transform(F.array_sort(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: escaped(x["t"]))
+    by_length = F.transform(F.array_sort(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: escaped(x.getField("t")))
     pattern = F.concat(F.lit(r"(?iU)\b("), F.array_join(by_length, "|"), F.lit(r")\b"))
-    at, text = F.regexp_instr(sentence, pattern), F.regexp_extract(sentence, pattern, 1)
+    at, text = F.regexp_instr(sentence, pattern), F.call_function("regexp_extract", sentence, pattern, F.lit(1))
     return F.when((F.size(tokens) > 0) & (at > 0), F.struct(text.alias("text"), (at - 1).alias("start"), (at - 1 + F.length(text)).alias("end")))
 
 

@@ -58,23 +58,30 @@ def search(claim: DataFrame, facts: DataFrame, edges: DataFrame, **options) -> t
     """Verdict and the nodes of the tree. claim: anchor, activation; facts with seq, importance_score; edges: source, target, anchor."""
     o = SEARCH | options
     roots = claim.where("activation > 0.1").orderBy(F.desc("activation"), "anchor").limit(o["roots"])
-    near = neighbourhood(facts, roots, o["facts"])
-    hop = near.select("seq")
-    seqs = hop
-    for _ in range(o["depth"] - 1):
-        by = Window.partitionBy("source").orderBy("target")
-        hop = edges.join(hop.distinct(), edges["source"] == hop["seq"], "left_semi").withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= o["next_edges"]).select(F.col("target").alias("seq"))
-        seqs = seqs.unionByName(hop)
-    rows = facts.join(seqs.distinct(), "seq", "left_semi")
+    asked = [(r["anchor"], r["activation"]) for r in roots.collect()]
+    spark = facts.sparkSession
+    kind = facts.schema["seq"].dataType.simpleString()
+    frontier = [r["seq"] for r in neighbourhood(facts, spark.createDataFrame(asked, "anchor string, activation double"), o["facts"]).select("seq").distinct().collect()] if asked else []
+    reached, links = set(frontier), []
+    for _ in range(o["depth"] - 1):  # each step's rows are bounded: the step before times next_edges
+        if not frontier:
+            break
+        by = Window.partitionBy("source").orderBy("target", "anchor")
+        here = F.broadcast(spark.createDataFrame([(s,) for s in frontier], f"source {kind}"))
+        step = edges.select("source", "target", "anchor").join(here, "source").withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= o["next_edges"]).collect()
+        links += step
+        frontier = sorted({e["target"] for e in step} - reached)
+        reached |= set(frontier)
+    rows = facts.join(F.broadcast(spark.createDataFrame([(s,) for s in sorted(reached)], f"seq {kind}")), "seq", "left_semi")
     # Bounded: roots * facts * next_edges ** depth rows at most.
     known = {r["seq"]: r for r in rows.select("seq", "subject", "predicate", "object", "polarity", "confidence", "importance_score").collect()}
-    of_edges = edges.join(seqs.distinct(), edges["source"] == F.col("seq"), "left_semi").select("source", "target", "anchor")
-    leads: dict[int, list[tuple[str, int]]] = {}
-    for e in of_edges.orderBy("source", "anchor", "target").collect():
+    leads: dict = {}
+    for e in sorted(links, key=lambda e: (e["source"], e["anchor"], e["target"])):
         if e["target"] in known:
             leads.setdefault(e["source"], []).append((e["anchor"], e["target"]))
     first = sorted(known, key=lambda s: (-known[s]["importance_score"], s))
-    root = Node(tuple(sorted(r["anchor"] for r in roots.collect())), [s for s in first if any(known[s][k] in {a["anchor"] for a in roots.collect()} for k in ("subject", "predicate", "object"))][: o["roots"] * o["facts"]], 0)
+    names = {a for a, _ in asked}
+    root = Node(tuple(sorted(names)), [s for s in first if names & {known[s]["subject"], known[s]["predicate"], known[s]["object"]}][: o["roots"] * o["facts"]], 0)
     nodes, log = [root], []
 
     def evaluate(node: Node) -> list[tuple[float, ...]]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import ACTIVATION, LEAST_CONFIDENCE, ROLE_ACTIVATION, TOP_BY_ROLE, TOP_BY_TYPE
 from ..functions import scores, text
-from ..schema import role_of_type
+from ..schema import grounding, role_of_type
 
 
 def tokens_of(anchors: DataFrame) -> DataFrame:
@@ -113,5 +113,5 @@ def text_facts(documents: DataFrame, anchors: DataFrame, doc: str = "doc_id") ->
         text.fact_id(F.col(doc), F.col("sent_idx"), F.col("subject"), F.col("predicate"), F.col("object")).alias("infon_id"),
         "subject", "predicate", "object", text.affirmed(F.col("sentence")).alias("polarity"), "confidence", F.col(doc).cast("string").alias("doc_id"), "sent_idx", "sentence",
         text.tense(F.col("sentence")).alias("tense"), F.lit("simple").alias("aspect"), refs.alias("temporal_refs"), text.precision(refs).alias("precision"),
-        F.struct(F.lit("text").alias("grounding_type"), F.col(doc).cast("string").alias("doc_id"), F.col("sent_idx").alias("sent_id"), F.lit(0).alias("char_start"), F.length("sentence").alias("char_end"), F.col("sentence").alias("sentence_text")).alias("grounding"),
+        grounding("text", doc_id=F.col(doc), sent_id=F.col("sent_idx"), char_start=F.lit(0), char_end=F.length("sentence"), sentence_text=F.col("sentence")).alias("grounding"),
     )

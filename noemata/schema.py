@@ -123,3 +123,9 @@ def focus(spark: SparkSession) -> DataFrame:
 
 def role_of_type(kind: F.Column) -> F.Column:
     return F.when(kind == "actor", "subject").when(kind == "relation", "predicate").otherwise("object")
+
+
+def grounding(kind: str, **parts: F.Column) -> F.Column:
+    """Where a fact comes from: kind text or ast; what isn't given is null."""
+    names = {"doc_id": "string", "sent_id": "int", "char_start": "int", "char_end": "int", "sentence_text": "string", "file_path": "string", "line_number": "int", "node_type": "string"}
+    return F.struct(F.lit(kind).alias("grounding_type"), *[parts.get(n, F.lit(None)).cast(t).alias(n) for n, t in names.items()])

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import grounding
+
 Row = tuple[str, str, str, int, str]  # subject, predicate, object, line, node
 Extractor = Callable[[str, bytes], Iterator[Row]]
 SCHEMA = "path string, subject string, predicate string, object string, line_number int, node_type string"
@@ -194,5 +196,5 @@ def code_facts(files: DataFrame, registry: Registry | None = None) -> DataFrame:
 def as_observations(rows: DataFrame, at: F.Column) -> DataFrame:
     """Code rows as observed facts, with the confidence and importance that code has."""
     importance = F.struct(*[F.lit(v).alias(n) for n, v in (("activation", 0.8), ("coherence", 0.7), ("specificity", 0.8), ("novelty", 0.5), ("reinforcement", 0.5))])
-    grounding = F.struct(F.lit("ast").alias("grounding_type"), F.col("path").alias("file_path"), "line_number", "node_type")
-    return rows.select("subject", "predicate", "object", F.lit(True).alias("polarity"), F.lit(0.9).alias("confidence"), importance.alias("importance"), grounding.alias("grounding"), at.alias("timestamp"), F.struct("path", "line_number", "predicate", "object").alias("seq"))
+    ground = grounding("ast", file_path=F.col("path"), line_number=F.col("line_number"), node_type=F.col("node_type"))
+    return rows.select("subject", "predicate", "object", F.lit(True).alias("polarity"), F.lit(0.9).alias("confidence"), importance.alias("importance"), ground.alias("grounding"), at.alias("timestamp"), F.struct("path", "line_number", "predicate", "object").alias("seq"))

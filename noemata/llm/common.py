@@ -88,3 +88,9 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
+
+
+def gathered(batches) -> pa.Table | None:
+    """All rows of a task's partition; None without any."""
+    held = [b for b in batches if len(b)]
+    return pa.Table.from_batches(held) if held else None

@@ -15,7 +15,8 @@ down; this loses no link. Each task reports a spanning forest of the links it fi
 
 Cases: null and empty texts and those of white space only have fingerprint 0, which links like any other; with fewer words
 than a shingle has, the whole sequence is the only shingle; repeated rows and ids are reported each (equal ids count as one
-document in components); an empty table gives an empty result. Columns of other names are ignored by near_duplicates().
+document in components); rows without id are linked to
+nothing; an empty table gives an empty result. Columns of other names are ignored by near_duplicates().
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, release, slices, table, texts, written
+from .common import cut, gathered, release, slices, table, texts, written
 from .components import components
 
 WIDTH = 64
@@ -251,8 +252,8 @@ def links(distinct: DataFrame, distance: int = 3, parts: int = 4, most: int = 40
             below = cut(deeper.select("node", "print", "path", "value").mapInArrow(deal, "node long, print long, path string, value long"))
 
         def joined(batches):
-            rows = pa.Table.from_batches(list(batches))
-            if not rows.num_rows:
+            rows = gathered(batches)
+            if rows is None:
                 return
             rows = rows.combine_chunks()
             path = rows.column("path").combine_chunks().dictionary_encode() if rows.num_rows else None
@@ -302,8 +303,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, one for each component: the one of smallest id (of rows of that id, one)."""
+    """The rows of docs, one for each component: the one of smallest id (of rows of that id, one). Rows without id stay."""
     kept = near_duplicates(docs, **options).where("component_id = doc_id").select("doc_id").distinct()
     rows = docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return rows if not repeated.take(1) else rows.dropDuplicates(["doc_id"])
+    if repeated.take(1):
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows.unionAll(docs.where("doc_id IS NULL")) if docs.where("doc_id IS NULL").take(1) else rows

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, slices, table, texts, written
+from .common import gathered, release, slices, table, texts, written
 
 U = np.uint64
 LENGTH, GRAM = 100, 32
@@ -350,8 +350,8 @@ def _settle(length: int, gram: int, last: bool):
     """Suffixes dealt out by key: stretches that repeat and, but for the last round, contexts that share an anchor with others."""
 
     def settled(batches):
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        rows = gathered(batches)
+        if rows is None:
             return
         kind, k1, k2, doc, lo, hi = (np.asarray(rows.column(c).combine_chunks()) for c in ("kind", "k1", "k2", "doc", "lo", "hi"))
         done, of, few = kind == STRETCH, kind == SUFFIX, kind == FEW

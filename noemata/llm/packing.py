@@ -28,7 +28,7 @@ from .common import release, slices, table, texts, written
 
 CACHE = 800_000
 #: Rows of one hash slice of a length, about; placements up to which they are broadcast.
-SLICE, BROADCAST = 100_000, 200_000
+SLICE, BROADCAST = 2_000, 200_000
 
 
 #: Ids of words by vocabulary; lives as long as the Python worker, over its tasks.
@@ -137,16 +137,12 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", length: int = 4
     spark = docs.sparkSession
     cut = written(pieces(docs, vocabulary, length, end_id, with_ids), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `length` rows
-    slices = max(1, -(-max(histogram.values(), default=0) // SLICE))
-    sliced = cut.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "start"), F.lit(slices)))
+    parts = spark.createDataFrame([(n, -(-c // SLICE)) for n, c in histogram.items()] or [(0, 1)], "length long, _slices long")
+    sliced = cut.join(F.broadcast(parts), "length").withColumn("_slice", F.pmod(F.xxhash64("doc_id", "start"), F.col("_slices"))).drop("_slices")
     before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sliced.groupBy("length", "_slice").count().select("length", "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("length", "_slice").orderBy("doc_id", "start", "ids_crc32")
-    ranked = sliced.withColumn("_rank", F.row_number().over(within))
-    if slices > 1:
-        ranked = ranked.join(firsts, ["length", "_slice"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
-    else:
-        ranked = ranked.withColumn("_rank", F.col("_rank") - 1)
+    ranked = sliced.withColumn("_rank", F.row_number().over(within)).join(firsts, ["length", "_slice"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
     rows = place(histogram, length)
     placed = spark.createDataFrame(rows or [(0, 0, 0, 0, 0)], "_length long, _first long, _count long, _sequence long, offset long")
     placed = F.broadcast(placed) if len(rows) <= BROADCAST else placed

@@ -24,7 +24,7 @@ from .common import cut, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Copies in one slice of a running sum, about.
-SLICE = 20_000
+SLICE = 8_000
 
 
 def words(column: str) -> F.Column:

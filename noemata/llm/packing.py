@@ -42,9 +42,11 @@ class Ids:
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.bare = Tokenizer(self.tokenizer.model)  # the merges alone: all that lower-case ASCII letters need
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.kept = _KEPT.setdefault(vocabulary, {})
 
         self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
@@ -52,16 +54,18 @@ class Ids:
     def _learn(self, words: list[bytes]) -> None:
         """Words of letters alone are encoded in one text, as each of them ends with the next token that ends a word; the others one by one."""
         read = [x.decode("utf-8", "replace") for x in words]
-        plain = [k for k, x in enumerate(read) if x.isalpha()]
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = self.tokenizer.encode(" ".join([read[k] for k in some]), add_special_tokens=False).ids
-            stops = [k + 1 for k, i in enumerate(ids) if i in self.ends]
-            if len(stops) == len(some):
-                packed, start = array("I", ids).tobytes(), 0
-                for k, stop in zip(some, stops, strict=True):
-                    self.kept[words[k]] = packed[4 * start : 4 * stop]
-                    start = stop
+        letters = [k for k, x in enumerate(read) if x.isalpha()]
+        ascii_ = [k for k in letters if words[k].isalpha() and words[k].islower()]
+        for tokenizer, those in ((self.bare, ascii_), (self.tokenizer, sorted(set(letters).difference(ascii_)))):
+            for at in range(0, len(those), 1000):
+                some = those[at : at + 1000]
+                ids = tokenizer.encode(" ".join([read[k] for k in some]), add_special_tokens=False).ids
+                stops = [k + 1 for k, i in enumerate(ids) if i in self.ends]
+                if len(stops) == len(some):
+                    packed, start = array("I", ids).tobytes(), 0
+                    for k, stop in zip(some, stops, strict=True):
+                        self.kept[words[k]] = packed[4 * start : 4 * stop]
+                        start = stop
         rest = [k for k, x in enumerate(words) if x not in self.kept]
         encoded = self.tokenizer.encode_batch_fast([read[k] for k in rest], add_special_tokens=False)
         self.kept.update((words[k], array("I", e.ids).tobytes()) for k, e in zip(rest, encoded, strict=True))

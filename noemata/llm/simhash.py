@@ -13,6 +13,9 @@ A value where more than `most` fingerprints meet is not left to one task: its fi
 of the bits not yet used, of which linked ones share at least one (three differing bits can't touch all four), and so on
 down; this loses no link. Each task reports a spanning forest of the links it finds, not the links.
 
+similar() and representatives(), which the pipeline uses, group texts by the similarity of their shingle sets instead: they
+search several fingerprints for each text in this way and verify what comes near.
+
 Cases: null and empty texts and those of white space only have fingerprint 0, which links like any other; with fewer words
 than a shingle has, the whole sequence is the only shingle; repeated rows and ids are reported each (equal ids count as one
 document in components); rows without id are linked to
@@ -37,22 +40,58 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANES = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit fingerprint."""
+def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole sequence where it is shorter than a shingle."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if n <= shingle:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], stops[: n - shingle] + 1])
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), stops[shingle - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), stops[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     lanes = np.bincount((h.view(np.uint8).reshape(-1, 8) + _LANES).ravel(), minlength=2048).reshape(8, 256)
     ones = (lanes @ _BITS).ravel()
-    return int(sum(1 << k for k in np.flatnonzero(2 * ones > len(h)).tolist()))
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit fingerprint."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def look(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes as the k-th look at them has them; the first has them as they are."""
+    if not k:
+        return h
+    x = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(29))
+
+
+def sketch(h: np.ndarray, bins: int) -> np.ndarray:
+    """One-permutation sketch of a set of hashes: the least of each bin, 16 bits of it; 0 for an empty bin."""
+    out = np.zeros(bins, np.uint16)
+    if len(h):
+        x = np.sort(look(h, 7919))
+        at = (x >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
+        first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+        out[at[first]] = ((x[first] >> np.uint64(20)) & np.uint64(0x7FFF)).astype(np.uint16) + 1
+    return out
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of sketches, row by row."""
+    either = ((a > 0) | (b > 0)).sum(1)
+    return ((a == b) & (a > 0)).sum(1) / np.maximum(either, 1)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -67,6 +106,22 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(printed, "doc_id long, print long")
 
 
+def looked_at(docs: DataFrame, short: int, shingle: int, looks: int, bins: int) -> DataFrame:
+    """doc_id, prints (one for each look), sketch of every row."""
+
+    def printed(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            prints, sketches = [], []
+            for text in texts(batch):
+                h = shingle_hashes(text, short)
+                prints.append(np.array([majority(look(h, k)) for k in range(looks)], np.uint64).view(np.int64))
+                sketches.append(sketch(shingle_hashes(text, shingle), bins).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "prints", "sketch"])
+        release()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(printed, "doc_id long, prints array<long>, sketch binary")
+
+
 def together(prints: DataFrame) -> np.ndarray:
     """How often each pair of bits is 1 together (on the diagonal: each bit), and in the last row the number of fingerprints; 65 x 64."""
 
@@ -163,7 +218,7 @@ def _signed(x: int) -> int:
 
 def blocks_below(path: str, parts: list[list[int]], blocks: int) -> list[list[int]]:
     """The bits that the path leaves, in so many blocks. A path is the partition, then the block at each level: '2.0.3'."""
-    first, *rest = map(int, path.split("."))
+    first, *rest = map(int, path.rpartition(":")[2].split("."))
     left = [b for i, p in enumerate(parts) if i != first for b in p]
     out = [left[k::blocks] for k in range(blocks)]
     for step in rest:
@@ -172,20 +227,11 @@ def blocks_below(path: str, parts: list[list[int]], blocks: int) -> list[list[in
     return out
 
 
-def used_mask(path: str, parts: list[list[int]], blocks: int) -> int:
-    """The bits that a path holds equal."""
-    first, *rest = map(int, path.split("."))
-    mask, at = mask_of(parts[first]), str(first)
-    for step in rest:
-        mask |= mask_of(blocks_below(at, parts, blocks)[step])
-        at += f".{step}"
-    return mask
-
-
 def link_sorted(key: np.ndarray, prints: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (as stars to the least node) of the links within runs of equal keys. Rows are compared at growing steps, all runs at once."""
+    """Spanning forest of the links within runs of equal keys; each of its edges is a link. Rows are compared at growing steps, all runs at once."""
     n = len(key)
     parent = list(range(n))
+    u, v = [], []
 
     def root(x):
         while parent[x] != x:
@@ -203,28 +249,27 @@ def link_sorted(key: np.ndarray, prints: np.ndarray, nodes: np.ndarray, distance
         for a in hit.tolist():
             x, y = root(a), root(a + step)
             if x != y:
-                if nodes[x] > nodes[y]:
-                    x, y = y, x
                 parent[y] = x
+                u.append(a)
+                v.append(a + step)
         step += 1
-    roots = np.array([root(x) for x in range(n)], np.int64) if n else np.zeros(0, np.int64)
-    moved = np.flatnonzero(nodes[roots] != nodes) if n else roots
-    return nodes[roots[moved]], nodes[moved]
+    return nodes[np.array(u, np.int64)], nodes[np.array(v, np.int64)]
 
 
 def links(distinct: DataFrame, distance: int = 3, parts: int = 4, most: int = 4000) -> DataFrame:
-    """u, v: links that join whatever fingerprints link, from distinct fingerprints (print, node)."""
-    spark = distinct.sparkSession
+    """u, v: links that join whatever fingerprints link, from distinct fingerprints (print, node; with look, only those of the same look are compared)."""
+    named = "look" in distinct.columns
     blocks = distance + 1
-    bits = partition_bits(together(distinct), parts)
-    radii = radii_for(distinct, bits, distance)
+    sample = distinct.where("look = 0") if named else distinct  # looks are alike in distribution
+    bits = partition_bits(together(sample), parts)
+    radii = radii_for(sample, bits, distance)
     entries = []
     for i, radius in enumerate(radii):
         if radius >= 0:
             near = F.explode(F.array(*[F.lit(_signed(x)) for x in flips(bits[i], radius)])) if radius else F.lit(0).cast("long")
             value = F.col("print").bitwiseXOR(near if not radius else F.col("_flip")).bitwiseAND(F.lit(_signed(mask_of(bits[i]))))
             of = distinct.withColumn("_flip", near) if radius else distinct
-            entries.append(of.select("node", "print", F.lit(str(i)).alias("path"), value.alias("value")))
+            entries.append(of.select("node", "print", (F.concat(F.col("look").cast("string"), F.lit(f":{i}")) if named else F.lit(str(i))).alias("path"), value.alias("value")))
     level = entries[0]
     for e in entries[1:]:
         level = level.unionAll(e)
@@ -302,9 +347,34 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexadecimal("print").alias("fingerprint"), "component_id")
 
 
+def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, short: int = 3, looks: int = 20, bins: int = 256, distance: int = 3) -> DataFrame:
+    """doc_id, component_id of every row with an id: groups of texts whose sets of shingles are at least so similar.
+
+    Texts that similar have fingerprints some five to fifteen bits apart, too far for one search at three bits. So several
+    looks are taken, each a fingerprint of its own from hashes (of short shingles, which edits spare more) mixed anew; texts
+    that come within the distance in any of them are candidates, and a candidate is kept where the sketches of the shingles
+    say that it is similar enough.
+    """
+    seen = written(looked_at(docs.where("doc_id IS NOT NULL"), short, shingle, looks, bins), "looks")
+    distinct = written(seen.groupBy("prints").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("_last"), F.min("sketch").alias("sketch")), "distinct")
+    found = links(distinct.select("node", F.posexplode("prints").alias("look", "print")), distance).distinct()
+    one, two = (distinct.select(F.col("node").alias(c), F.col("sketch").alias(f"_{c}")) for c in ("u", "v"))
+    size = 2 * bins
+
+    def kept(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, size // 2) for c in ("_u", "_v"))
+            yield batch.select(["u", "v"]).filter(pa.array(similarity(a, b) >= least))
+
+    alike = found.join(one, "u").join(two, "v").select("u", "v", "_u", "_v").mapInArrow(kept, "u long, v long")
+    grouped = components(alike)
+    labelled = distinct.join(grouped, distinct["node"] == grouped["node"], "left").select("prints", F.coalesce("component", distinct["node"]).alias("component_id"))
+    return seen.select("doc_id", "prints").join(labelled, "prints").select("doc_id", "component_id")
+
+
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, one for each component: the one of smallest id (of rows of that id, one). Rows without id stay."""
-    kept = near_duplicates(docs, **options).where("component_id = doc_id").select("doc_id").distinct()
+    """The rows of docs, one for each group of similar texts: the one of smallest id (of rows of that id, one). Rows without id stay."""
+    kept = similar(docs, **options).where("component_id = doc_id").select("doc_id").distinct()
     rows = docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.take(1):

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -92,8 +93,38 @@ def test_simhash_matches_brute_force(spark):
     assert {r.doc_id: r.print % 2**64 for r in found} == prints
     assert {r.doc_id: r.component_id for r in found} == brute_components(prints)
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
-    kept = simhash.representatives(frame(spark, rows, extra=True))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_components(prints).values()))
+
+
+def test_similar_texts(spark):
+    rng, rows = random.Random(9), []
+    for i in range(6):
+        words = [f"w{rng.randrange(5000)}" for _ in range(260)]
+        rows.append((10 * i, " ".join(words), "en", "a", 1))
+        for k in range(1, 5):
+            other = list(words)
+            for at in rng.sample(range(260), 4):
+                other[at] = f"x{rng.randrange(5000)}"
+            rows.append((10 * i + k, " ".join(other), "en", "a", 1))
+        rows.append((10 * i + 5, " ".join(words[:130] + [f"y{rng.randrange(5000)}" for _ in range(130)]), "en", "a", 1))
+    found = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, rows, extra=True)).collect()}
+    want = {i: i if i % 10 == 5 else i - i % 10 for i in (r[0] for r in rows)}
+    assert sum(found[i] == want[i] for i in want) >= 0.9 * len(want) and all(found[i] == i for i in want if i % 10 == 5)
+    kept = simhash.representatives(frame(spark, [*rows, *documents()], extra=True))
+    groups = simhash.similar(frame(spark, [*rows, *documents()]))
+    ids = sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect())
+    assert ids == sorted({r.component_id for r in groups.collect()}) and kept.where("doc_id IS NULL").count() == 1
+    assert simhash.representatives(frame(spark, [])).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    for share in (0.5, 0.8, 0.95):
+        n = int(4000 * share)
+        b = np.concatenate([a[:n], rng.integers(0, 2**63, 4000 - n).astype(np.uint64)])
+        got = simhash.similarity(simhash.sketch(a, 256)[None], simhash.sketch(b, 256)[None])[0]
+        assert abs(got - n / (8000 - n)) < 0.12
+    assert simhash.similarity(simhash.sketch(a[:0], 256)[None], simhash.sketch(a[:0], 256)[None])[0] == 0
 
 
 @pytest.mark.parametrize("most", [4000, 6])
@@ -436,7 +467,7 @@ def test_pipeline_matches_its_stages(spark):
     kept = quality.kept_documents(docs).toPandas()
     failed = {r.doc_id for r in quality.judge(docs).where("NOT kept").collect()}
     assert set(kept.doc_id) == set(r.doc_id for r in docs.select("doc_id").collect()) - failed
-    groups = brute_components({int(i): brute_print(t) for i, t in zip(kept.doc_id, kept.text, strict=True)})
+    groups = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(kept)).collect()}
     one = kept[[groups[int(i)] == int(i) for i in kept.doc_id]]
     rows = [(int(r.doc_id), r.text, r.lang, r.source, 0) for r in one.itertuples()]
     cut = {}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import release, slices, table, texts, written
 
-CACHE = 800_000
+CACHE = 1_000_000
 #: Rows of one hash slice of a length, about; placements up to which they are broadcast.
 SLICE, BROADCAST = 2_000, 200_000
 
@@ -37,6 +37,10 @@ _KEPT: dict[str, dict[bytes, bytes]] = {}
 MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\s]|$)")
 
 
+#: Letters before this one are composed, and lower-case one by one, but for the dotted capital.
+LATIN_END, DOTTED = "\u0250", "\u0130"
+
+
 class Ids:
     """Token ids as little-endian 32-bit bytes. White space never lies within a token, nor does the border between a letter and a mark, so words are encoded once and remembered (a bounded number of them)."""
 
@@ -45,18 +49,19 @@ class Ids:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.bare = Tokenizer(self.tokenizer.model)  # the merges alone: all that lower-case ASCII letters need
-        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.bare = Tokenizer(self.tokenizer.model)  # without normalising and splitting, which lower-case Latin letters don't need
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kept = _KEPT.setdefault(vocabulary, {})
-
         self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
 
     def _learn(self, words: list[bytes]) -> None:
         """Words of letters alone are encoded in one text, as each of them ends with the next token that ends a word; the others one by one."""
         read = [x.decode("utf-8", "replace") for x in words]
         letters = [k for k, x in enumerate(read) if x.isalpha()]
-        ascii_ = [k for k in letters if words[k].isalpha() and words[k].islower()]
-        for tokenizer, those in ((self.bare, ascii_), (self.tokenizer, sorted(set(letters).difference(ascii_)))):
+        latin = [k for k in letters if max(read[k]) < LATIN_END and DOTTED not in read[k]]
+        for k in latin:
+            read[k] = read[k].lower()
+        for tokenizer, those in ((self.bare, latin), (self.tokenizer, sorted(set(letters).difference(latin)))):
             for at in range(0, len(those), 1000):
                 some = those[at : at + 1000]
                 ids = tokenizer.encode(" ".join([read[k] for k in some]), add_special_tokens=False).ids

@@ -72,14 +72,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     """doc_id, size, source_size, target, taken, copies of every row of docs."""
     sized = cut(docs.select("doc_id", "source", words("text").alias("size")))
     goals = cut(targets(sized, weights, share, most))
-    count, budget = sized.count(), goals.agg(F.sum("target")).first()[0] or 0.0
+    count, whole_size = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    budget = float(whole_size) * min(share, float(most))  # what the targets add up to
     n = max(1, -(-count * most // SLICE))
     # Rows alike (repeated rows) are counted, not told apart; sizes are summed with that count.
     alike = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("alike"))
     flows = alike.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     copies = flows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("sent", F.col("size") * F.col("alike"))
-    copies = copies.withColumn("_hash", F.xxhash64(F.lit(seed), "epoch", "doc_id", "size"))
-    copies = copies.withColumn("_slice", F.col("epoch") * n + F.pmod(F.shiftright("_hash", 20), F.lit(n)))
+    copies = copies.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("epoch", "doc_id", "size")]).cast("binary")))
+    part = F.floor(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") * F.lit(n) / F.lit(2**32)).cast("long")  # rises with the hash
+    copies = copies.withColumn("_slice", F.col("epoch") * n + part)
     summed = _running(copies, ["source_key"], "_slice", ["_hash", "doc_id"], "sent", "_upto")
     goal = goals.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"), "source_size", "target")
     timed = summed.join(goal, "source_key").withColumn("_finish", F.when(F.col("target") > 0, F.col("_upto") / F.col("target")).otherwise(F.when(F.col("sent") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))))
@@ -115,3 +117,21 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+#: The same mix in SQL: cumulative sums over whole sources, and over all copies, in one piece.
+SQL = r"""
+WITH RECURSIVE sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+each AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, CAST(([5, 2, 1])[1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS DOUBLE) AS weight FROM sized GROUP BY source),
+total AS (SELECT CAST(sum(source_size) AS DOUBLE) AS whole, CAST(sum(weight) AS DOUBLE) AS weights FROM each),
+levels AS (SELECT *, 2 * source_size AS ceiling, 2 * source_size / weight AS full_at FROM each),
+filled AS (SELECT *, row_number() OVER w AS n, coalesce(sum(ceiling) OVER b, 0) AS spent, coalesce(sum(weight) OVER b, 0) AS gone FROM levels
+  WINDOW w AS (ORDER BY full_at, source NULLS LAST), b AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min((whole * 1.5 - spent) / (weights - gone), n) AS lev FROM filled, total WHERE (whole * 1.5 - spent) / (weights - gone) <= full_at),
+goals AS (SELECT source, source_size, CASE WHEN lev IS NULL THEN ceiling ELSE least(ceiling, lev * weight) END AS target FROM filled, level),
+copies AS (SELECT s.*, e.epoch, md5(concat_ws(':', '7', e.epoch, s.doc_id, s.size)) AS h, coalesce('=' || s.source, '') AS k FROM sized s, (VALUES (0), (1)) e(epoch)),
+timed AS (SELECT c.*, g.source_size, g.target, sum(c.size) OVER (PARTITION BY c.k ORDER BY c.epoch, c.h, c.doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM copies c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source),
+queued AS (SELECT *, sum(size) OVER (ORDER BY CASE WHEN target > 0 THEN upto / target WHEN size > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END, k, epoch, doc_id, size ROWS UNBOUNDED PRECEDING) AS so_far FROM timed)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(sum(CASE WHEN so_far <= whole * 1.5 THEN size ELSE 0 END) AS BIGINT) AS taken, CAST(sum(CASE WHEN so_far <= whole * 1.5 THEN 1 ELSE 0 END) AS BIGINT) AS copies
+FROM queued, total GROUP BY doc_id, size, source_size, target
+"""

@@ -96,13 +96,13 @@ class Part:
                 floor = np.partition(low, len(low) - self.k)[len(low) - self.k] if len(low) > self.k else -np.inf
                 at = np.flatnonzero(other & (upper[i] >= floor))
                 self.reranked += len(at)
-                exact = vectors[at] @ self.queries[q]
+                exact = np.add.accumulate(vectors[at] * self.queries[q], axis=1)[:, -1]  # summed from the first component on
                 ids, all_scores = np.concatenate([had, vec_ids[at]]), np.concatenate([scores, exact])
                 top = best_of(ids, all_scores, self.k)
                 self.found[q] = ids[top], all_scores[top]
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = 16384, sigmas: float = 3.0, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = 16384, sigmas: float = 4.0, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id `every` divides, its k nearest of all other rows."""
     spark = vectors.sparkSession
     rows = written(usable(vectors), "vectors")
@@ -145,3 +145,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, block: int = 16384,
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
+
+
+#: The exact search in SQL: every query against every row.
+SQL = """
+WITH v AS (SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+"""

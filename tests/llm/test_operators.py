@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -456,6 +457,20 @@ def test_mined_rules_hold_on_the_labelled_urls(spark):
         assert math.isclose(sum(v == verdict for v in both) / sum(v is not None for _, v in told), support, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("name", ["op5_mixing", "op6_nearest_neighbours"])
+def test_query_matches_its_sql(spark, name):
+    from noemata.llm.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.01/{t}.parquet')")
+    told = con.execute(SQL[name])
+    names = [d[0] for d in told.description]
+    found = QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert sorted(found.columns) == sorted(names)
+    assert sorted(tuple(r[n] for n in names) for r in found.collect()) == sorted(told.fetchall())
+
+
 # pipeline
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, vectors
+from . import mixing, suffixes, vectors
 from .brown import op3_class_bigrams
 from .language import op9_language_id
 from .mixing import op5_mixing
@@ -15,4 +15,4 @@ from .urls import op10_url_filters
 from .vectors import op6_nearest_neighbours
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_class_bigrams, op4_suffix_dedup, op5_mixing, op6_nearest_neighbours, op7_simhash, op8_quality_rules, op9_language_id, op10_url_filters)}
-SQL: dict[str, str] = {"op5_mixing": mixing.SQL, "op6_nearest_neighbours": vectors.SQL}
+SQL: dict[str, str] = {"op4_suffix_dedup": suffixes.SQL, "op5_mixing": mixing.SQL, "op6_nearest_neighbours": vectors.SQL}

@@ -462,3 +462,18 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
+
+
+#: The same in SQL: every string of 100 bytes of every document.
+SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT doc_id, p, md5(b[p + 1 : p + 100]) AS h FROM (SELECT doc_id, b, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)),
+again AS (SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1),
+marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS turn FROM again),
+numbered AS (SELECT doc_id, p, sum(turn) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked),
+runs AS (SELECT doc_id, min(p) AS lo, max(p) + 100 AS hi FROM numbered GROUP BY doc_id, k),
+parts AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS e FROM runs UNION ALL SELECT d.doc_id, coalesce(max(r.hi), 0), d.n FROM d LEFT JOIN runs r USING (doc_id) GROUP BY d.doc_id, d.n),
+kept AS (SELECT doc_id, string_agg(CASE WHEN e > a THEN hex(b[a + 1 : e]) ELSE '' END, '' ORDER BY a) AS x FROM parts JOIN d USING (doc_id) GROUP BY doc_id),
+counted AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(x)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""

@@ -457,7 +457,7 @@ def test_mined_rules_hold_on_the_labelled_urls(spark):
         assert math.isclose(sum(v == verdict for v in both) / sum(v is not None for _, v in told), support, rel_tol=1e-9)
 
 
-@pytest.mark.parametrize("name", ["op5_mixing", "op6_nearest_neighbours"])
+@pytest.mark.parametrize("name", ["op4_suffix_dedup", "op5_mixing", "op6_nearest_neighbours"])
 def test_query_matches_its_sql(spark, name):
     from noemata.llm.queries import QUERIES, SQL
 

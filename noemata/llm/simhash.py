@@ -228,30 +228,44 @@ def blocks_below(path: str, parts: list[list[int]], blocks: int) -> list[list[in
 
 
 def link_sorted(key: np.ndarray, prints: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links within runs of equal keys; each of its edges is a link. Rows are compared at growing steps, all runs at once."""
+    """Spanning forest of the links within runs of equal keys; each of its edges is a link.
+
+    Rows are compared at growing steps, all runs at once. Pairs that earlier links join already are passed over, and a run
+    drops out when it is joined as a whole, so a run of near copies takes few steps.
+    """
     n = len(key)
-    parent = list(range(n))
+    tree = np.arange(n)  # the root of each row; kept flat
+    turns = np.ones(n, bool)
+    turns[1:] = key[1:] != key[:-1]
+    starts, run = np.flatnonzero(turns), np.cumsum(turns) - 1
     u, v = [], []
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
     at, step = np.arange(n), 1
     while True:
         at = at[at + step < n]
         at = at[key[at] == key[at + step]]
         if not len(at):
             break
-        hit = at[np.bitwise_count(prints[at] ^ prints[at + step]) <= distance]
-        for a in hit.tolist():
-            x, y = root(a), root(a + step)
-            if x != y:
-                parent[y] = x
-                u.append(a)
-                v.append(a + step)
+        hit = at[(np.bitwise_count(prints[at] ^ prints[at + step]) <= distance) & (tree[at] != tree[at + step])]
+        if len(hit):
+            parent: dict[int, int] = {}
+
+            def root(x, parent=parent):
+                while (up := parent.get(x, x)) != x:
+                    x = up
+                return x
+
+            for a, x, y in zip(hit.tolist(), tree[hit].tolist(), tree[hit + step].tolist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    u.append(a)
+                    v.append(a + step)
+            moved = np.arange(n)
+            changed = np.array(list(parent), np.int64)
+            moved[changed] = [root(x) for x in parent]
+            tree = moved[tree]
+            whole = np.minimum.reduceat(tree, starts) == np.maximum.reduceat(tree, starts)
+            at = at[~whole[run[at]]]
         step += 1
     return nodes[np.array(u, np.int64)], nodes[np.array(v, np.int64)]
 

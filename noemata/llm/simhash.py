@@ -78,13 +78,13 @@ def look(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def sketch(h: np.ndarray, bins: int) -> np.ndarray:
-    """One-permutation sketch of a set of hashes: the least of each bin, 16 bits of it; 0 for an empty bin."""
-    out = np.zeros(bins, np.uint16)
+    """One-permutation sketch of a set of hashes: a byte of the least of each bin; 0 for an empty bin."""
+    out = np.zeros(bins, np.uint8)
     if len(h):
         x = np.sort(look(h, 7919))
         at = (x >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-        out[at[first]] = ((x[first] >> np.uint64(20)) & np.uint64(0x7FFF)).astype(np.uint16) + 1
+        out[at[first]] = ((x[first] >> np.uint64(20)) % np.uint64(255)).astype(np.uint8) + 1
     return out
 
 
@@ -361,7 +361,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexadecimal("print").alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, short: int = 3, looks: int = 20, bins: int = 256, distance: int = 3) -> DataFrame:
+def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, short: int = 3, looks: int = 16, bins: int = 256, distance: int = 3) -> DataFrame:
     """doc_id, component_id of every row with an id: groups of texts whose sets of shingles are at least so similar.
 
     Texts that similar have fingerprints some five to fifteen bits apart, too far for one search at three bits. So several
@@ -373,11 +373,10 @@ def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, short: int =
     distinct = written(seen.groupBy("prints").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("_last"), F.min("sketch").alias("sketch")), "distinct")
     found = links(distinct.select("node", F.posexplode("prints").alias("look", "print")), distance).distinct()
     one, two = (distinct.select(F.col("node").alias(c), F.col("sketch").alias(f"_{c}")) for c in ("u", "v"))
-    size = 2 * bins
 
     def kept(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, size // 2) for c in ("_u", "_v"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, bins) for c in ("_u", "_v"))
             yield batch.select(["u", "v"]).filter(pa.array(similarity(a, b) >= least))
 
     alike = found.join(one, "u").join(two, "v").select("u", "v", "_u", "_v").mapInArrow(kept, "u long, v long")

@@ -213,7 +213,7 @@ SCHEMA = "route long, kind int, k1 long, k2 long, doc long, lo long, hi long"
 #: anchor; a context whose anchor has too many others for that, to be compared string by string.
 SUFFIX, STRETCH, FEW, MANY = range(4)
 #: Contexts of one anchor up to which they are compared in pairs.
-PAIRED = 128
+PAIRED = 1024
 
 
 def _rows(kind: int, route, doc, lo, hi, k1=None, k2=None, extra=None) -> pa.RecordBatch:

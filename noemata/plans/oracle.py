@@ -210,7 +210,7 @@ def search(persona: str, sign: str, gain: str) -> str:
 
 SQL["search_ranked"] = f"WITH {search('investor', '1', '0')} SELECT seq, round(valence, 6) AS valence, round(salience, 6) AS salience, round(urgency, 6) AS urgency, round(recency, 6) AS recency, round(rank_score, 6) AS rank_score FROM s ORDER BY s.rank_score DESC, seq LIMIT 40"
 SQL["search_contrary"] = f"WITH {search('engineer', '-1', 'CASE WHEN polarity THEN 0 ELSE 0.25 END')} SELECT seq, polarity, round(valence, 6) AS valence, round(rank_score, 6) AS rank_score FROM s ORDER BY s.rank_score DESC, seq LIMIT 40"
-SQL["persona_detect"] = f"""WITH {QUERY}, t AS (SELECT CAST(activation AS DOUBLE) AS activation, CASE WHEN anchor LIKE 'user%' THEN 'actor' ELSE 'feature' END AS type FROM query), f AS {values([(p, t) for p, x in PERSONA_FOCUS.items() for t in x[3]], 'persona, type')}
+SQL["persona_detect"] = f"""WITH {OBS}, {QUERY}, t AS (SELECT CAST(activation AS DOUBLE) AS activation, CASE WHEN anchor LIKE 'user%' THEN 'actor' ELSE 'feature' END AS type FROM query WHERE anchor IN (SELECT subject FROM obs UNION SELECT object FROM obs)), f AS {values([(p, t) for p, x in PERSONA_FOCUS.items() for t in x[3]], 'persona, type')}
  SELECT persona, round(sum(activation), 6) AS score FROM t JOIN f USING (type) GROUP BY persona"""
 SQL["persona_cues"] = f"WITH t AS {values([(0, 'What are the RISKS?'), (1, 'new patents'), (2, 'Market share of toyota'), (3, 'which policy'), (4, 'weather')], 'id, q')} SELECT id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(q), {q(c)})' for c in cues)} THEN {q(name)}" for name, cues in PERSONA_CUES) + " END AS persona FROM t"
 SQL["chain_walk"] = f"""WITH {OBS}, {ROLES.format(src='obs')}, ordered AS (SELECT seq, subject, row_number() OVER (PARTITION BY subject ORDER BY ts, seq) - 1 AS i FROM obs)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import release, slices, table, texts, written
 
-CACHE = 1_000_000
+CACHE = 600_000
 #: Rows of one hash slice of a length, about; placements up to which they are broadcast.
 SLICE, BROADCAST = 2_000, 200_000
 
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int, with_ids:
 
     def cut(batches):
         encoder = Ids(_vocabulary(vocabulary))
-        for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.of(texts(batch)), strict=True):
                 ids += end

@@ -13,8 +13,8 @@ A value where more than `most` fingerprints meet is not left to one task: its fi
 of the bits not yet used, of which linked ones share at least one (three differing bits can't touch all four), and so on
 down; this loses no link. Each task reports a spanning forest of the links it finds, not the links.
 
-similar() and representatives(), which the pipeline uses, group texts by the similarity of their shingle sets instead: they
-search several fingerprints for each text in this way and verify what comes near.
+similar() and representatives(), which the pipeline uses, group texts by the similarity of their shingle sets instead, and
+find every pair that is similar enough by the prefixes of the sets.
 
 Cases: null and empty texts and those of white space only have fingerprint 0, which links like any other; with fewer words
 than a shingle has, the whole sequence is the only shingle; repeated rows and ids are reported each (equal ids count as one
@@ -24,6 +24,7 @@ nothing; an empty table gives an empty result. Columns of other names are ignore
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -106,20 +107,88 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(printed, "doc_id long, print long")
 
 
-def looked_at(docs: DataFrame, short: int, shingle: int, looks: int, bins: int) -> DataFrame:
-    """doc_id, prints (one for each look), sketch of every row."""
+def prefix_size(n: int, least: float) -> int:
+    """How many shingles of a set of n, the first in an order that all sets share, any set at least so similar has one of among its own first ones."""
+    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
 
-    def printed(batches):
+
+def common_shingles(docs: DataFrame, shingle: int, sampled: int = 10_000, often: int = 4) -> np.ndarray:
+    """Hashes of the shingles that several of about so many documents have, in ascending order of how many do. They only order the shingles, so what a sample misses costs time but no pair."""
+    one_in = max(1, docs.count() // sampled)
+
+    def hashed(batches):
         for batch in (part for whole in batches for part in slices(whole)):
-            prints, sketches = [], []
             for text in texts(batch):
-                h = shingle_hashes(text, short)
-                prints.append(np.array([majority(look(h, k)) for k in range(looks)], np.uint64).view(np.int64))
-                sketches.append(sketch(shingle_hashes(text, shingle), bins).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "prints", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, shingle)).view(np.int64))], names=["h"])
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(printed, "doc_id long, prints array<long>, sketch binary")
+    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text").mapInArrow(hashed, "h long")
+    found = rows.groupBy("h").count().where(F.col("count") >= often).toArrow()  # at most a quarter of the shingles of the sample
+    h, n = (np.asarray(found.column(c).combine_chunks()) for c in ("h", "count"))
+    return h[np.lexsort((h, n))].view(np.uint64)
+
+
+def profiles(docs: DataFrame, least: float, shingle: int, bins: int) -> DataFrame:
+    """doc_id; a digest of the set of shingles (two longs); size of the set; its prefix, rare shingles first; sketch; of every row."""
+    common = common_shingles(docs, shingle)
+    by_hash = np.argsort(common)
+    held = common[by_hash]
+
+    def profiled(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            firsts, seconds, sizes, prefixes, sketches = [], [], [], [], []
+            for text in texts(batch):
+                h = np.unique(shingle_hashes(text, shingle))
+                digest = xxhash.xxh3_128_digest(h.tobytes())
+                at = np.searchsorted(held, h)
+                known = np.zeros(len(h), bool)
+                known[at < len(held)] = held[at[at < len(held)]] == h[at < len(held)]
+                ordered = np.concatenate([h[~known], common[np.sort(by_hash[at[known]])]])
+                firsts.append(int.from_bytes(digest[:8], "little", signed=True))
+                seconds.append(int.from_bytes(digest[8:], "little", signed=True))
+                sizes.append(len(h))
+                prefixes.append(ordered[: prefix_size(len(h), least)].view(np.int64))
+                sketches.append(sketch(h, bins).tobytes())
+            arrays = [batch.column("doc_id"), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "d1", "d2", "size", "prefix", "sketch"])
+        release()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profiled, "doc_id long, d1 long, d2 long, size int, prefix array<long>, sketch binary")
+
+
+def meeting(entries: DataFrame, least: float, steps: int | None) -> DataFrame:
+    """u < v: pairs of entries (key, node, size, at, component) of one key and of different components whose sizes and places allow the similarity. With steps, only of rows so near in the order of a key's rows by size."""
+
+    def met(batches):
+        rows = gathered(batches)
+        if rows is None:
+            return
+        key, node, size, place, component = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "node", "size", "at", "component"))
+        order = np.lexsort((node, size, key))
+        key, node, size, place, component = key[order], node[order], size[order].astype(np.int64), place[order].astype(np.int64), component[order]
+        at, step, n = np.arange(len(key)), 1, len(key)
+        while len(at) and (steps is None or step <= steps):
+            at = at[at + step < n]
+            # Sizes ascend within a key, so what is too large for a row stays so at further steps.
+            at = at[(key[at] == key[at + step]) & (size[at] >= least * size[at + step] - 1e-9)]
+            to = at + step
+            shared = np.minimum(size[at] - place[at], size[to] - place[to])  # at most, if this is the first that both have
+            hit = (shared * (1 + least) >= least * (size[at] + size[to]) - 1e-9) & (component[at] != component[to])
+            a, b = node[at[hit]], node[to[hit]]
+            if len(a):
+                yield pa.RecordBatch.from_pydict({"u": np.minimum(a, b), "v": np.maximum(a, b)})
+            step += 1
+
+    return entries.repartition("key").select("key", "node", "size", "at", "component").mapInArrow(met, "u long, v long").where("u <> v").distinct()
+
+
+def entries_of(distinct: DataFrame) -> DataFrame:
+    return distinct.select("node", "size", F.posexplode("prefix").alias("at", "key")).withColumn("component", F.col("node"))
+
+
+def candidates(distinct: DataFrame, least: float) -> DataFrame:
+    """u, v: all pairs of sets (node, size, prefix) that can be at least so similar: they share a shingle of their prefixes, and sizes and places allow it."""
+    return meeting(entries_of(distinct), least, None)
 
 
 def together(prints: DataFrame) -> np.ndarray:
@@ -361,17 +430,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexadecimal("print").alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, short: int = 3, looks: int = 16, bins: int = 256, distance: int = 3) -> DataFrame:
-    """doc_id, component_id of every row with an id: groups of texts whose sets of shingles are at least so similar.
-
-    Texts that similar have fingerprints some five to fifteen bits apart, too far for one search at three bits. So several
-    looks are taken, each a fingerprint of its own from hashes (of short shingles, which edits spare more) mixed anew; texts
-    that come within the distance in any of them are candidates, and a candidate is kept where the sketches of the shingles
-    say that it is similar enough.
-    """
-    seen = written(looked_at(docs.where("doc_id IS NOT NULL"), short, shingle, looks, bins), "looks")
-    distinct = written(seen.groupBy("prints").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("_last"), F.min("sketch").alias("sketch")), "distinct")
-    found = links(distinct.select("node", F.posexplode("prints").alias("look", "print")), distance).distinct()
+def alike(pairs: DataFrame, distinct: DataFrame, least: float, bins: int) -> DataFrame:
+    """u, v: the pairs whose sketches say that they are similar enough."""
     one, two = (distinct.select(F.col("node").alias(c), F.col("sketch").alias(f"_{c}")) for c in ("u", "v"))
 
     def kept(batches):
@@ -379,10 +439,28 @@ def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, short: int =
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, bins) for c in ("_u", "_v"))
             yield batch.select(["u", "v"]).filter(pa.array(similarity(a, b) >= least))
 
-    alike = found.join(one, "u").join(two, "v").select("u", "v", "_u", "_v").mapInArrow(kept, "u long, v long")
-    grouped = components(alike)
-    labelled = distinct.join(grouped, distinct["node"] == grouped["node"], "left").select("prints", F.coalesce("component", distinct["node"]).alias("component_id"))
-    return seen.select("doc_id", "prints").join(labelled, "prints").select("doc_id", "component_id")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "_u", "_v").mapInArrow(kept, "u long, v long")
+
+
+def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, bins: int = 256, near: int = 2) -> DataFrame:
+    """doc_id, component_id of every row with an id: groups of texts whose sets of shingles are at least so similar.
+
+    Equal sets are taken together. Candidates are complete: in an order of shingles that all sets share, the first fifth of
+    either of two sets that are similar to 0.8 has a shingle that the other's has too. First every row is compared with the
+    next rows in size of each of its keys; then, as this joins most of what is alike, all rows of a key that are in different
+    groups still. Keys of up to `near` + 1 rows are done after the first step.
+    """
+    seen = written(profiles(docs.where("doc_id IS NOT NULL"), least, shingle, bins), "profiles")
+    distinct = written(seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "distinct")
+    entries = entries_of(distinct)
+    first = cut(alike(meeting(entries, least, near), distinct, least, bins))
+    grouped = components(first)
+    large = cut(entries.groupBy("key").count().where(F.col("count") > near + 1).select("key"))
+    named = entries.drop("component").join(large, "key", "left_semi").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    second = cut(alike(meeting(named, least, None), distinct, least, bins))
+    grouped = components(first.unionAll(second))
+    labelled = distinct.join(grouped, distinct["node"] == grouped["node"], "left").select("d1", "d2", F.coalesce("component", distinct["node"]).alias("component_id"))
+    return seen.select("doc_id", "d1", "d2").join(labelled, ["d1", "d2"]).select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:

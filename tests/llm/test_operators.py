@@ -117,6 +117,42 @@ def test_similar_texts(spark):
     assert simhash.representatives(frame(spark, [])).count() == 0
 
 
+def edited(n: int = 150, seed: int = 11) -> list[tuple]:
+    """Texts, and copies of each with one to twelve scattered words changed: Jaccard 0.6 to 1 in five-word shingles."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 260))]
+        rows.append((20 * i, " ".join(words), "en", "a", 1))
+        for k in range(1, 4):
+            other = list(words)
+            for at in rng.sample(range(len(words)), rng.randint(1, max(2, len(words) // 20))):
+                other[at] = f"x{rng.randrange(5000)}"
+            rows.append((20 * i + k, " ".join(other), "en", "a", 1))
+    return rows
+
+
+def true_links(rows: list[tuple], least: float = 0.8) -> dict[tuple[int, int], float]:
+    """Pairs at least so similar, by the exact Jaccard of sets of five-word shingles."""
+    sets, having = {}, defaultdict(set)
+    for r in rows:
+        words = (r[1] or "").encode().lower().split()
+        sets[r[0]] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+        for x in sets[r[0]]:
+            having[x].add(r[0])
+    pairs = {(a, b) for ids in having.values() for a in ids for b in ids if a < b}
+    return {p: j for p in pairs if (j := len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]])) >= least}
+
+
+def test_candidates_are_complete(spark):
+    rows = edited()
+    shared = " ".join(f"c{k}" for k in range(80))
+    rows += [(9000 + k, f"{shared} {' '.join(f'd{k}_{j}' for j in range(15 + k))}", "en", "a", 1) for k in range(8)]
+    want = set(true_links(rows))
+    distinct = simhash.profiles(frame(spark, rows), 0.8, 5, 256).withColumnRenamed("doc_id", "node")
+    found = {(r.u, r.v) for r in simhash.candidates(distinct, 0.8).collect()}
+    assert len(want) > 100 and want <= found
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 4000).astype(np.uint64)

@@ -128,15 +128,15 @@ def common_shingles(docs: DataFrame, shingle: int, sampled: int = 10_000, often:
     return h[np.lexsort((h, n))].view(np.uint64)
 
 
-def profiles(docs: DataFrame, least: float, shingle: int, bins: int) -> DataFrame:
-    """doc_id; a digest of the set of shingles (two longs); size of the set; its prefix, rare shingles first; sketch; of every row."""
+def profiles(docs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """doc_id; a digest of the set of shingles (two longs); size of the set; its prefix, rare shingles first; of every row."""
     common = common_shingles(docs, shingle)
     by_hash = np.argsort(common)
     held = common[by_hash]
 
     def profiled(batches):
         for batch in (part for whole in batches for part in slices(whole)):
-            firsts, seconds, sizes, prefixes, sketches = [], [], [], [], []
+            firsts, seconds, sizes, prefixes = [], [], [], []
             for text in texts(batch):
                 h = np.unique(shingle_hashes(text, shingle))
                 digest = xxhash.xxh3_128_digest(h.tobytes())
@@ -148,12 +148,11 @@ def profiles(docs: DataFrame, least: float, shingle: int, bins: int) -> DataFram
                 seconds.append(int.from_bytes(digest[8:], "little", signed=True))
                 sizes.append(len(h))
                 prefixes.append(ordered[: prefix_size(len(h), least)].view(np.int64))
-                sketches.append(sketch(h, bins).tobytes())
-            arrays = [batch.column("doc_id"), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "d1", "d2", "size", "prefix", "sketch"])
+            arrays = [batch.column("doc_id"), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "d1", "d2", "size", "prefix"])
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profiled, "doc_id long, d1 long, d2 long, size int, prefix array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profiled, "doc_id long, d1 long, d2 long, size int, prefix array<long>")
 
 
 def meeting(entries: DataFrame, least: float, steps: int | None) -> DataFrame:
@@ -430,34 +429,57 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexadecimal("print").alias("fingerprint"), "component_id")
 
 
-def alike(pairs: DataFrame, distinct: DataFrame, least: float, bins: int) -> DataFrame:
-    """u, v: the pairs whose sketches say that they are similar enough."""
-    one, two = (distinct.select(F.col("node").alias(c), F.col("sketch").alias(f"_{c}")) for c in ("u", "v"))
+def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, hashes: the sets of shingles of these rows, ascending hashes as bytes."""
+
+    def hashed(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            sets = [np.unique(shingle_hashes(text, shingle)).tobytes() for text in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "hashes"])
+        release()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    return rows.mapInArrow(hashed, "node long, hashes binary")
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sets as bytes of ascending hashes."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = np.sort(np.concatenate([x, y]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared) if len(both) else 1.0
+
+
+def alike(pairs: DataFrame, docs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """u, v: the pairs whose sets of shingles have that Jaccard similarity, computed exactly."""
+    sets = written(sets_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), shingle), "sets")
+    one, two = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"_{c}")) for c in ("u", "v"))
 
     def kept(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, bins) for c in ("_u", "_v"))
-            yield batch.select(["u", "v"]).filter(pa.array(similarity(a, b) >= least))
+            for part in slices(batch, 8 << 20, "_u"):
+                alike_ = [jaccard(a, b) >= least - 1e-9 for a, b in zip(part.column("_u").to_pylist(), part.column("_v").to_pylist(), strict=True)]
+                yield part.select(["u", "v"]).filter(pa.array(alike_, pa.bool_()))
 
     return pairs.join(one, "u").join(two, "v").select("u", "v", "_u", "_v").mapInArrow(kept, "u long, v long")
 
 
-def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, bins: int = 256, near: int = 2) -> DataFrame:
+def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, near: int = 8) -> DataFrame:
     """doc_id, component_id of every row with an id: groups of texts whose sets of shingles are at least so similar.
 
-    Equal sets are taken together. Candidates are complete: in an order of shingles that all sets share, the first fifth of
+    Equal sets (by 128 bits of their hashes) are taken together, and each other pair is decided by the exact Jaccard. Candidates are complete: in an order of shingles that all sets share, the first fifth of
     either of two sets that are similar to 0.8 has a shingle that the other's has too. First every row is compared with the
     next rows in size of each of its keys; then, as this joins most of what is alike, all rows of a key that are in different
     groups still. Keys of up to `near` + 1 rows are done after the first step.
     """
-    seen = written(profiles(docs.where("doc_id IS NOT NULL"), least, shingle, bins), "profiles")
-    distinct = written(seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "distinct")
+    seen = written(profiles(docs.where("doc_id IS NOT NULL"), least, shingle), "profiles")
+    distinct = written(seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "distinct")
     entries = entries_of(distinct)
-    first = cut(alike(meeting(entries, least, near), distinct, least, bins))
+    first = cut(alike(cut(meeting(entries, least, near)), docs, least, shingle))
     grouped = components(first)
     large = cut(entries.groupBy("key").count().where(F.col("count") > near + 1).select("key"))
     named = entries.drop("component").join(large, "key", "left_semi").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    second = cut(alike(meeting(named, least, None), distinct, least, bins))
+    second = cut(alike(cut(meeting(named, least, None)), docs, least, shingle))
     grouped = components(first.unionAll(second))
     labelled = distinct.join(grouped, distinct["node"] == grouped["node"], "left").select("d1", "d2", F.coalesce("component", distinct["node"]).alias("component_id"))
     return seen.select("doc_id", "d1", "d2").join(labelled, ["d1", "d2"]).select("doc_id", "component_id")

@@ -148,11 +148,26 @@ def test_candidates_are_complete(spark):
     shared = " ".join(f"c{k}" for k in range(80))
     rows += [(9000 + k, f"{shared} {' '.join(f'd{k}_{j}' for j in range(15 + k))}", "en", "a", 1) for k in range(8)]
     want = set(true_links(rows))
-    distinct = simhash.profiles(frame(spark, rows), 0.8, 5, 256).withColumnRenamed("doc_id", "node")
+    distinct = simhash.profiles(frame(spark, rows), 0.8, 5).withColumnRenamed("doc_id", "node")
     found = {(r.u, r.v) for r in simhash.candidates(distinct, 0.8).collect()}
     assert len(want) > 100 and want <= found
 
 
+def test_similar_matches_exact_jaccard(spark):
+    rows = edited()
+    parent = {r[0]: r[0] for r in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in true_links(rows):
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    assert {r.doc_id: r.component_id for r in simhash.similar(frame(spark, rows)).collect()} == {i: root(i) for i in parent}
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 4000).astype(np.uint64)

@@ -22,7 +22,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -61,7 +61,7 @@ def tokens(url: str | None) -> list[str]:
     """Distinct tokens of a URL. Numbers in the path are one token."""
     host, path = host_and_path(url)
     head, _, rest = (url or "").partition("://")
-    out = {f"scheme={head[:20].translate(_LOWER)}"} if rest else set()
+    out = {f"scheme={head.translate(_LOWER)}"} if rest else set()
     labels = [x for x in host.split(".") if x]
     if labels:
         out |= {f"top={labels[-1]}", f"domain={'.'.join(labels[-2:])}"} | {f"label={x}" for x in labels[:-2]} | {f"part={y}" for x in labels[:-2] for y in x.split("-")}
@@ -71,16 +71,16 @@ def tokens(url: str | None) -> list[str]:
             out.add(f"ending={ending}")
         for word in re.split(r"[-_]", name if dot else segment):
             if word:
-                out.add("path=0" if word.isdigit() else f"path={word[:40]}")
+                out.add("path=0" if word.isdigit() else f"path={word}")
     query = rest.partition("?")[2].partition("#")[0]
-    out |= {f"key={pair.partition('=')[0][:40]}" for pair in query.split("&") if pair}
+    out |= {f"key={pair.partition('=')[0]}" for pair in query.split("&") if pair}
     if "#" in rest:
         out.add("fragment")
     return sorted(out)
 
 
-def mine(pages: DataFrame, rules=RULES, support: float = 0.005, confidence: float = 0.9, most: int = 5000) -> list[tuple[list[str], str, float, float]]:
-    """Association rules (tokens, verdict, confidence, support) from the URLs that the fixed list decides; at most so many, the best, reach the driver."""
+def mine(pages: DataFrame, rules=RULES, support: float = 0.005, confidence: float = 0.9) -> list[tuple[list[str], str, float, float]]:
+    """Association rules (tokens, verdict, confidence, support) from the URLs that the fixed list decides. What support and confidence leave reaches the driver, but for rules that one token less makes as confident."""
 
     def labelled(batches):
         fixed = Fixed(rules)
@@ -95,8 +95,13 @@ def mine(pages: DataFrame, rules=RULES, support: float = 0.005, confidence: floa
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(pages.select("url").mapInArrow(labelled, "items array<string>"))
     if not model.freqItemsets.take(1):
         return []
-    concluded = model.associationRules.where("consequent[0] LIKE 'verdict=%'").select("antecedent", F.substring(F.col("consequent")[0], 9, 20).alias("verdict"), "confidence", "support")
-    best = concluded.orderBy(F.desc("confidence"), F.size("antecedent"), F.desc("support"), F.array_join(F.array_sort("antecedent"), " ")).limit(most)
+    found = model.associationRules.where("consequent[0] LIKE 'verdict=%'").select(F.array_sort("antecedent").alias("antecedent"), F.substr(F.col("consequent")[0], F.lit(9)).alias("verdict"), "confidence", "support")
+    concluded = cut(found)
+    # A rule that any subset makes redundant is so by a minimal one, which stays; so the driver's pruning of the rest is exact.
+    less = concluded.select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("_token")).withColumn("_less", F.array_remove("antecedent", F.col("_token")))
+    shorter = concluded.select(F.col("antecedent").alias("_less"), "verdict", F.col("confidence").alias("_confidence"))
+    redundant = less.join(shorter, ["_less", "verdict"]).where("_confidence >= confidence").select("antecedent", "verdict").distinct()
+    best = concluded.join(redundant, ["antecedent", "verdict"], "left_anti")
     out, kept = [], defaultdict(list)
     for r in sorted(best.collect(), key=lambda r: (len(r.antecedent), -r.confidence)):
         own = frozenset(r.antecedent)

@@ -547,3 +547,12 @@ def test_pipeline_matches_its_stages(spark):
     want = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in packing.pack(mixing.mixed_documents(shortened)).collect())
     got = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SMALL).collect())
     assert got == want and got
+
+
+def test_url_rules_below_full_confidence_are_kept(spark):
+    long = [f"http://a.net/es/{'/'.join(f'p{k}' for k in range(12))}"] * 40  # over 5000 rules of confidence 1
+    mixed = ["http://b.net/fr/?q=1"] * 19 + ["http://c.com/?q=1"]
+    found = urls.mine(spark.createDataFrame(list(enumerate(long + mixed)), "page_id long, url string"))
+    assert any(own == ["key=q"] and verdict == "block" and abs(c - 0.95) < 1e-9 for own, verdict, c, _ in found)
+    assert not any(c == 1 and len(own) > 1 and any(set(o) < set(own) and v == verdict for o, v, *_ in found) for own, verdict, c, _ in found)
+    assert {f"path={'a' * 50}", f"key={'k' * 50}"} <= set(urls.tokens(f"http://x.net/{'a' * 50}?{'k' * 50}=1"))

@@ -48,6 +48,12 @@ def test_quality_figures(spark):
     assert kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and "votes" in kept.columns and kept.count() > 0
 
 
+def test_quality_counts_long_words_of_every_text(spark):
+    text = " ".join(w for k in range(30) for w in (f"{k:060d}", f"w{k:05d}"))
+    found = quality.judge(frame(spark, [(1, text, "en", "a", len(text)), *documents()])).where("doc_id = 1 AND n_words = 60").first()
+    assert found.n_long == 30 and found.votes[-1] == "b"
+
+
 def test_quality_weighs_rules():
     patterns = {"ggggggggg" + "g-": 900, "ggbggggggg-": 60, "ggggbbbbggg"[:11]: 40}
     posterior, rules, share = quality.fit(patterns)

@@ -417,14 +417,92 @@ def test_exchange_finds_two_classes():
 # toxicity, language
 
 
+def brute_windows(text: bytes) -> list[bytes]:
+    words, out, start = text.lower().split(), [], 0
+    while start < len(words):
+        out.append(b" " + b" ".join(words[start : start + toxicity.WINDOW]) + b" ")
+        if start + toxicity.WINDOW >= len(words):
+            break
+        start += toxicity.WINDOW // 2
+    return out
+
+
+@pytest.mark.parametrize("stretch", [7, 300, 1 << 20])
+def test_toxicity_windows(monkeypatch, stretch):
+    monkeypatch.setattr(toxicity, "STRETCH", stretch)
+    for n in (0, 1, 15, 16, 17, 31, 32, 33, 47, 48, 49, 64, 65, 500):
+        text = " \n".join(f"Word{k}" for k in range(n)).encode()
+        assert list(toxicity.windows(text)) == brute_windows(text), n
+    assert list(toxicity.windows(b" \t ")) == []
+
+
+def insulting(n: int = 120) -> tuple[list[tuple], list[tuple]]:
+    """Texts of random words; those of odd id hold one of four words that no other text has."""
+    rng, rows = random.Random(5), []
+    for i in range(n):
+        words = ["".join(rng.choice(["ta", "ro", "min", "ke", "sul", "po"]) for _ in range(3)) for _ in range(rng.randint(80, 160))]
+        if i % 2:
+            for at in rng.sample(range(len(words)), 5):
+                words[at] = rng.choice(["grumblefoot", "snivelwort", "blatherskite", "mugwumpish"])
+        rows.append((i, " ".join(words), "en", "a", 1))
+    return rows, [(i, i % 2) for i in range(n)]
+
+
+def test_toxicity_dictionaries_are_of_their_own_class(spark):
+    """What the toxic dictionary is trained on occurs in toxic texts, in windows that the ordinary ones lack; and the other way round."""
+    rows, labels = insulting()
+    df, truth = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    sample, classes = toxicity.sampled(df, truth, 100)
+    assert classes == {0: 60, 1: 60} and sample.count() == 120
+    counts = {0: 60, 1: 60}
+    own = toxicity.samples(sample, toxicity.telling_grams(sample, counts, 0.01, 8.0, 12.0), 1000)
+    of = {k: [" " + r[1] + " " for r in rows if r[0] % 2 == k] for k in (0, 1)}
+    assert own[1] and all(any(s.decode() in t for t in of[1]) and not any(s.decode() in t for t in of[0]) for s in own[1])
+    assert all(any(s.decode() in t for t in of[0]) for s in own[0])
+    trained = toxicity.train({s: 200 * n for s, n in own[1].items()}, size=256)[-100:]  # zstandard's tables come first
+    assert sum(any(trained[k : k + 4] in s for s in own[1]) for k in range(97)) >= 60
+    model = toxicity.fit(df, truth)
+    assert b"grumblefoot" in model["toxic"] and b"grumblefoot" not in model["ordinary"]
+    found = toxicity.score(df, model).collect()
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in found)
+
+
+def test_toxicity_sample_has_one_of_texts_alike(spark):
+    rows, labels = insulting(40)
+    copies = [(100 + k, rows[1][1] + f" tail{k}", "en", "a", 1) for k in range(30)]
+    sample, _ = toxicity.sampled(frame(spark, rows + copies), spark.createDataFrame(labels + [(100 + k, 1) for k in range(30)], "doc_id long, toxic int"), 100)
+    kept = [r.text for r in sample.collect()]
+    assert sum(t.startswith(rows[1][1]) for t in kept) <= 3 and len({t for t in kept if not t.startswith(rows[1][1])}) == 39
+
+
+def test_toxicity_advantage_is_of_compressed_lengths():
+    import zstandard
+
+    ordinary, toxic = b"plain words here ", b" grumblefoot snivelwort "
+    a = toxicity.Advantage(ordinary, toxic)
+    text = b"some Grumblefoot came by with other grumblefoot folk"
+    told = a.of(text)
+    assert told.tolist() == [len(a.ordinary(toxicity.FRAME + w + toxicity.TAIL)) - len(a.toxic(toxicity.FRAME + w + toxicity.TAIL)) for w in brute_windows(text)] and told[0] > 4
+    assert a.of(b"nothing to see").tolist() == [0] and isinstance(zstandard.__version__, str)
+
+
+def test_toxicity_calibration():
+    rng = np.random.default_rng(3)
+    rows = [(0, rng.integers(-3, 2, 20)) for _ in range(200)] + [(1, np.append(rng.integers(-3, 2, 20), [9] * 3)) for _ in range(200)]
+    threshold, coefficients = toxicity.calibrate(rows, (900, 100))
+    p = [toxicity.chance(toxicity.features(a, threshold), coefficients) for _, a in rows]
+    assert 2 <= threshold <= 9 and max(p[:200]) < 0.3 < min(p[200:])
+    assert toxicity.features(np.zeros(0, np.int64), 3) == [0.0, 0.0, 0.0]
+
+
 def test_toxicity_on_held_out(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    found = toxicity.op1_toxicity(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()
-    clean = [r for r in found if not r.toxic]
-    bad = [r for r in found if r.toxic]
-    assert sum(r.predicted for r in bad) / len(bad) >= 0.6 and sum(r.predicted for r in clean) / len(clean) <= 0.03
-    assert all(0 <= r.score <= 1 for r in found) and docs.count() == toxicity.op1_toxicity(spark, "/root/testdata/sf0.01").count()
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    found = toxicity.op1_toxicity(spark, "/root/testdata/sf0.1").cache()
+    told = found.join(labels, "doc_id").where("held_out").collect()
+    clean = [r for r in told if not r.toxic]
+    bad = [r for r in told if r.toxic]
+    assert sum(r.predicted for r in bad) / len(bad) >= 0.8 and sum(r.predicted for r in clean) / len(clean) <= 0.03
+    assert found.where("score < 0 OR score > 1 OR score IS NULL").count() == 0 and found.count() == spark.read.parquet("/root/testdata/sf0.1/documents.parquet").count()
 
 
 def test_toxicity_cases(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -22,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where that is unset (tests on one machine), one of our own."""
+    """The shared folder of spark.checkpoint.dir; where that is unset and all runs on one machine (as in tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
+    if not found and jsc.getCheckpointDir().isDefined():
+        found = jsc.getCheckpointDir().get()
     if not found:
-        kept = jsc.getCheckpointDir()
-        found = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="checkpoint-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="checkpoint-")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found

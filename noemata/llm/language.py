@@ -6,12 +6,12 @@ over its characters. Words are independent, so a text's is the product over its
 languages is the posterior under equal priors. Words are scored once and remembered (a bounded number of them).
 
 Piece probabilities are fitted by expectation-maximisation (forward and backward passes) on the `max_words` most frequent
-words of each language in a bounded sample of the labelled documents (`max_documents` of each language, those of smallest
-hash). Characters that the vocabulary lacks are pieces of a small fixed probability.
+words (of at most `max_letters` letters) of each language in a bounded sample of the labelled documents (`max_documents`
+of each language, those of smallest hash). Characters that the vocabulary lacks are pieces of a small fixed probability.
 
 Cases: null texts and those without a letter get `und` and score 0; repeated rows and ids are judged each; null languages
 aren't learned; without training rows (empty tables too) all texts get `und`; ties between languages go to the first by
-name. Columns of other names are ignored.
+name; a very long text, or word, is scored whole. Columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -99,14 +99,14 @@ def by_length(words: list[str]) -> dict[int, list[int]]:
     return out
 
 
-def train(words: dict[str, Counter], pieces: dict[str, int], rounds: int = 4, prior: float = 0.01) -> tuple[list[str], np.ndarray]:
+def train(words: dict[str, Counter], pieces: dict[str, int], rounds: int = 4, prior: float = 0.01, max_letters: int = 40) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the chance of each piece in each; row 0 is for no piece, the last for an unknown character."""
     languages, longest = sorted(words), max(map(len, pieces), default=1)
     every = sorted(set().union(*words.values()))
     weights = np.array([[words[k][w] for k in languages] for w in every], float)
     size = len(pieces) + 2
     chance = np.full((size, len(languages)), 1.0 / size)
-    groups = [(Lattice([MARK + every[i] for i in at], pieces, longest), at) for n, at in by_length(every).items() if n <= 40]
+    groups = [(Lattice([MARK + every[i] for i in at], pieces, longest), at) for n, at in by_length(every).items() if n <= max_letters]
     for _ in range(rounds):
         counts = np.zeros((size, len(languages)))
         for lattice, at in groups:
@@ -168,12 +168,19 @@ class Scorer:
         return out
 
 
-def fit(training: DataFrame, pieces: dict[str, int], max_documents: int = 1200, max_words: int = 8000) -> tuple[list[str], np.ndarray]:
+def first_of(rows: DataFrame, order: list, most: int, slices_: int = 64) -> DataFrame:
+    """The first rows of each language: first of each slice of its rows, so that a language of most rows is spread over tasks, then of these."""
+    sliced = rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(slices_)))
+    for keys in (["lang", "_s"], ["lang"]):
+        sliced = sliced.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    return sliced.drop("_s")
+
+
+def fit(training: DataFrame, pieces: dict[str, int], max_documents: int = 1000, max_words: int = 8000, max_letters: int = 40) -> tuple[list[str], np.ndarray]:
     """training: doc_id, text, lang."""
     spark = training.sparkSession
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = training.where("lang IS NOT NULL")
-    picked = cut(known.select("doc_id", "lang").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= max_documents).drop("_n").distinct())
+    picked = cut(first_of(known.select("doc_id", "lang").distinct(), [F.xxhash64("doc_id"), F.col("doc_id")], max_documents))
     sample = known.join(F.broadcast(picked), ["doc_id", "lang"])  # at most max_documents for each language
 
     def counted(batches):
@@ -186,11 +193,11 @@ def fit(training: DataFrame, pieces: dict[str, int], max_documents: int = 1200,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["lang", "word", "n"])
 
     counts = sample.select("lang", "text").mapInArrow(counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("_n") <= max_words).drop("_n")
+    top = first_of(counts, [F.desc("n"), F.col("word")], max_words)
     words: dict[str, Counter] = {}
     for lang, word, n in zip(*(c.to_pylist() for c in top.toArrow().columns), strict=True):
         words.setdefault(lang, Counter())[word.decode("utf-8", "replace").lower()] += n
-    return train(words, pieces) if words else ([], np.zeros((len(pieces) + 2, 0)))
+    return train(words, pieces, max_letters=max_letters) if words else ([], np.zeros((len(pieces) + 2, 0)))
 
 
 def identify(docs: DataFrame, training: DataFrame, name: str = "piece_bpe_32k.model", **options) -> DataFrame:

@@ -11,7 +11,7 @@ finish time) are taken in slices: totals of slices first, a small table, then wi
 rows is so spread over many tasks.
 
 Cases: null or empty text has size 0 and is taken as 0 words; a null source is a source, put last in the order of
-weights; repeated rows and ids count each; where all sizes are 0 (empty tables too) targets and taken words are 0. Other
+weights; repeated rows and ids count each, and of copies that finish at one time those of the first source, then of the smaller doc_id go first; a very long text is a size like any other; where all sizes are 0 (empty tables too) targets and taken words are 0. Other
 columns that the table has are ignored by mix() and kept by mixed_documents().
 """
 
@@ -24,7 +24,7 @@ from .common import cut, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Copies in one slice of a running sum, about.
-SLICE = 8_000
+SLICE = 4_000
 
 
 def words(column: str) -> F.Column:
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     summed = _running(copies, ["source_key"], "_slice", ["_hash", "doc_id"], "sent", "_upto")
     goal = goals.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"), "source_size", "target")
     timed = summed.join(goal, "source_key").withColumn("_finish", F.when(F.col("target") > 0, F.col("_upto") / F.col("target")).otherwise(F.when(F.col("sent") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))))
-    timed = timed.withColumn("_time", F.least(F.lit(2 * n), F.floor(F.col("_finish") * n)).cast("long"))
+    timed = timed.withColumn("_time", F.floor(F.least(F.col("_finish"), F.lit(1e9)) * n).cast("long"))  # as many slices as the slowest source needs
     order = ["_finish", "source_key", "epoch", "doc_id", "size"]
     queue = _running(timed.withColumn("_all", F.lit(0)), ["_all"], "_time", order, "sent", "_total")
     near = F.floor(F.lit(budget) - (F.col("_total") - F.col("sent"))) / F.greatest(F.col("size"), F.lit(1))

@@ -7,7 +7,8 @@ pattern rather than single documents. The placements are joined back to the piec
 length. Ranks come from counts for each (length, hash slice), so that a length that a third of all pieces have is spread
 over many tasks.
 
-Cases: a null or empty text has the end id alone and is packed like any other; repeated rows and repeated ids are packed
+Cases: a null or empty text has the end id alone and is packed like any other; a very long text is cut into full sequences
+and a rest; pieces of one length are told apart by slice, doc_id, start and checksum, and of those alike in all any may come first; repeated rows and repeated ids are packed
 each; an empty table gives no piece. Columns of other names are ignored.
 """
 

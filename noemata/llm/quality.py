@@ -6,8 +6,8 @@ number of rules rows, whatever the input). The hidden classes are good and one b
 rule's votes are worth in each class and the classes' shares are estimated by expectation-maximisation. A text is kept where the posterior probability of good
 is at least 1/2 and the base check passes.
 
-Cases: a null or empty text has no words, fails the base check and isn't kept; repeated rows and ids are judged each; an
-empty table gives an empty result. Columns of other names are ignored by judge() and kept by kept_documents().
+Cases: a null or empty text has no words, fails the base check and isn't kept; repeated rows and ids are judged each; a very
+long text is measured whole; a posterior of exactly 1/2 keeps; an empty table gives an empty result. Columns of other names are ignored by judge() and kept by kept_documents().
 """
 
 from __future__ import annotations

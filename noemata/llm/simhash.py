@@ -18,8 +18,9 @@ find every pair that is similar enough by the prefixes of the sets.
 
 Cases: null and empty texts and those of white space only have fingerprint 0, which links like any other; with fewer words
 than a shingle has, the whole sequence is the only shingle; repeated rows and ids are reported each (equal ids count as one
-document in components); rows without id are linked to
-nothing; an empty table gives an empty result. Columns of other names are ignored by near_duplicates().
+document in components); rows without id are reported
+with their fingerprint and a null component, and link nothing; a very long text is hashed like any other; of equal ids and fingerprints
+the order doesn't matter, and a component has its smallest id; an empty table gives an empty result. Columns of other names are ignored by near_duplicates().
 """
 
 from __future__ import annotations
@@ -417,7 +418,7 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, parts:
         edges = edges.unionAll(several.select(F.col("node").alias("u"), F.col("doc_id").alias("v")))
     found = components(edges)
     labelled = distinct.join(found, distinct["node"] == found["node"], "left").select("print", F.coalesce("component", distinct["node"]).alias("component_id"))
-    return prints.join(labelled, "print").select("doc_id", "print", "component_id")
+    return prints.join(labelled, "print", "left").select("doc_id", "print", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def hexadecimal(column: str) -> F.Column:

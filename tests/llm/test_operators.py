@@ -91,14 +91,14 @@ def brute_components(prints: dict) -> dict:
 
 
 def test_simhash_matches_brute_force(spark):
-    rows = [r for r in documents() if r[0] is not None]
-    base = documents()[3][1]
+    rows, base = documents(), documents()[3][1]
     rows += [(200 + k, base + " tail" * k, "en", "a", 1) for k in range(1, 5)]
+    rows += [(None, base, "en", "a", 1), (None, base, None, None, 1), (None, "text that no other row has", "en", "a", 1), (None, None, "en", "a", 1)]
     found = simhash.near_duplicates(frame(spark, rows, extra=True)).collect()
-    assert len(found) == len(rows)
-    prints = {r[0]: brute_print(text_of(r)) for r in rows}
-    assert {r.doc_id: r.print % 2**64 for r in found} == prints
-    assert {r.doc_id: r.component_id for r in found} == brute_components(prints)
+    prints = {r[0]: brute_print(text_of(r)) for r in rows if r[0] is not None}
+    told = brute_components(prints)
+    want = [(r[0], brute_print(text_of(r)), None if r[0] is None else told[r[0]]) for r in rows]
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.print % 2**64, r.component_id)) for r in found)
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
@@ -208,6 +208,15 @@ def test_radii_cover_the_distance():
     assert simhash.allocate([[0, 5, 50], [0, 1, 100], [0, 7, 9], [0, 1e9, 1e9]], 4) == [0, 0, 1, -1]
 
 
+@pytest.mark.parametrize("hub", [5, 10**6])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
+    links = [(7, k) for k in range(100, 140)] + [(k, k + 50) for k in range(100, 120)] + [(300, k) for k in range(301, 330)] + [(329, 150), (400, 401)]
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    nodes = {x for pair in links for x in pair}
+    assert found == {x: 7 if x < 200 else 7 if x in range(300, 330) else 400 for x in nodes if x not in (7, 400)}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200) if i != 120] + [(5, 5)], "u long, v long")
     found = {r.node: r.component for r in components.components(links).collect()}
@@ -533,6 +542,40 @@ def test_lattice_sums_all_segmentations():
         assert math.isclose(sum(counts[i, 0] * n for i, n in lengths.items()), len(whole), rel_tol=1e-9)
 
 
+def test_language_picks_are_the_first_of_each_language(spark):
+    rng = random.Random(1)
+    rows = sorted({(rng.choice(["en", "en", "en", "fr"]), rng.randrange(10**6)) for _ in range(3000)})
+    df = spark.createDataFrame(rows, "lang string, doc_id long").repartition(7)
+    got = sorted((r.lang, r.doc_id) for r in language.first_of(df, [F.col("doc_id")], 40).collect())
+    assert got == sorted([x for x in rows if x[0] == "en"][:40] + [x for x in rows if x[0] == "fr"][:40])
+
+
+def test_language_query_matches_brute_force(spark):
+    """The query's answers from plain sums over segmentations, with the chances that it learned."""
+    pieces = language.vocabulary("piece_bpe_32k.model")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    languages, chance = language.fit(docs.select("doc_id", "text", "lang").where(fold("doc_id", 5) != 0), pieces)
+    longest, last = max(map(len, pieces)), len(pieces) + 1
+
+    def log_chances(word):
+        sums = [np.ones(len(languages))] + [np.zeros(len(languages)) for _ in word]
+        for stop in range(1, len(word) + 1):
+            for start in range(max(0, stop - longest), stop):
+                if i := pieces.get(word[start:stop], last if stop == start + 1 else 0):
+                    sums[stop] = sums[stop] + sums[start] * chance[i]
+        return np.log(sums[-1])
+
+    told = {r.doc_id: (r.lang_pred, r.score) for r in language.op9_language_id(spark, SMALL).collect()}
+    for r in docs.orderBy("doc_id").limit(40).collect():
+        words = (r.text or "").encode().lower().decode().split()
+        words = [language.MARK + w.lower() for w in words if len(w) <= 60]
+        if not words or len(words) != len((r.text or "").split()):
+            continue
+        total = sum(log_chances(w) for w in words)
+        best = int(np.argmax(total))
+        assert told[r.doc_id][0] == languages[best] and math.isclose(told[r.doc_id][1], 1 / np.exp(total - total[best]).sum(), rel_tol=1e-6)
+
+
 def test_language_on_held_out(spark):
     found = language.op9_language_id(spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert found.where("held_out AND lang = lang_pred").count() >= 0.95 * found.where("held_out").count()

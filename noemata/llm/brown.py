@@ -1,26 +1,36 @@
 """Language-model scores from class-based bigrams; exchange clustering assigns words to classes.
 
 Tokens: runs of non-white-space, ASCII letters lower-cased, and one end for each text (which also stands before its first
-word). Counts are taken over all training texts. The `n_words` most frequent tokens are clustered one by one; all other
-words go by the hash of their last two bytes into one of `n_endings` groups, which are clustered like words, so that every
-word, seen or not, has a class. Exchange clustering starts from classes dealt out by frequency and moves one item at a time
-to the class where the likelihood of the class bigrams is largest, until nothing moves.
+word). Counts are taken over all training texts. Exchange clustering goes in two steps.
 
-P(word | before) = P(class | class before) P(word | class). Transitions are smoothed towards the share of the class. Words
-get their count less a discount; what that leaves, with one count more, goes to the unseen words of the class as one.
-
-Counts of words: the `n_near` most frequent go to all tasks, the others are joined by word. Only these, the table of class
-pairs (n_words + n_endings squared, at most) and a row for each class reach the driver, whatever the input.
+The `n_seed` most frequent words, and `n_endings` groups of all other words by the hash of their last two bytes, are
+clustered on the driver: from classes dealt out by frequency, one item at a time moves to the class where the likelihood of
+the class bigrams is largest, until nothing moves. Then every other word that occurs `min_count` times or more, up to the
+`n_near` most frequent words in all, leaves its group and moves to the class that is best for it among these, by the counts
+of the classes before and after it: the words are dealt out to tasks, the table of class bigrams stays as it is meanwhile.
+Rarer words, seen or not, have the class of their group. So the vocabulary that is clustered word by word grows with the
+corpus. In the end the class bigrams are counted anew.
 
-Cases: null or empty texts, and those of white space only, are an end alone; repeated rows and ids are scored each; without
-training rows every token is unseen, N and V are 0 and each token's probability is 1 under the base and the class model's
-for unseen words; an empty table gives an empty result. Columns of other names are ignored.
+P(word | before) = P(class | class before) P(word | class). Transitions are smoothed towards the share of the class. Words
+get their count less a discount; what that leaves, with one count more, is the chance of the unseen words of the class as
+one event, as the base's V + 1 counts them as one: over all seen words and one unseen word of each class the chances sum to 1.
+
+Counts of words: the `n_near` most frequent go to all tasks, the others are joined by word. Only these, the table of item
+pairs (n_seed + n_endings squared, at most), a class for each near word and a row for each class reach the driver, whatever
+the input.
+
+Cases: null or empty texts, and those of white space only, are an end alone; a very long text is scored whole; repeated
+rows and ids are scored each; of equally frequent words those that sort first count as more frequent, of equally good
+classes the first is taken; without training rows every token is unseen, N and V are 0 and each token's probability is 1
+under the base and the class model's for unseen words; an empty table gives an empty result. Columns of other names are
+ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +38,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, slices, table, texts, written
+from .common import fold, release, slices, table, texts, written
 
 END = b""
-FLUSH, MEMORY = 400_000, 600_000
+#: Words counted, words remembered, and cells of words by class held by a task before it passes them on or forgets them.
+FLUSH, MEMORY, CELLS = 400_000, 600_000, 2_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -59,12 +70,13 @@ def counts(docs: DataFrame) -> DataFrame:
             if len(held) > FLUSH:
                 yield flush()
         yield flush()
+        release()
 
     return docs.select("text").mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Items(dict):
-    """Item of a word: its place among the clustered words, or its ending's group behind them."""
+    """Item of a word: its place among the listed words, or its ending's group behind them."""
 
     def __init__(self, words: list[bytes], n_endings: int):
         super().__init__({w: i for i, w in enumerate(words)})
@@ -77,9 +89,13 @@ class Items(dict):
         return item
 
 
-def pairs(docs: DataFrame, words: list[bytes], n_endings: int) -> np.ndarray:
-    """How often one item follows another, over all texts."""
-    n = len(words) + n_endings
+def _entropy(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def pairs(docs: DataFrame, words: list[bytes], n_endings: int, merged: np.ndarray | None = None) -> np.ndarray:
+    """How often one item follows another, over all texts; with merged, a class for each item, how often one class follows another."""
+    n = len(words) + n_endings if merged is None else int(merged.max()) + 1
 
     def paired(batches):
         items = Items(words, n_endings)
@@ -90,14 +106,15 @@ def pairs(docs: DataFrame, words: list[bytes], n_endings: int) -> np.ndarray:
             for text in texts(batch):
                 found += [end, *map(items.__getitem__, text.lower().split())]
             if found:
-                at = np.array(found, np.int64)
                 # Texts follow each other with an end between, so each text's end is what stands before the next one.
-                after = np.append(at[1:], end)
-                held += np.bincount(at * n + after, minlength=n * n)
+                at = np.array([*found, end], np.int64)
+                at = at if merged is None else merged[at]
+                held += np.bincount(at[:-1] * n + at[1:], minlength=n * n)
         some = np.flatnonzero(held)
         for start in range(0, len(some), 100_000):
             part = some[start : start + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], names=["pair", "n"])
+        release()
 
     found = docs.select("text").mapInArrow(paired, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(n * n)
@@ -105,8 +122,17 @@ def pairs(docs: DataFrame, words: list[bytes], n_endings: int) -> np.ndarray:
     return out.reshape(n, n)
 
 
-def _entropy(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1))
+def gains(table_: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """What each class of each table (words by class by class, without the word) gains by its word; right, left: how often each class follows and precedes it; own: how often it follows itself."""
+    whole = _entropy(table_)
+    after, before = _entropy(table_ + right[:, None, :]) - whole, _entropy(table_ + left[:, :, None]) - whole
+    k = np.arange(table_.shape[1])
+    both = _entropy(table_[:, k, k] + right + left + own[:, None]) - whole[:, k, k]
+    out = after.sum(2) + before.sum(1) + both - after[:, k, k] - before[:, k, k]
+    # What precedes the word stays a predecessor, what follows it a follower, whatever class it is in.
+    for of, more in ((table_.sum(2) + left, right.sum(1) + own), (table_.sum(1) + right, left.sum(1) + own)):
+        out -= _entropy(of + more[:, None]) - _entropy(of)
+    return out
 
 
 def exchange(follows: np.ndarray, n_classes: int, rounds: int = 8) -> np.ndarray:
@@ -130,13 +156,7 @@ def exchange(follows: np.ndarray, n_classes: int, rounds: int = 8) -> np.ndarray
             table_[was] -= right
             table_[:, was] -= left
             table_[was, was] -= own
-            rows, columns = table_.sum(1), table_.sum(0)
-            gain = (_entropy(table_ + right[None, :]) - _entropy(table_)).sum(1) + (_entropy(table_ + left[:, None]) - _entropy(table_)).sum(0)
-            diagonal = np.diag(table_)
-            both = _entropy(diagonal + right + left + own) - _entropy(diagonal)
-            gain += both - (_entropy(diagonal + right) - _entropy(diagonal)) - (_entropy(diagonal + left) - _entropy(diagonal))
-            out, into = right.sum() + own, left.sum() + own
-            gain -= _entropy(rows + out) - _entropy(rows) + _entropy(columns + into) - _entropy(columns)
+            gain = gains(table_[None], right[None], left[None], np.array([own]))[0]
             new = int(np.argmax(gain))
             if gain[new] <= gain[was] + 1e-9:
                 new = was
@@ -155,58 +175,174 @@ def exchange(follows: np.ndarray, n_classes: int, rounds: int = 8) -> np.ndarray
     return of
 
 
-def score(docs: DataFrame, training: DataFrame, n_words: int = 800, n_endings: int = 200, n_classes: int = 48, n_near: int = 131_072, discount: float = 0.75, pull: float = 20.0) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs, by the model of training."""
-    spark = docs.sparkSession
+def moved_to(table_: np.ndarray, right: np.ndarray, left: np.ndarray, was: np.ndarray, block: int = 128) -> np.ndarray:
+    """The best class of each word, each on its own against the same table of class bigrams, of which it is part in class `was`."""
+    out = was.copy()
+    for start in range(0, len(was), block):
+        of = slice(start, start + block)
+        r, b, at = right[of], left[of], np.arange(len(was[of]))
+        without = np.repeat(table_[None], len(at), 0)
+        without[at, was[of]] -= r
+        without[at, :, was[of]] -= b
+        gain = gains(np.maximum(without, 0), r, b, np.zeros(len(at)))
+        best = gain.argmax(1)
+        better = gain[at, best] > gain[at, was[of]] + 1e-9
+        out[of] = np.where(better, best, was[of])
+    return out
+
+
+def exchanged(training: DataFrame, near: list[bytes], first: int, last: int, n_endings: int, classes: np.ndarray, table_: np.ndarray) -> np.ndarray:
+    """The classes of the near words from `first` up to `last`, each exchanged against the table; classes: those of all near words and then of the groups."""
+    k = table_.shape[0]
+    spark = training.sparkSession
+    sent = spark.sparkContext.broadcast((near, classes))
+
+    def around(batches):
+        words, of = sent.value
+        items, held, size = Items(words, n_endings), [], 0
+        end = items[END]
+
+        def flush():
+            cell, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            for start in range(0, len(cell), 200_000):
+                c = cell[start : start + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array((c // (2 * k)).astype(np.int32)), pa.array((c % (2 * k)).astype(np.int32)), pa.array(n[start : start + 200_000].astype(np.int32))], names=["word", "cell", "n"])
+
+        for batch in (part for whole in batches for part in slices(whole)):
+            found = []
+            for text in texts(batch):
+                found += [end, *map(items.__getitem__, text.lower().split())]
+            at = np.array([*found, end], np.int64)
+            own = of[at]
+            mine = np.flatnonzero((at >= first) & (at < last))
+            mine = mine[(mine > 0) & (mine < len(at) - 1)]
+            held += [at[mine] * 2 * k + own[mine + 1], at[mine] * 2 * k + k + own[mine - 1]]
+            size += 2 * len(mine)
+            if size > CELLS:
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
+        release()
+
+    def best(batches):
+        _, of = sent.value
+        seen, sums = np.zeros(last, bool), np.zeros((last, 2 * k), np.float32)  # a row for each near word, whatever the input
+        for batch in batches:
+            word, cell, n = (np.asarray(batch.column(c)) for c in ("word", "cell", "n"))
+            np.add.at(sums, (word, cell), n)
+            seen[word] = True
+        at = np.flatnonzero(seen)
+        new = moved_to(table_, sums[at, :k].astype(float), sums[at, k:].astype(float), of[at])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(new)], names=["word", "class"])
+        release()
+
+    cells = training.select("text").mapInArrow(around, "word int, cell int, n int").repartition("word")
+    found = cells.mapInArrow(best, "word long, class long").toArrow()  # a row for each near word at most
+    out = classes.copy()
+    if found.num_rows:
+        out[np.asarray(found.column("word").combine_chunks())] = np.asarray(found.column("class").combine_chunks())
+    return out
+
+
+@dataclass
+class Model:
+    """near: the most frequent words, near_c: their counts; classes: the class of each of them and then of each group of endings; table: class bigrams; held, types: tokens and words of each class."""
+
+    near: list[bytes]
+    near_c: np.ndarray
+    n_endings: int
+    classes: np.ndarray
+    table: np.ndarray
+    held: np.ndarray
+    types: np.ndarray
+    size: int
+    distinct: int
+    discount: float
+    pull: float
+
+    def steps(self) -> np.ndarray:
+        """Logarithms of P(class | class before)."""
+        t = self.table
+        share = (t.sum(0) + 1) / (t.sum() + len(t))
+        return np.log10((t + self.pull * share[None, :]) / (t.sum(1) + self.pull)[:, None])
+
+    def unseen(self) -> np.ndarray:
+        """Logarithms of P(an unseen word | class)."""
+        return np.log10((self.discount * self.types + 1) / (self.held + 1))
+
+    def class_of(self, word: bytes) -> int:
+        return int(self.classes[self.near.index(word) if word in self.near else len(self.near) + ending(word, self.n_endings)])
+
+
+def fit(training: DataFrame, n_seed: int = 1500, n_endings: int = 200, n_classes: int = 48, n_near: int = 131_072, min_count: int = 3, discount: float = 0.75, pull: float = 20.0) -> tuple[Model, DataFrame]:
+    """The model, and all words with their counts (word, c)."""
     counted = written(counts(training), "counts")
     size, distinct = (int(x or 0) for x in counted.agg(F.sum("c"), F.count(F.lit(1))).first())
     top = counted.orderBy(F.desc("c"), "word").limit(n_near).toArrow()
-    near = [x for x in top.column("word").to_pylist()]
+    near = list(top.column("word").to_pylist())
     near_c = np.asarray(top.column("c").combine_chunks() if top.num_rows else np.zeros(0), np.float64)
-    words = near[:n_words]
-    if END not in words:
-        words = [*words, END]
-    follows = pairs(training, words, n_endings)
-    class_of = exchange(follows, n_classes)
-    hot = np.zeros((len(class_of), n_classes))
-    hot[np.arange(len(class_of)), class_of] = 1
-    table_ = hot.T @ follows @ hot
-    share = (table_.sum(0) + 1) / (table_.sum() + n_classes)
-    step = np.log10((table_ + pull * share[None, :]) / (table_.sum(1) + pull)[:, None])
+    seed = near[:n_seed]
+    extra = [] if END in seed else [END]
+    if END not in near:  # without training rows
+        near, near_c = [*near, END], np.append(near_c, 0.0)
+    items = exchange(pairs(training, [*seed, *extra], n_endings), n_classes)
+    groups = items[len(seed) + len(extra) :]
+    classes = np.concatenate([items[: len(seed)], [items[len(seed)] if w == END and extra else groups[ending(w, n_endings)] for w in near[len(seed) :]], groups]).astype(np.int64)
+    last = int((near_c >= min_count).sum())
+    if last > len(seed):
+        classes = exchanged(training, near, len(seed), last, n_endings, classes, _classed(training, near, n_endings, classes, n_classes))
+    table_ = _classed(training, near, n_endings, classes, n_classes)
+    sent = training.sparkSession.sparkContext.broadcast((near, classes))
 
     def classed(batches):
-        items = Items(words, n_endings)
+        words, of = sent.value
+        known = Items(words, n_endings)
         for batch in batches:
-            of = class_of[np.array([items[w] for w in batch.column("word").to_pylist()], np.int64)] if len(batch) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(of), batch.column("c")], names=["class", "c"])
+            own = of[np.array([known[w] for w in batch.column("word").to_pylist()], np.int64)] if len(batch) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), batch.column("c")], names=["class", "c"])
 
     held, types = np.zeros(n_classes), np.zeros(n_classes)
     for r in counted.mapInArrow(classed, "class long, c long").groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("t")).collect():
         held[r["class"]], types[r["class"]] = r["c"], r["t"]
-    unseen = np.log10((discount * types + 1) / (held + 1))
-    base_unseen = float(np.log10(1 / (size + distinct + 1)))
-    log_held = np.log10(held + 1)
-    items = Items(words, n_endings)
-    near_class = class_of[np.array([items[w] for w in near], np.int64)] if near else np.zeros(0, np.int64)
-    near_base = np.log10((near_c + 1) / (size + distinct + 1))
-    near_own = np.log10(near_c - discount) - log_held[near_class]
+    return Model(near, near_c, n_endings, classes, table_, held, types, size, distinct, discount, pull), counted
+
+
+def _classed(training: DataFrame, near: list[bytes], n_endings: int, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    found = pairs(training, near, n_endings, classes)
+    return np.pad(found, (0, n_classes - len(found)))
+
+
+def score(docs: DataFrame, training: DataFrame, **options) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs, by the model of training."""
+    return scored(docs, *fit(training, **options))
+
+
+def scored(docs: DataFrame, model: Model, counted: DataFrame) -> DataFrame:
+    spark, n_endings, whole = docs.sparkSession, model.n_endings, float(model.size + model.distinct + 1)
+    step, unseen, log_held = model.steps(), model.unseen(), np.log10(model.held + 1)
+    some = model.near_c > 0
+    near = [w for w, x in zip(model.near, some.tolist(), strict=True) if x]
+    near_c, near_class = model.near_c[some], model.classes[: len(model.near)][some]
+    end_class, groups = model.class_of(END), model.classes[len(model.near) :]
+    near_base, near_own = np.log10((near_c + 1) / whole), np.log10(near_c - model.discount) - log_held[near_class]
     sent = spark.sparkContext.broadcast((near, near_class, near_base, near_own))
 
-    def scored(batches):
+    def walked(batches):
         near, near_class, near_base, near_own = sent.value
-        end_class = int(class_of[words.index(END)])
 
         class Known(dict):
             """Place among the near words; for others the class, as -1 - class."""
 
             def __missing__(self, word):
-                found = -1 - int(class_of[len(words) + ending(word, n_endings)])
+                found = -1 - (end_class if word == END else int(groups[ending(word, n_endings)]))
                 if len(self) < MEMORY:
                     self[word] = found
                 return found
 
         known, part, row = Known({w: i for i, w in enumerate(near)}), TaskContext.get().partitionId(), 0
-        for batch in (part_ for whole in batches for part_ in slices(whole)):
+        for batch in (part_ for whole_ in batches for part_ in slices(whole_)):
             out = []
             for text in texts(batch):
                 found = tokens(text)
@@ -220,21 +356,22 @@ def score(docs: DataFrame, training: DataFrame, n_words: int = 800, n_endings: i
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.list_(pa.struct([("word", pa.binary()), ("class", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "row", "n_tokens", "n_near", "base_near", "own_near", "rare"])
+        release()
 
     schema = "doc_id long, row long, n_tokens long, n_near long, base_near double, own_near double, rare array<struct<word: binary, class: int>>"
-    first = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, schema), "scored")
+    first = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(walked, schema), "scored")
     rare = first.select("row", F.explode("rare").alias("x")).groupBy("row", "x.word", "x.class").agg(F.count(F.lit(1)).alias("times"))
-    least = float(near_c[-1]) if len(near_c) == n_near else 0.0
+    least = float(near_c[-1]) if len(near) < model.distinct else 0.0
     far = counted.where(F.col("c") <= least)  # the near ones and those as frequent as the last of them; the others aren't asked for
     joined = rare.join(far, "word", "left")
     by_class = lambda x: F.element_at(F.array(*[F.lit(float(v)) for v in x]), F.col("class") + 1)
     seen = F.col("c").isNotNull()
-    own = F.when(seen, F.log10(F.col("c") - discount) - by_class(log_held)).otherwise(by_class(unseen))
-    base = F.when(seen, F.log10((F.col("c") + 1) / F.lit(float(size + distinct + 1)))).otherwise(F.lit(base_unseen))
+    own = F.when(seen, F.log10(F.col("c") - model.discount) - by_class(log_held)).otherwise(by_class(unseen))
+    base = F.when(seen, F.log10((F.col("c") + 1) / F.lit(whole))).otherwise(F.lit(float(np.log10(1 / whole))))
     sums = joined.groupBy("row").agg(F.sum(own * F.col("times")).alias("own_far"), F.sum(base * F.col("times")).alias("base_far"), F.sum(F.when(seen, F.col("times")).otherwise(0)).alias("n_far"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return first.drop("rare").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_near") + zero("n_far")).alias("n_known"), F.lit(size).cast("long").alias("train_tokens"), (F.col("base_near") + zero("base_far")).alias("base_score"), (F.col("own_near") + zero("own_far")).alias("score")
+        "doc_id", "n_tokens", (F.col("n_near") + zero("n_far")).alias("n_known"), F.lit(model.size).cast("long").alias("train_tokens"), (F.col("base_near") + zero("base_far")).alias("base_score"), (F.col("own_near") + zero("own_far")).alias("score")
     )
 
 

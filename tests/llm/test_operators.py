@@ -391,7 +391,7 @@ def test_class_bigrams(spark):
     df = frame(spark, extra=True)
     held = fold("doc_id", 7) == 2
     train = [r for r in documents() if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
-    found = brown.score(df, df.where(~F.coalesce(held, F.lit(False))), n_words=20, n_endings=8, n_classes=5, n_near=12).collect()
+    found = brown.score(df, df.where(~F.coalesce(held, F.lit(False))), n_seed=20, n_endings=8, n_classes=5, n_near=12).collect()
     counts = Counter(t for r in train for t in brown.tokens(text_of(r).encode()))
     n, v = sum(counts.values()), len(counts)
     for r, row in zip(sorted(found, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)), sorted(documents(), key=lambda r: (r[0] is None, r[0] or 0)), strict=True):
@@ -403,14 +403,76 @@ def test_class_bigrams(spark):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in none) and brown.score(df.limit(0), df).count() == 0
 
 
-def test_class_model_is_a_distribution(spark):
-    """Over two known words, the end and one unseen word the chances of a next token sum to 1 (all endings fall in one class each)."""
-    rows = [(i, "a b a b a", "en", "s", 9) for i in range(20)]
-    df = frame(spark, rows)
-    extra = [(50, w, "en", "s", 1) for w in ("a", "b", "zz", "")]
-    probe = [(50 + k, x[1], "en", "s", 1) for k, x in enumerate(extra)]
-    got = {r.doc_id: r.score for r in brown.score(frame(spark, probe), df, n_words=3, n_endings=1, n_classes=2).collect()}
-    assert all(s < 0 for s in got.values()) and got[50] > got[51] > got[52]
+@pytest.mark.parametrize("options", [dict(n_seed=6, n_endings=4, n_classes=3, n_near=14, min_count=2), dict(n_seed=40, n_endings=4, n_classes=5, n_near=40), dict(n_seed=3, n_endings=2, n_classes=4)])
+def test_class_bigram_scores_match_brute_force(spark, options):
+    """Counts, class bigrams and scores in plain Python, with the classes that exchange clustering gave."""
+    df = frame(spark)
+    training = df.where("doc_id < 40")
+    model, counted = brown.fit(training, **options)
+    texts = [brown.tokens(text_of(r).encode()) for r in documents() if r[0] is not None and r[0] < 40]
+    counts = Counter(t for x in texts for t in x)
+    assert {bytes(r.word): r.c for r in counted.collect()} == counts
+    of = {w: model.class_of(w) for w in [*counts, b"unseen", b"other"]}
+    follows = Counter((of[a], of[b]) for x in texts for a, b in zip([brown.END, *x], x, strict=False))
+    k = options["n_classes"]
+    assert {(a, b): model.table[a, b] for a in range(k) for b in range(k) if model.table[a, b]} == follows
+    held, types = Counter(), Counter()
+    for w, c in counts.items():
+        held[of[w]] += c
+        types[of[w]] += 1
+    total = sum(follows.values())
+    into, out = Counter(), Counter()
+    for (a, b), c in follows.items():
+        into[b] += c
+        out[a] += c
+
+    def chance(before, word):
+        share = (into[of[word]] + 1) / (total + k)
+        step = (follows[of[before], of[word]] + 20 * share) / (out[of[before]] + 20)
+        own = counts[word] - 0.75 if word in counts else 0.75 * types[of[word]] + 1
+        return step * own / (held[of[word]] + 1)
+
+    for before in (brown.END, b"the", b"unseen"):  # over all seen words and one unseen word of each class
+        unseen = sum((follows[of[before], c] + 20 * (into[c] + 1) / (total + k)) / (out[of[before]] + 20) * (0.75 * types[c] + 1) / (held[c] + 1) for c in range(k))
+        assert math.isclose(sum(chance(before, w) for w in counts) + unseen, 1, rel_tol=1e-9)
+    rows = [r for r in documents() if r[0] is not None and 30 <= r[0] < 103] + [(900, "the unseen other river", "en", "a", 1)]
+    got = {r.doc_id: r.score for r in brown.scored(frame(spark, rows), model, counted).collect()}
+    for r in rows:
+        x = brown.tokens(text_of(r).encode())
+        for w in x:
+            of.setdefault(w, model.class_of(w))
+        assert math.isclose(got[r[0]], sum(math.log10(chance(a, b)) for a, b in zip([brown.END, *x], x, strict=False)), rel_tol=1e-9)
+
+
+def test_later_words_move_to_the_best_class():
+    """Moving each word alone by the gains is what the likelihood of the class bigrams says."""
+    rng = np.random.default_rng(8)
+    table = rng.integers(20, 60, (4, 4)).astype(float)
+    right, left, was = rng.integers(0, 9, (30, 4)).astype(float), rng.integers(0, 9, (30, 4)).astype(float), rng.integers(0, 4, 30)
+
+    def likelihood(t):
+        phi = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+        return phi(t) - phi(t.sum(0)) - phi(t.sum(1))
+
+    got = brown.moved_to(table, right, left, was, block=7)
+    for w in range(30):
+        without = table.copy()
+        without[was[w]] -= right[w]
+        without[:, was[w]] -= left[w]
+        found = []
+        for c in range(4):
+            t = without.copy()
+            t[c] += right[w]
+            t[:, c] += left[w]
+            found.append(likelihood(t))
+        assert math.isclose(found[got[w]], max(found), abs_tol=1e-6)
+
+
+def test_clustered_vocabulary_grows(spark):
+    rows = [(i, " ".join(f"{'ab'[(i + j) % 2]}{(i * 7 + j) % 60}x{j % 3}" for j in range(40)), "en", "s", 9) for i in range(60)]
+    model, counted = brown.fit(frame(spark, rows), n_seed=10, n_endings=3, n_classes=4)
+    alone = sum(int(model.classes[i]) != int(model.classes[len(model.near) + brown.ending(w, 3)]) for i, w in enumerate(model.near[10:], 10))
+    assert counted.count() > 60 and alone > 10
 
 
 def test_exchange_finds_two_classes():

@@ -287,13 +287,17 @@ def fit(training: DataFrame, n_seed: int = 1500, n_endings: int = 200, n_classes
     extra = [] if END in seed else [END]
     if END not in near:  # without training rows
         near, near_c = [*near, END], np.append(near_c, 0.0)
-    items = exchange(pairs(training, [*seed, *extra], n_endings), n_classes)
+    follows = pairs(training, [*seed, *extra], n_endings)
+    items = exchange(follows, n_classes)
     groups = items[len(seed) + len(extra) :]
     classes = np.concatenate([items[: len(seed)], [items[len(seed)] if w == END and extra else groups[ending(w, n_endings)] for w in near[len(seed) :]], groups]).astype(np.int64)
     last = int((near_c >= min_count).sum())
     if last > len(seed):
-        classes = exchanged(training, near, len(seed), last, n_endings, classes, _classed(training, near, n_endings, classes, n_classes))
-    table_ = _classed(training, near, n_endings, classes, n_classes)
+        classes = exchanged(training, near, len(seed), last, n_endings, classes, _table(follows, items, n_classes))
+        found = pairs(training, near, n_endings, classes)
+        table_ = np.pad(found, (0, n_classes - len(found)))
+    else:
+        table_ = _table(follows, items, n_classes)
     sent = training.sparkSession.sparkContext.broadcast((near, classes))
 
     def classed(batches):
@@ -309,9 +313,10 @@ def fit(training: DataFrame, n_seed: int = 1500, n_endings: int = 200, n_classes
     return Model(near, near_c, n_endings, classes, table_, held, types, size, distinct, discount, pull), counted
 
 
-def _classed(training: DataFrame, near: list[bytes], n_endings: int, classes: np.ndarray, n_classes: int) -> np.ndarray:
-    found = pairs(training, near, n_endings, classes)
-    return np.pad(found, (0, n_classes - len(found)))
+def _table(follows: np.ndarray, items: np.ndarray, n_classes: int) -> np.ndarray:
+    hot = np.zeros((len(items), n_classes))
+    hot[np.arange(len(items)), items] = 1
+    return hot.T @ follows @ hot
 
 
 def score(docs: DataFrame, training: DataFrame, **options) -> DataFrame:
@@ -343,24 +348,29 @@ def scored(docs: DataFrame, model: Model, counted: DataFrame) -> DataFrame:
 
         known, part, row = Known({w: i for i, w in enumerate(near)}), TaskContext.get().partitionId(), 0
         for batch in (part_ for whole_ in batches for part_ in slices(whole_)):
-            out = []
+            out, words, kinds_, times, stops = [], [], [], [], [0]
             for text in texts(batch):
                 found = tokens(text)
                 at = np.array(list(map(known.__getitem__, found)), np.int64)
                 has = at >= 0
                 of = np.where(has, near_class[np.maximum(at, 0)] if len(near) else 0, -1 - at)
                 steps = float(step[np.append(end_class, of[:-1]), of].sum())
-                rare = np.flatnonzero(~has)
-                out.append(((part << 36) + row, len(found), int(has.sum()), float(near_base[at[has]].sum()), steps + float(near_own[at[has]].sum()), [{"word": found[k], "class": int(of[k])} for k in rare.tolist()]))
+                rare = Counter(found[k] for k in np.flatnonzero(~has).tolist())
+                words += rare
+                times += rare.values()
+                kinds_ += [-1 - known[w] for w in rare]
+                stops.append(len(words))
+                out.append(((part << 36) + row, len(found), int(has.sum()), float(near_base[at[has]].sum()), steps + float(near_own[at[has]].sum())))
                 row += 1
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.list_(pa.struct([("word", pa.binary()), ("class", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "row", "n_tokens", "n_near", "base_near", "own_near", "rare"])
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64()] * 3 + [pa.float64()] * 2
+            rares = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(kinds_, pa.int32()), pa.array(times, pa.int32())], names=["word", "class", "times"]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], rares], names=["doc_id", "row", "n_tokens", "n_near", "base_near", "own_near", "rare"])
         release()
 
-    schema = "doc_id long, row long, n_tokens long, n_near long, base_near double, own_near double, rare array<struct<word: binary, class: int>>"
+    schema = "doc_id long, row long, n_tokens long, n_near long, base_near double, own_near double, rare array<struct<word: binary, class: int, times: int>>"
     first = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(walked, schema), "scored")
-    rare = first.select("row", F.explode("rare").alias("x")).groupBy("row", "x.word", "x.class").agg(F.count(F.lit(1)).alias("times"))
+    rare = first.select("row", F.inline("rare"))
     least = float(near_c[-1]) if len(near) < model.distinct else 0.0
     far = counted.where(F.col("c") <= least)  # the near ones and those as frequent as the last of them; the others aren't asked for
     joined = rare.join(far, "word", "left")

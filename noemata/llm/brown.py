@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, release, slices, table, texts, written
+from .common import flat, fold, release, slices, table, texts, written
 
 END = b""
 #: Words counted, words remembered, and cells of words by class held by a task before it passes them on or forgets them.
@@ -194,6 +194,7 @@ def moved_to(table_: np.ndarray, right: np.ndarray, left: np.ndarray, was: np.nd
 def exchanged(training: DataFrame, near: list[bytes], first: int, last: int, n_endings: int, classes: np.ndarray, table_: np.ndarray) -> np.ndarray:
     """The classes of the near words from `first` up to `last`, each exchanged against the table; classes: those of all near words and then of the groups."""
     k = table_.shape[0]
+    assert k <= 128, "a class and a side are packed in a byte"
     spark = training.sparkSession
     sent = spark.sparkContext.broadcast((near, classes))
 
@@ -205,9 +206,12 @@ def exchanged(training: DataFrame, near: list[bytes], first: int, last: int, n_e
         def flush():
             cell, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            for start in range(0, len(cell), 200_000):
-                c = cell[start : start + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array((c // (2 * k)).astype(np.int32)), pa.array((c % (2 * k)).astype(np.int32)), pa.array(n[start : start + 200_000].astype(np.int32))], names=["word", "cell", "n"])
+            word = cell // (2 * k)
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            packed = (n.astype(np.int32) << 8 | (cell % (2 * k)).astype(np.int32)).astype("<i4")  # at most CELLS of a cell, so 24 bits hold n
+            offsets = (4 * np.append(starts, len(cell))).astype(np.int32)
+            cells_ = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+            yield from pa.Table.from_arrays([pa.array(word[starts].astype(np.int32)), cells_], names=["word", "cells"]).to_batches(20_000)
 
         for batch in (part for whole in batches for part in slices(whole)):
             found = []
@@ -230,15 +234,16 @@ def exchanged(training: DataFrame, near: list[bytes], first: int, last: int, n_e
         _, of = sent.value
         seen, sums = np.zeros(last, bool), np.zeros((last, 2 * k), np.float32)  # a row for each near word, whatever the input
         for batch in batches:
-            word, cell, n = (np.asarray(batch.column(c)) for c in ("word", "cell", "n"))
-            np.add.at(sums, (word, cell), n)
+            data, stops = flat(batch, "cells")
+            word, packed = np.asarray(batch.column("word")).astype(np.int64), data.view("<i4")
+            np.add.at(sums.reshape(-1), np.repeat(word, np.diff(stops) // 4) * 2 * k + (packed & 255), (packed >> 8).astype(np.float32))
             seen[word] = True
         at = np.flatnonzero(seen)
         new = moved_to(table_, sums[at, :k].astype(float), sums[at, k:].astype(float), of[at])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(new)], names=["word", "class"])
         release()
 
-    cells = training.select("text").mapInArrow(around, "word int, cell int, n int").repartition("word")
+    cells = training.select("text").mapInArrow(around, "word int, cells binary").repartition("word")
     found = cells.mapInArrow(best, "word long, class long").toArrow()  # a row for each near word at most
     out = classes.copy()
     if found.num_rows:

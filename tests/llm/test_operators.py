@@ -391,7 +391,7 @@ def test_class_bigrams(spark):
     df = frame(spark, extra=True)
     held = fold("doc_id", 7) == 2
     train = [r for r in documents() if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
-    found = brown.score(df, df.where(~F.coalesce(held, F.lit(False))), n_seed=20, n_endings=8, n_classes=5, n_near=12).collect()
+    found = brown.score(df, ~F.coalesce(held, F.lit(False)), n_seed=20, n_endings=8, n_classes=5, n_near=12).collect()
     counts = Counter(t for r in train for t in brown.tokens(text_of(r).encode()))
     n, v = sum(counts.values()), len(counts)
     for r, row in zip(sorted(found, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)), sorted(documents(), key=lambda r: (r[0] is None, r[0] or 0)), strict=True):
@@ -399,16 +399,15 @@ def test_class_bigrams(spark):
         assert (r.n_tokens, r.train_tokens, r.n_known) == (len(words), n, sum(w in counts for w in words))
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
         assert r.score <= 1e-9
-    none = brown.score(df, df.limit(0)).collect()
-    assert all(r.n_known == 0 and r.train_tokens == 0 for r in none) and brown.score(df.limit(0), df).count() == 0
+    none = brown.score(df, F.lit(False)).collect()
+    assert all(r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in none) and len(none) == len(documents()) and brown.score(df.limit(0), F.lit(True)).count() == 0
 
 
 @pytest.mark.parametrize("options", [dict(n_seed=6, n_endings=4, n_classes=3, n_near=14, min_count=2), dict(n_seed=40, n_endings=4, n_classes=5, n_near=40), dict(n_seed=3, n_endings=2, n_classes=4)])
 def test_class_bigram_scores_match_brute_force(spark, options):
     """Counts, class bigrams and scores in plain Python, with the classes that exchange clustering gave."""
-    df = frame(spark)
-    training = df.where("doc_id < 40")
-    model, counted = brown.fit(training, **options)
+    rows = [r for r in documents() if r[0] is not None and r[0] < 103] + [(900, "the unseen other river", "en", "a", 1)]
+    model, counted, encoded = brown.fit(frame(spark, rows), F.col("doc_id") < 40, **options)
     texts = [brown.tokens(text_of(r).encode()) for r in documents() if r[0] is not None and r[0] < 40]
     counts = Counter(t for x in texts for t in x)
     assert {bytes(r.word): r.c for r in counted.collect()} == counts
@@ -435,8 +434,7 @@ def test_class_bigram_scores_match_brute_force(spark, options):
     for before in (brown.END, b"the", b"unseen"):  # over all seen words and one unseen word of each class
         unseen = sum((follows[of[before], c] + 20 * (into[c] + 1) / (total + k)) / (out[of[before]] + 20) * (0.75 * types[c] + 1) / (held[c] + 1) for c in range(k))
         assert math.isclose(sum(chance(before, w) for w in counts) + unseen, 1, rel_tol=1e-9)
-    rows = [r for r in documents() if r[0] is not None and 30 <= r[0] < 103] + [(900, "the unseen other river", "en", "a", 1)]
-    got = {r.doc_id: r.score for r in brown.scored(frame(spark, rows), model, counted).collect()}
+    got = {r.doc_id: r.score for r in brown.scored(model, counted, encoded).collect()}
     for r in rows:
         x = brown.tokens(text_of(r).encode())
         for w in x:
@@ -470,7 +468,7 @@ def test_later_words_move_to_the_best_class():
 
 def test_clustered_vocabulary_grows(spark):
     rows = [(i, " ".join(f"{'ab'[(i + j) % 2]}{(i * 7 + j) % 60}x{j % 3}" for j in range(40)), "en", "s", 9) for i in range(60)]
-    model, counted = brown.fit(frame(spark, rows), n_seed=10, n_endings=3, n_classes=4)
+    model, counted, _ = brown.fit(frame(spark, rows), F.lit(True), n_seed=10, n_endings=3, n_classes=4)
     alone = sum(int(model.classes[i]) != int(model.classes[len(model.near) + brown.ending(w, 3)]) for i, w in enumerate(model.near[10:], 10))
     assert counted.count() > 60 and alone > 10
 

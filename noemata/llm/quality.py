@@ -145,9 +145,11 @@ def fit(patterns: dict[str, int], rounds: int = 300, slip: float = 0.003, accura
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The figures, votes, posterior, base_failed and kept of each row."""
-    measured = written(features(docs, keep).withColumn("votes", votes()), "quality")
-    found, _, _ = fit({r.votes: r["count"] for r in measured.groupBy("votes").count().collect()})
+    """The figures, votes, posterior, base_failed and kept of each row. With columns to keep they are measured twice, as a table of whole texts would cost more than that."""
+    measured = features(docs, keep).withColumn("votes", votes())
+    measured = measured if keep else written(measured, "quality")
+    patterns = measured if not keep else features(docs.select("text", F.lit(0).alias("_none")), ["_none"]).withColumn("votes", votes())
+    found, _, _ = fit({r.votes: r["count"] for r in patterns.groupBy("votes").count().collect()})
     table_ = docs.sparkSession.createDataFrame(list(found.items()) or [("", 0.0)], "votes string, posterior double")
     judged = measured.join(F.broadcast(table_), "votes")  # at most 3 ** len(RULES) rows, far fewer in practice
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, gathered, release, slices, table, texts, written
+from .common import cut, flat, gathered, release, slices, table, texts, written
 from .components import components
 
 WIDTH = 64
@@ -69,31 +69,44 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return majority(shingle_hashes(text, shingle, seed))
 
 
-def look(h: np.ndarray, k: int) -> np.ndarray:
-    """The hashes as the k-th look at them has them; the first has them as they are."""
-    if not k:
-        return h
-    x = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(29))
-
-
-def sketch(h: np.ndarray, bins: int) -> np.ndarray:
-    """One-permutation sketch of a set of hashes: a byte of the least of each bin; 0 for an empty bin."""
-    out = np.zeros(bins, np.uint8)
-    if len(h):
-        x = np.sort(look(h, 7919))
-        at = (x >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
-        first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-        out[at[first]] = ((x[first] >> np.uint64(20)) % np.uint64(255)).astype(np.uint8) + 1
-    return out
+def parities(h: np.ndarray) -> bytes:
+    """A bit map of a set of hashes, with a bit or more for each: how often a bit is hit, modulo 2."""
+    bits = max(64, 1 << (len(h) - 1).bit_length()) if len(h) else 64
+    hit = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(hit.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Bit maps (a row of 64-bit words each) as they would be with fewer words."""
+    while maps.shape[1] > width:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def possible(size_a: np.ndarray, map_a: np.ndarray, size_b: np.ndarray, map_b: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of sets can be so similar. Every bit in which two maps of one width differ stands for an element that only one set has, so no similar pair is lost."""
+    shared = (size_a + size_b - np.bitwise_count(map_a ^ map_b).sum(1)) / 2
+    return shared * (1 + least) >= least * (size_a + size_b) - 1e-9
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of sketches, row by row."""
-    either = ((a > 0) | (b > 0)).sum(1)
-    return ((a == b) & (a > 0)).sum(1) / np.maximum(either, 1)
+def filtered(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs u, v that can be so similar by their bit maps. sketches: node, size, bits."""
+    one, two = (sketches.select(F.col("node").alias(c), F.col("size").alias(f"_s{c}"), F.col("bits").alias(f"_b{c}")) for c in "uv")
+
+    def kept(batches):
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            maps = [batch.column(f"_b{c}").to_pylist() for c in "uv"]
+            sizes = [np.asarray(batch.column(f"_s{c}")).astype(np.int64) for c in "uv"]
+            widths = np.array([min(len(a), len(b)) for a, b in zip(*maps, strict=True)], np.int64)
+            for width in np.unique(widths).tolist():
+                at = np.flatnonzero(widths == width)
+                both = [np.concatenate([folded(np.frombuffer(m[i], np.uint64)[None], width // 8) for i in at.tolist()]) for m in maps]
+                keep[at] = possible(sizes[0][at], both[0], sizes[1][at], both[1], least)
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "_su", "_bu", "_sv", "_bv").mapInArrow(kept, "u long, v long")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -130,14 +143,14 @@ def common_shingles(docs: DataFrame, shingle: int, sampled: int = 10_000, often:
 
 
 def profiles(docs: DataFrame, least: float, shingle: int) -> DataFrame:
-    """doc_id; a digest of the set of shingles (two longs); size of the set; its prefix, rare shingles first; of every row."""
+    """doc_id; a digest of the set of shingles (two longs); size of the set; its prefix, rare shingles first; its bit map; of every row."""
     common = common_shingles(docs, shingle)
     by_hash = np.argsort(common)
     held = common[by_hash]
 
     def profiled(batches):
         for batch in (part for whole in batches for part in slices(whole)):
-            firsts, seconds, sizes, prefixes = [], [], [], []
+            firsts, seconds, sizes, prefixes, maps = [], [], [], [], []
             for text in texts(batch):
                 h = np.unique(shingle_hashes(text, shingle))
                 digest = xxhash.xxh3_128_digest(h.tobytes())
@@ -149,23 +162,33 @@ def profiles(docs: DataFrame, least: float, shingle: int) -> DataFrame:
                 seconds.append(int.from_bytes(digest[8:], "little", signed=True))
                 sizes.append(len(h))
                 prefixes.append(ordered[: prefix_size(len(h), least)].view(np.int64))
-            arrays = [batch.column("doc_id"), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "d1", "d2", "size", "prefix"])
+                maps.append(parities(h))
+            arrays = [batch.column("doc_id"), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "d1", "d2", "size", "prefix", "bits"])
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profiled, "doc_id long, d1 long, d2 long, size int, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profiled, "doc_id long, d1 long, d2 long, size int, prefix array<long>, bits binary")
 
 
 def meeting(entries: DataFrame, least: float, steps: int | None) -> DataFrame:
-    """u < v: pairs of entries (key, node, size, at, component) of one key and of different components whose sizes and places allow the similarity. With steps, only of rows so near in the order of a key's rows by size."""
+    """u < v: pairs of entries (key, node, held: size and place) of one key whose sizes and places allow the similarity, each only with rows so near in the order of a key's rows by size.
+
+    Without steps: of all rows of a key that differ in component and whose bit maps (bits) allow it too.
+    """
 
     def met(batches):
         rows = gathered(batches)
         if rows is None:
             return
-        key, node, size, place, component = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "node", "size", "at", "component"))
+        key, node, held = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "node", "held"))
+        size, place = held >> 32, held & 0xFFFFFFFF
         order = np.lexsort((node, size, key))
-        key, node, size, place, component = key[order], node[order], size[order].astype(np.int64), place[order].astype(np.int64), component[order]
+        key, node, size, place = key[order], node[order], size[order], place[order]
+        if steps is None:
+            component = np.asarray(rows.column("component").combine_chunks())[order]
+            data, stops = flat(rows.select(["bits"]).combine_chunks().to_batches()[0], "bits")
+            words, lengths = data.view(np.uint64), np.diff(stops)[order] // 8
+            starts = stops[:-1][order] // 8
         at, step, n = np.arange(len(key)), 1, len(key)
         while len(at) and (steps is None or step <= steps):
             at = at[at + step < n]
@@ -173,22 +196,36 @@ def meeting(entries: DataFrame, least: float, steps: int | None) -> DataFrame:
             at = at[(key[at] == key[at + step]) & (size[at] >= least * size[at + step] - 1e-9)]
             to = at + step
             shared = np.minimum(size[at] - place[at], size[to] - place[to])  # at most, if this is the first that both have
-            hit = (shared * (1 + least) >= least * (size[at] + size[to]) - 1e-9) & (component[at] != component[to])
-            a, b = node[at[hit]], node[to[hit]]
+            hit = at[(shared * (1 + least) >= least * (size[at] + size[to]) - 1e-9) & (node[at] != node[to])]
+            if steps is None and len(hit):
+                hit = hit[component[hit] != component[hit + step]]
+                keep = np.zeros(len(hit), bool)
+                for width in np.unique(lengths[hit]).tolist():  # the first of a pair is the smaller set
+                    for wide in (width, 2 * width):  # and the other of at most 1.25 times its size
+                        some = np.flatnonzero((lengths[hit] == width) & (lengths[hit + step] == wide))
+                        for k in range(0, len(some), 50_000):
+                            part = some[k : k + 50_000]
+                            a, b = hit[part], hit[part] + step
+                            one, two = (words[starts[x][:, None] + np.arange(w)] for x, w in ((a, width), (b, wide)))
+                            keep[part] = possible(size[a], one, size[b], folded(two, width), least)
+                hit = hit[keep]
+            a, b = node[hit], node[hit + step]
             if len(a):
                 yield pa.RecordBatch.from_pydict({"u": np.minimum(a, b), "v": np.maximum(a, b)})
             step += 1
+        release()
 
-    return entries.repartition("key").select("key", "node", "size", "at", "component").mapInArrow(met, "u long, v long").where("u <> v").distinct()
+    return entries.repartition("key").mapInArrow(met, "u long, v long").distinct()
 
 
 def entries_of(distinct: DataFrame) -> DataFrame:
-    return distinct.select("node", "size", F.posexplode("prefix").alias("at", "key")).withColumn("component", F.col("node"))
+    """key, node, held: an entry for each shingle of a prefix; size and place of it in one number."""
+    return distinct.select("node", "size", F.posexplode("prefix").alias("at", "key")).select("key", "node", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("held"))
 
 
 def candidates(distinct: DataFrame, least: float) -> DataFrame:
     """u, v: all pairs of sets (node, size, prefix) that can be at least so similar: they share a shingle of their prefixes, and sizes and places allow it."""
-    return meeting(entries_of(distinct), least, None)
+    return meeting(entries_of(distinct), least, 1 << 40)
 
 
 def together(prints: DataFrame) -> np.ndarray:
@@ -430,56 +467,52 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexadecimal("print").alias("fingerprint"), "component_id")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """node, hashes: the sets of shingles of these rows, ascending hashes as bytes."""
-
-    def hashed(batches):
-        for batch in (part for whole in batches for part in slices(whole)):
-            sets = [np.unique(shingle_hashes(text, shingle)).tobytes() for text in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "hashes"])
-        release()
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-    return rows.mapInArrow(hashed, "node long, hashes binary")
-
-
-def jaccard(a: bytes, b: bytes) -> float:
-    """Of two sets as bytes of ascending hashes."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sets as ascending numbers."""
     both = np.sort(np.concatenate([x, y]))
     shared = int((both[1:] == both[:-1]).sum())
     return shared / (len(both) - shared) if len(both) else 1.0
 
 
 def alike(pairs: DataFrame, docs: DataFrame, least: float, shingle: int) -> DataFrame:
-    """u, v: the pairs whose sets of shingles have that Jaccard similarity, computed exactly."""
-    sets = written(sets_of(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), shingle), "sets")
-    one, two = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"_{c}")) for c in ("u", "v"))
+    """u, v: the pairs whose sets of shingles have that Jaccard similarity, computed exactly from the texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    one, two = (rows.select(F.col("node").alias(c), F.col("text").alias(f"_{c}")) for c in "uv")
 
     def kept(batches):
         for batch in batches:
             for part in slices(batch, 8 << 20, "_u"):
-                alike_ = [jaccard(a, b) >= least - 1e-9 for a, b in zip(part.column("_u").to_pylist(), part.column("_v").to_pylist(), strict=True)]
+                held: dict[bytes, np.ndarray] = {}
+                for text in {*texts(part, "_u"), *texts(part, "_v")}:
+                    held[text] = np.unique(shingle_hashes(text, shingle))
+                alike_ = [jaccard(held[a], held[b]) >= least - 1e-9 for a, b in zip(texts(part, "_u"), texts(part, "_v"), strict=True)]
                 yield part.select(["u", "v"]).filter(pa.array(alike_, pa.bool_()))
+        release()
 
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "_u", "_v").mapInArrow(kept, "u long, v long")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "_u", "_v").mapInArrow(kept, "u long, v long").distinct()
 
 
-def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, near: int = 8) -> DataFrame:
+def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, near: int = 2) -> DataFrame:
     """doc_id, component_id of every row with an id: groups of texts whose sets of shingles are at least so similar.
 
-    Equal sets (by 128 bits of their hashes) are taken together, and each other pair is decided by the exact Jaccard. Candidates are complete: in an order of shingles that all sets share, the first fifth of
-    either of two sets that are similar to 0.8 has a shingle that the other's has too. First every row is compared with the
-    next rows in size of each of its keys; then, as this joins most of what is alike, all rows of a key that are in different
-    groups still. Keys of up to `near` + 1 rows are done after the first step.
+    Equal sets (by 128 bits of their hashes) are taken together, and each other pair is decided by the exact Jaccard.
+    Candidates are complete: in an order of shingles that all sets share, the first fifth of either of two sets that are
+    similar to 0.8 has a shingle that the other's has too. First every row is compared with the next rows in size of each
+    of its keys; then, as this joins most of what is alike, all rows of a key that are in different groups still, where
+    their bit maps allow it. Keys of up to `near` + 1 rows are done after the first step. Rows of one id with different
+    texts are one node: it has the sets of all of them.
     """
     seen = written(profiles(docs.where("doc_id IS NOT NULL"), least, shingle), "profiles")
-    distinct = written(seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "distinct")
-    entries = entries_of(distinct)
-    first = cut(alike(cut(meeting(entries, least, near)), docs, least, shingle))
+    distinct = written(seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("size", "prefix", "bits")]), "distinct")
+    entries, sketches = entries_of(distinct), distinct.select("node", "size", "bits")
+    told = filtered(meeting(entries, least, near), sketches, least)
+    first = cut(alike(cut(told), docs, least, shingle))
     grouped = components(first)
     large = cut(entries.groupBy("key").count().where(F.col("count") > near + 1).select("key"))
-    named = entries.drop("component").join(large, "key", "left_semi").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = entries.join(large, "key", "left_semi").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # A key whose rows are of one group by now has nothing to tell.
+    split = several.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    named = cut(several.join(split, "key", "left_semi")).join(sketches.select("node", "bits"), "node").select("key", "node", "held", "component", "bits")
     second = cut(alike(cut(meeting(named, least, None)), docs, least, shingle))
     grouped = components(first.unionAll(second))
     labelled = distinct.join(grouped, distinct["node"] == grouped["node"], "left").select("d1", "d2", F.coalesce("component", distinct["node"]).alias("component_id"))

@@ -154,9 +154,13 @@ def test_candidates_are_complete(spark):
     shared = " ".join(f"c{k}" for k in range(80))
     rows += [(9000 + k, f"{shared} {' '.join(f'd{k}_{j}' for j in range(15 + k))}", "en", "a", 1) for k in range(8)]
     want = set(true_links(rows))
-    distinct = simhash.profiles(frame(spark, rows), 0.8, 5).withColumnRenamed("doc_id", "node")
+    distinct = simhash.profiles(frame(spark, rows), 0.8, 5).withColumnRenamed("doc_id", "node").cache()
     found = {(r.u, r.v) for r in simhash.candidates(distinct, 0.8).collect()}
     assert len(want) > 100 and want <= found
+    told = {(r.u, r.v) for r in simhash.filtered(simhash.candidates(distinct, 0.8), distinct, 0.8).collect()}
+    assert want <= told < found
+    alone = simhash.entries_of(distinct).withColumn("component", F.col("node")).join(distinct.select("node", "bits"), "node")
+    assert {(r.u, r.v) for r in simhash.meeting(alone, 0.8, None).collect()} == told
 
 
 def test_similar_matches_exact_jaccard(spark):
@@ -174,15 +178,20 @@ def test_similar_matches_exact_jaccard(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar(frame(spark, rows)).collect()} == {i: root(i) for i in parent}
 
 
-def test_sketches_estimate_similarity():
+def test_bit_maps_lose_no_similar_pair():
     rng = np.random.default_rng(3)
-    a = rng.integers(0, 2**63, 4000).astype(np.uint64)
-    for share in (0.5, 0.8, 0.95):
-        n = int(4000 * share)
-        b = np.concatenate([a[:n], rng.integers(0, 2**63, 4000 - n).astype(np.uint64)])
-        got = simhash.similarity(simhash.sketch(a, 256)[None], simhash.sketch(b, 256)[None])[0]
-        assert abs(got - n / (8000 - n)) < 0.12
-    assert simhash.similarity(simhash.sketch(a[:0], 256)[None], simhash.sketch(a[:0], 256)[None])[0] == 0
+    pruned = 0
+    for n in (1, 3, 50, 63, 64, 65, 120, 128, 129, 260, 1000, 1025):
+        for share in (1.0, 0.95, 0.9, 0.85, 0.7, 0.3):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: int(len(a) * share)], rng.integers(0, 2**63, int(n * (1.1 - share))).astype(np.uint64)]))
+            maps = [np.frombuffer(simhash.parities(x), np.uint64)[None] for x in (a, b)]
+            width = min(m.shape[1] for m in maps)
+            told = simhash.possible(np.array([len(a)]), simhash.folded(maps[0], width), np.array([len(b)]), simhash.folded(maps[1], width), 0.8)[0]
+            exact = simhash.jaccard(a, b) >= 0.8
+            assert told or not exact
+            pruned += not told
+    assert pruned >= 20
 
 
 @pytest.mark.parametrize("most", [4000, 6])

@@ -235,76 +235,145 @@ def test_components_of_a_long_chain(spark):
 # suffix arrays
 
 
-def brute_removed(rows: list[tuple], length: int = 100) -> dict:
-    docs = {}
+def brute_removed(rows: list[tuple], length: int = 100) -> list:
+    """For each row, which bytes lie in a string that also starts earlier: in a smaller id, or further up in the row."""
+    least, out = {}, []
+    key = lambda i: (i is None, i or 0)
     for r in rows:
-        docs[r[0]] = text_of(r).encode()
-    seen, out = set(), {}
-    for i in sorted(docs, key=lambda i: (i is None, i or 0)):
-        b = docs[i]
+        b = text_of(r).encode()
+        for p in range(len(b) - length + 1):
+            s = b[p : p + length]
+            if s not in least or key(r[0]) < least[s]:
+                least[s] = key(r[0])
+    for r in rows:
+        b, seen = text_of(r).encode(), set()
         cover = np.zeros(len(b) + 1, int)
         for p in range(len(b) - length + 1):
             s = b[p : p + length]
-            if s in seen:
+            if s in seen or least[s] < key(r[0]):
                 cover[p] += 1
                 cover[p + length] -= 1
             seen.add(s)
-        out[i] = np.cumsum(cover[:-1]) > 0
+        out.append(np.cumsum(cover[:-1]) > 0)
     return out
 
 
-def test_suffix_dedup_matches_brute_force(spark):
-    rows = documents()
-    want, docs = brute_removed(rows), {r[0]: text_of(r).encode() for r in rows}
-    found = suffixes.deduplicate(frame(spark, extra=True)).collect()
-    assert len(found) == len(rows)
-    for r in found:
-        mask, b = want[r.doc_id], docs[r.doc_id]
-        runs = int((np.diff(mask.astype(int), prepend=0) == 1).sum()) if len(b) else 0
-        kept = np.frombuffer(b, np.uint8)[~mask].tobytes()
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(mask.sum()), runs, hashlib.sha256(kept).hexdigest()), r.doc_id
+def awkward() -> list[tuple]:
+    """The hard table, with several texts without id and of one id, some of which share passages with others."""
+    rows, rng = documents(), random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    shared, own = rows[0][1], words(60)
+    line = "the one line that very many documents hold, whatever else is in them"
+    rows += [(None, f"{words(20)} {shared} {words(9)}", "en", "a", 1), (None, words(50), "en", "a", 1), (None, own, "en", "a", 1), (None, f"x {own}", "en", "a", 1), (None, f"x {own}", "en", "a", 1)]
+    rows += [(2, words(40), "en", "a", 1), (2, f"{words(7)} {own}", "en", "a", 1), (2, f"{own} {own}", "en", "a", 1)]
+    return rows + [(400 + k, f"{words(30)} {line} {words(30)}", "en", "a", 1) for k in range(60)]
+
+
+def removed_runs(mask: np.ndarray) -> list[tuple[int, int]]:
+    at = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(int), [0]])))
+    return list(zip(at[::2].tolist(), at[1::2].tolist(), strict=True))
+
+
+@pytest.mark.parametrize("crowd", [16, 2])
+def test_suffix_dedup_matches_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    rows, want = awkward(), []
+    for r, mask in zip(rows, brute_removed(rows), strict=True):
+        b = text_of(r).encode()
+        want.append((r[0], len(b), int(mask.sum()), len(removed_runs(mask)), hashlib.sha256(np.frombuffer(b, np.uint8)[~mask].tobytes()).hexdigest()))
+    found = suffixes.deduplicate(frame(spark, rows, extra=True)).collect()
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in found)
     assert suffixes.deduplicate(frame(spark, [])).count() == 0
-    shorter = suffixes.deduplicated(frame(spark, extra=True))
-    assert shorter.count() == len(rows) and all(len(r.text or "") == (r.n_chars or 0) for r in shorter.collect())
+    shorter = suffixes.deduplicated(frame(spark, rows, extra=True))
+    kept = [(r[0], None if r[1] is None else suffixes._keep(r[1].encode(), suffixes._whole(r[1].encode(), removed_runs(m))).decode()) for r, m in zip(rows, brute_removed(rows), strict=True)]
+    assert sorted(map(repr, kept)) == sorted(repr((r.doc_id, r.text)) for r in shorter.collect())
+    assert all(len(r.text or "") == (r.n_chars or 0) for r in shorter.collect())
 
 
-@pytest.mark.parametrize("paired,chunk,local", [(2, 700, 50), (128, 300, 1_000)])
-def test_suffix_dedup_in_small_pieces(spark, monkeypatch, paired, chunk, local):
-    """Windows string by string, long documents in stretches, and many flushes give the same."""
-    for name, value in (("PAIRED", paired), ("CHUNK", chunk), ("LOCAL", local), ("BATCH", 64)):
+@pytest.mark.parametrize("paired,chunk,local,crowd", [(2, 700, 50, 16), (128, 300, 1_000, 3), (1024, 1 << 20, 400, 1)])
+def test_suffix_dedup_in_small_pieces(monkeypatch, paired, chunk, local, crowd):
+    """Windows string by string, long documents in stretches, crowded anchors, and many flushes give the same."""
+    for name, value in (("PAIRED", paired), ("CHUNK", chunk), ("LOCAL", local), ("BATCH", 64), ("CROWD", crowd)):
         monkeypatch.setattr(suffixes, name, value)
-    rows = [r for r in documents(40) if len(text_of(r)) < 10_000]
-    ids, texts = np.array([r[0] if r[0] is not None else suffixes.LAST_ID for r in rows]), [text_of(r).encode() for r in rows]
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pydict({"doc": pa.array(ids), "text": pa.array([t.decode() for t in texts])})
-    first = list(suffixes._settle(100, 32, False)(iter(list(suffixes._contexts(100, 32)(iter([batch]))))))
-    table = pa.Table.from_batches(first).to_pylist()
+    rows = list({(r[0], text_of(r)): r for r in awkward() if len(text_of(r)) < 10_000}.values())
+    ids = [r[0] if r[0] is not None else suffixes.LAST_ID for r in rows]
+    subs, texts = [xxhash.xxh64_intdigest(text_of(r)) % 2**62 for r in rows], [text_of(r) for r in rows]
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array(ids), "sub": pa.array(subs), "text": pa.array(texts)})
+
+    def dealt(batches, n=3):
+        """By route, as the shuffle does it."""
+        whole = pa.Table.from_batches(list(batches))
+        route = np.asarray(whole.column("route").combine_chunks()) % n
+        return [iter(whole.filter(pa.array(route == k)).to_batches()) for k in range(n)]
+
+    first = [x for part in dealt(suffixes._contexts(100, 32)(iter([batch]))) for b in suffixes._settle(100, 32, False)(part) for x in b.to_pylist()]
     opened = defaultdict(list)
-    for x in table:
+    for x in first:
         if x["kind"] != suffixes.STRETCH:
-            opened[x["doc"]].append({k: x[k] for k in ("kind", "k1", "lo", "hi")})
-    again = pa.RecordBatch.from_pydict({"doc": pa.array(list(opened)), "text": pa.array([texts[ids.tolist().index(d)].decode() for d in opened]), "open": pa.array(list(opened.values()))})
-    second = list(suffixes._settle(100, 32, True)(iter(list(suffixes._reopened(100)(iter([again]))))))
-    got = {d: np.zeros(len(t), bool) for d, t in zip(ids.tolist(), texts, strict=True)}
-    for x in [*table, *pa.Table.from_batches(second).to_pylist()]:
+            opened[x["doc"], x["sub"]].append({k: x[k] for k in ("kind", "k1", "lo", "hi")})
+    of = dict(zip(zip(ids, subs, strict=True), texts, strict=True))
+    again = pa.RecordBatch.from_pydict({"doc": pa.array([k[0] for k in opened]), "sub": pa.array([k[1] for k in opened]), "text": pa.array([of[k] for k in opened]), "open": pa.array(list(opened.values()))})
+    second = [x for part in dealt(suffixes._reopened(100)(iter([again]))) for b in suffixes._settle(100, 32, True)(part) for x in b.to_pylist()]
+    got = {k: np.zeros(len(t.encode()), bool) for k, t in of.items()}
+    for x in [*first, *second]:
         if x["kind"] == suffixes.STRETCH:
-            got[x["doc"]][x["lo"] : x["hi"]] = True
-    want = brute_removed(rows)
-    assert all((got[i if i is not None else suffixes.LAST_ID] == m).all() for i, m in want.items())
+            got[x["doc"], x["sub"]][x["lo"] : x["hi"]] = True
+    assert all((got[k] == m).all() for k, m in zip(zip(ids, subs, strict=True), brute_removed(rows), strict=True))
 
 
 def test_family_tells_what_came_before():
     rng = np.random.default_rng(1)
-    family, seen = suffixes.Family(), set()
-    for _ in range(20):
-        k1, k2 = (rng.integers(0, 30, 50).astype(np.uint64) for _ in range(2))
-        again = family.add(k1, k2)
-        for a, b, x in zip(k1.tolist(), k2.tolist(), again.tolist(), strict=True):
-            assert x == ((a, b) in seen)
-            seen.add((a, b))
-    sizes = [len(a) for a, _ in family.levels]
-    assert sum(sizes) == len(seen) and all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    family, least, seen = suffixes.Family(), {}, set()
+    for batch in range(40):
+        n = 50
+        k1, k2 = (rng.integers(0, 30, n).astype(np.uint64) for _ in range(2))
+        doc, sub = np.sort(rng.integers(0, 4, n) + batch), np.zeros(n, np.int64)
+        sub = np.where(rng.random(n) < 0.4, rng.integers(0, 3, n), 0)
+        order = np.lexsort((sub, doc))
+        doc, sub = doc[order] if batch == 0 else np.maximum(doc[order], last), sub[order]
+        order = np.lexsort((sub, doc))
+        doc, sub = doc[order], np.where(doc[order] == (last if batch else -1), np.maximum(sub[order], top if batch else 0), sub[order])
+        order = np.lexsort((sub, doc))
+        doc, sub = doc[order], sub[order]
+        last, top = int(doc[-1]), int(sub[-1])
+        again = family.add(k1, k2, doc, sub)
+        for a, b, d, u, x in zip(k1.tolist(), k2.tolist(), doc.tolist(), sub.tolist(), again.tolist(), strict=True):
+            assert x == (least.get((a, b), d) < d or (a, b, d, u) in seen)
+            least.setdefault((a, b), d)
+            seen.add((a, b, d, u))
+    sizes = [len(x[0]) for x in family.levels]
+    assert sum(sizes) == len(least) and all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+
+
+def test_suffix_array_is_in_order_with_its_common_prefixes():
+    rng, side, length = random.Random(3), 8, 20
+    own, reach, key = [], [], []
+    for _ in range(60):
+        left, right = rng.randint(0, side), rng.randint(6, length)
+        own.append("".join(rng.choice("ab") for _ in range(left + right)).encode())
+        reach.append((left << 32) | right)
+        key.append(rng.randrange(3))
+    array = suffixes.SuffixArray(np.array(key), np.array(reach), own, side, length)
+    suffix = [(key[k], own[k][reach[k] >> 32 :].ljust(24, b"\0")) for k in array.order.tolist()]
+    assert suffix == sorted(suffix)
+    got = {}
+    for i, j, left, right in array.pairs():
+        for a, b, x, y in zip(i.tolist(), j.tolist(), left.tolist(), right.tolist(), strict=True):
+            got[tuple(sorted((int(array.order[a]), int(array.order[b]))))] = (x, y)
+
+    def common(x, y):
+        return next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+    for a in range(60):
+        for b in range(a + 1, 60):
+            la, lb = reach[a] >> 32, reach[b] >> 32
+            want = (common(own[a][:la][::-1], own[b][:lb][::-1]), common(own[a][la:], own[b][lb:]))
+            if key[a] == key[b] and want[1]:
+                assert got[a, b] == want
+            else:
+                assert (a, b) not in got
 
 
 # mixing
@@ -732,13 +801,7 @@ def test_pipeline_matches_its_stages(spark):
     groups = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(kept)).collect()}
     one = kept[[groups[int(i)] == int(i) for i in kept.doc_id]]
     rows = [(int(r.doc_id), r.text, r.lang, r.source, 0) for r in one.itertuples()]
-    cut = {}
-    for i, mask in brute_removed(rows).items():
-        b = next(r[1] for r in rows if r[0] == i).encode()
-        runs, at = [], np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(int), [0]])))
-        for lo, hi in zip(at[::2].tolist(), at[1::2].tolist(), strict=True):
-            runs.append((lo, hi))
-        cut[i] = suffixes._keep(b, suffixes._whole(b, runs)).decode()
+    cut = {r[0]: suffixes._keep(b := r[1].encode(), suffixes._whole(b, removed_runs(mask))).decode() for r, mask in zip(rows, brute_removed(rows), strict=True)}
     shortened = spark.createDataFrame([(r[0], cut[r[0]], r[2], r[3], len(cut[r[0]])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     want = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in packing.pack(mixing.mixed_documents(shortened)).collect())
     got = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SMALL).collect())

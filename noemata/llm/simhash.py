@@ -38,6 +38,8 @@ from .common import cut, flat, gathered, release, slices, table, texts, written
 from .components import components
 
 WIDTH = 64
+#: Ids of candidates up to which they are sent to all tasks (8 MB).
+ASKED = 1_000_000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANES = np.arange(8, dtype=np.int64) * 256
 
@@ -170,35 +172,59 @@ def profiles(docs: DataFrame, least: float, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profiled, "doc_id long, d1 long, d2 long, size int, prefix array<long>, bits binary")
 
 
+def _near_in_size(batches, least: float, steps: int | None):
+    """Partitions of entries in the order of key and size, and for each step, from 1 on, the places of rows that can be alike to the row so many places on in the same key."""
+    rows = gathered(batches)
+    if rows is None:
+        return
+    key, node, held = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "node", "held"))
+    size, place = held >> 32, held & 0xFFFFFFFF
+    order = np.lexsort((node, size, key))
+    key, node, size, place = key[order], node[order], size[order], place[order]
+    at, step, n = np.arange(len(key)), 1, len(key)
+    yield rows, order, key, node, size, held[order]
+    while len(at) and (steps is None or step <= steps):
+        at = at[at + step < n]
+        # Sizes ascend within a key, so what is too large for a row stays so at further steps.
+        at = at[(key[at] == key[at + step]) & (size[at] >= least * size[at + step] - 1e-9)]
+        to = at + step
+        shared = np.minimum(size[at] - place[at], size[to] - place[to])  # at most, if this is the first that both have
+        yield step, at[(shared * (1 + least) >= least * (size[at] + size[to]) - 1e-9) & (node[at] != node[to])]
+        step += 1
+
+
 def meeting(entries: DataFrame, least: float, steps: int | None) -> DataFrame:
-    """u < v: pairs of entries (key, node, held: size and place) of one key whose sizes and places allow the similarity, each only with rows so near in the order of a key's rows by size.
+    """Pairs of entries (key, node, held) of one key whose sizes and places allow the similarity, with rows so near in the order of a key's rows by size: u < v. Of keys that have more rows than these steps reach, also the entries themselves: key, node, held."""
 
-    Without steps: of all rows of a key that differ in component and whose bit maps (bits) allow it too.
-    """
+    def met(batches):
+        found = _near_in_size(batches, least, steps)
+        for _, _, key, node, _, held in found:
+            turn = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.zeros(0, np.int64)
+            long = np.repeat(np.diff(turn, append=len(key)), np.diff(turn, append=len(key))) > (steps or len(key)) + 1
+            none = pa.nulls(int(long.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *(pa.array(x[long]) for x in (key, node, held))], names=["u", "v", "key", "node", "held"])
+            for step, at in found:
+                if len(at):
+                    a, b = node[at], node[at + step]
+                    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                    none = pa.nulls(pairs.shape[1], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none], names=["u", "v", "key", "node", "held"])
+        release()
+
+    return entries.repartition("key").mapInArrow(met, "u long, v long, key long, node long, held long")
+
+
+def meeting_apart(entries: DataFrame, least: float) -> DataFrame:
+    """u < v: pairs of entries (key, node, held, component, bits) of one key and of different components whose sizes, places and bit maps allow the similarity."""
 
     def met(batches):
-        rows = gathered(batches)
-        if rows is None:
-            return
-        key, node, held = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "node", "held"))
-        size, place = held >> 32, held & 0xFFFFFFFF
-        order = np.lexsort((node, size, key))
-        key, node, size, place = key[order], node[order], size[order], place[order]
-        if steps is None:
+        found = _near_in_size(batches, least, None)
+        for rows, order, _, node, size, _ in found:
             component = np.asarray(rows.column("component").combine_chunks())[order]
             data, stops = flat(rows.select(["bits"]).combine_chunks().to_batches()[0], "bits")
-            words, lengths = data.view(np.uint64), np.diff(stops)[order] // 8
-            starts = stops[:-1][order] // 8
-        at, step, n = np.arange(len(key)), 1, len(key)
-        while len(at) and (steps is None or step <= steps):
-            at = at[at + step < n]
-            # Sizes ascend within a key, so what is too large for a row stays so at further steps.
-            at = at[(key[at] == key[at + step]) & (size[at] >= least * size[at + step] - 1e-9)]
-            to = at + step
-            shared = np.minimum(size[at] - place[at], size[to] - place[to])  # at most, if this is the first that both have
-            hit = at[(shared * (1 + least) >= least * (size[at] + size[to]) - 1e-9) & (node[at] != node[to])]
-            if steps is None and len(hit):
-                hit = hit[component[hit] != component[hit + step]]
+            words, lengths, starts = data.view(np.uint64), np.diff(stops)[order] // 8, stops[:-1][order] // 8
+            for step, at in found:
+                hit = at[component[at] != component[at + step]]
                 keep = np.zeros(len(hit), bool)
                 for width in np.unique(lengths[hit]).tolist():  # the first of a pair is the smaller set
                     for wide in (width, 2 * width):  # and the other of at most 1.25 times its size
@@ -208,11 +234,9 @@ def meeting(entries: DataFrame, least: float, steps: int | None) -> DataFrame:
                             a, b = hit[part], hit[part] + step
                             one, two = (words[starts[x][:, None] + np.arange(w)] for x, w in ((a, width), (b, wide)))
                             keep[part] = possible(size[a], one, size[b], folded(two, width), least)
-                hit = hit[keep]
-            a, b = node[hit], node[hit + step]
-            if len(a):
-                yield pa.RecordBatch.from_pydict({"u": np.minimum(a, b), "v": np.maximum(a, b)})
-            step += 1
+                a, b = node[hit[keep]], node[hit[keep] + step]
+                if len(a):
+                    yield pa.RecordBatch.from_pydict({"u": np.minimum(a, b), "v": np.maximum(a, b)})
         release()
 
     return entries.repartition("key").mapInArrow(met, "u long, v long").distinct()
@@ -225,7 +249,7 @@ def entries_of(distinct: DataFrame) -> DataFrame:
 
 def candidates(distinct: DataFrame, least: float) -> DataFrame:
     """u, v: all pairs of sets (node, size, prefix) that can be at least so similar: they share a shingle of their prefixes, and sizes and places allow it."""
-    return meeting(entries_of(distinct), least, 1 << 40)
+    return meeting(entries_of(distinct), least, 1 << 40).where("u IS NOT NULL").select("u", "v").distinct()
 
 
 def together(prints: DataFrame) -> np.ndarray:
@@ -477,6 +501,9 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 def alike(pairs: DataFrame, docs: DataFrame, least: float, shingle: int) -> DataFrame:
     """u, v: the pairs whose sets of shingles have that Jaccard similarity, computed exactly from the texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    if asked.count() <= ASKED:  # so few that all tasks can know them; only their texts are dealt then
+        rows = rows.join(F.broadcast(asked), "node", "left_semi")
     one, two = (rows.select(F.col("node").alias(c), F.col("text").alias(f"_{c}")) for c in "uv")
 
     def kept(batches):
@@ -503,19 +530,19 @@ def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, near: int = 2
     texts are one node: it has the sets of all of them.
     """
     seen = written(profiles(docs.where("doc_id IS NOT NULL"), least, shingle), "profiles")
-    distinct = written(seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("size", "prefix", "bits")]), "distinct")
-    entries, sketches = entries_of(distinct), distinct.select("node", "size", "bits")
-    told = filtered(meeting(entries, least, near), sketches, least)
+    nodes = cut(seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
+    distinct = seen.withColumnRenamed("doc_id", "node").join(nodes, ["d1", "d2", "node"]).dropDuplicates(["d1", "d2", "node"])
+    sketches = written(distinct.select("node", "size", "bits"), "sketches")
+    met = written(meeting(entries_of(distinct), least, near), "met")
+    told = filtered(met.where("u IS NOT NULL").select("u", "v").distinct(), sketches, least)
     first = cut(alike(cut(told), docs, least, shingle))
-    grouped = components(first)
-    large = cut(entries.groupBy("key").count().where(F.col("count") > near + 1).select("key"))
-    several = entries.join(large, "key", "left_semi").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = met.where("key IS NOT NULL").select("key", "node", "held").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
     # A key whose rows are of one group by now has nothing to tell.
     split = several.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     named = cut(several.join(split, "key", "left_semi")).join(sketches.select("node", "bits"), "node").select("key", "node", "held", "component", "bits")
-    second = cut(alike(cut(meeting(named, least, None)), docs, least, shingle))
+    second = cut(alike(cut(meeting_apart(named, least)), docs, least, shingle))
     grouped = components(first.unionAll(second))
-    labelled = distinct.join(grouped, distinct["node"] == grouped["node"], "left").select("d1", "d2", F.coalesce("component", distinct["node"]).alias("component_id"))
+    labelled = nodes.join(grouped, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     return seen.select("doc_id", "d1", "d2").join(labelled, ["d1", "d2"]).select("doc_id", "component_id")
 
 

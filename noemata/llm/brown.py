@@ -59,6 +59,7 @@ def counts(docs: DataFrame) -> DataFrame:
     """word, c over all texts. Tasks send sums for the words they have seen, a bounded number at a time."""
 
     def counted(batches):
+        release()
         held: Counter = Counter()
 
         def flush():
@@ -96,6 +97,7 @@ def encoded(docs: DataFrame, trained: F.Column, near: list[bytes], n_endings: in
     sent = docs.sparkSession.sparkContext.broadcast(near)
 
     def coded(batches):
+        release()
         items, n_near, part, row = Items(sent.value, n_endings), len(sent.value), TaskContext.get().partitionId(), 0
         for batch in (some for whole in batches for some in slices(whole)):
             codes, words, kinds, times, stops = [], [], [], [], [0]

@@ -86,8 +86,19 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20, column: str = "text"):
     yield batch.slice(start)
 
 
-def release() -> None:
-    """Give memory that a task no longer needs back to the system: Python workers are kept for later tasks and stages."""
+#: What operators remember from task to task, as Python workers are kept for later tasks and stages: by operator, a dictionary.
+REMEMBERED: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    return REMEMBERED.setdefault(operator, {})
+
+
+def release(operator: str | None = None) -> None:
+    """Give memory that a task no longer needs back to the system, also what other operators remember. Called when a task of an operator starts and when it ends."""
+    for name, held in REMEMBERED.items():
+        if name != operator:
+            held.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fold, slices, table, texts
+from .common import cut, fold, release, slices, table, texts
 
 MARK = "▁"
 CACHE = 1_000_000
@@ -207,6 +207,7 @@ def identify(docs: DataFrame, training: DataFrame, name: str = "piece_bpe_32k.mo
     sent = docs.sparkSession.sparkContext.broadcast((pieces, chance))  # a row for each piece of the vocabulary
 
     def judged(batches):
+        release()
         scorer = Scorer(*sent.value)
         for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
             found = texts(batch)

@@ -25,15 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release, slices, table, texts, written
+from .common import release, remembered, slices, table, texts, written
 
-CACHE = 600_000
+CACHE = 300_000
 #: Rows of one hash slice of a length, about; placements up to which they are broadcast.
 SLICE, BROADCAST = 2_000, 200_000
 
 
-#: Ids of words by vocabulary; lives as long as the Python worker, over its tasks.
-_KEPT: dict[str, dict[bytes, bytes]] = {}
 #: A full stop or comma after a letter, at the end of a word: a token of its own.
 MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\s]|$)")
 
@@ -52,7 +50,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.bare = Tokenizer(self.tokenizer.model)  # without normalising and splitting, which lower-case Latin letters don't need
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.kept = _KEPT.setdefault(vocabulary, {})
+        self.kept: dict[bytes, bytes] = remembered("packing").setdefault(vocabulary, {})  # over the tasks of a Python worker
         self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
 
     def _learn(self, words: list[bytes]) -> None:
@@ -99,6 +97,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int, with_ids:
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
+        release("packing")
         encoder = Ids(_vocabulary(vocabulary))
         for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
             rows = []
@@ -112,7 +111,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int, with_ids:
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
-        release()
+        release("packing")
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)

@@ -87,15 +87,15 @@ RULES = (
 )
 
 
-def features(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The figures of each text, beside the columns to keep (doc_id without more said)."""
-    keep = keep or ["doc_id"]
-    picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1]) + "".join(f", {x} long" for x in FIGURES)
+def features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The figures of each text, beside the columns to keep."""
+    picked = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{text}`")] * (text not in keep))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[: len(keep)]) + "".join(f", {x} long" for x in FIGURES)
 
     def measured(batches):
-        for batch in (part for whole in batches for part in slices(whole, column="_text")):
-            found = [figures(t) for t in texts(batch, "_text")]
+        release()
+        for batch in (part for whole in batches for part in slices(whole, column=text)):
+            found = [figures(t) for t in texts(batch, text)]
             columns = list(zip(*found, strict=True)) or [()] * len(FIGURES)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(c, pa.int64()) for c in columns], names=[*keep, *FIGURES])
         release()
@@ -144,24 +144,28 @@ def fit(patterns: dict[str, int], rounds: int = 300, slip: float = 0.003, accura
     return dict(zip(keys, p[0].tolist(), strict=True)), rules, float(share[0])
 
 
-def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The figures, votes, posterior, base_failed and kept of each row. With columns to keep they are measured twice, as a table of whole texts would cost more than that."""
-    measured = features(docs, keep).withColumn("votes", votes())
-    measured = measured if keep else written(measured, "quality")
-    patterns = measured if not keep else features(docs.select("text", F.lit(0).alias("_none")), ["_none"]).withColumn("votes", votes())
+def _told(measured: DataFrame, patterns: DataFrame) -> DataFrame:
+    """measured with posterior, base_failed and kept, by the model of the patterns' votes."""
     found, _, _ = fit({r.votes: r["count"] for r in patterns.groupBy("votes").count().collect()})
-    table_ = docs.sparkSession.createDataFrame(list(found.items()) or [("", 0.0)], "votes string, posterior double")
+    table_ = measured.sparkSession.createDataFrame(list(found.items()) or [("", 0.0)], "votes string, posterior double")
     judged = measured.join(F.broadcast(table_), "votes")  # at most 3 ** len(RULES) rows, far fewer in practice
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= 0.5))
 
 
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, the figures, votes, posterior, base_failed and kept of each row."""
+    measured = written(features(docs, ["doc_id"]).withColumn("votes", votes()), "quality")
+    return _told(measured, measured)
+
+
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their columns; whole rows go through, so nothing is joined back."""
+    """The rows of docs that are kept, with their columns; whole rows go through, so nothing is joined back. Texts are measured twice, as a table of the rows would cost more than that."""
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    named = inner.withColumn("text", F.col(f"c{names.index('text')}"))
-    return judge(named, [f"c{i}" for i in range(len(names))]).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    text = f"c{names.index('text')}"
+    measured, patterns = (features(inner, keep, text).withColumn("votes", votes()) for keep in (inner.columns, [f"c{i}" for i, c in enumerate(names) if c != "text"][:1] or [text]))
+    return _told(measured, patterns).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, print (signed) of every row."""
 
     def printed(batches):
+        release()
         for batch in (part for whole in batches for part in slices(whole)):
             found = np.array([fingerprint(t, shingle) for t in texts(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "print"])
@@ -151,6 +152,7 @@ def profiles(docs: DataFrame, least: float, shingle: int) -> DataFrame:
     held = common[by_hash]
 
     def profiled(batches):
+        release()
         for batch in (part for whole in batches for part in slices(whole)):
             firsts, seconds, sizes, prefixes, maps = [], [], [], [], []
             for text in texts(batch):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gathered, release, slices, table, texts, written
+from .common import gathered, release, remembered, slices, table, texts, written
 
 U = np.uint64
 LENGTH, GRAM = 100, 32
@@ -42,19 +42,19 @@ CHUNK, LOCAL, BATCH = 1 << 20, 500_000, 1 << 18
 LAST_ID = (1 << 63) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _TABLES = np.random.default_rng(17).integers(1, 1 << 63, (2, 256), dtype=np.int64).view(U)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse modulo 2 ** 64, at least n of each."""
-    if which not in _POWERS or len(_POWERS[which][0]) < n:
+    held = remembered("suffixes")
+    if which not in held or len(held[which][0]) < n:
         found = []
         for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
             powers = np.full(max(n, CHUNK + 4096), base, U)
             powers[0] = 1
             found.append(np.multiply.accumulate(powers))
-        _POWERS[which] = (found[0], found[1])
-    return _POWERS[which]
+        held[which] = (found[0], found[1])
+    return held[which]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -291,6 +291,7 @@ class Local:
 
 def _contexts(length: int, gram: int):
     def found(batches):
+        release("suffixes")
         local, side = Local(), length - gram
         for batch in (part for whole in batches for part in slices(whole)):
             ids, subs, all_texts = np.asarray(batch.column("doc")), np.asarray(batch.column("sub")), texts(batch)
@@ -310,7 +311,7 @@ def _contexts(length: int, gram: int):
                 if local.add(key, _mix(context), ids[row[which]], subs[row[which]], place, _reach(left, right)):
                     yield from local.flush()
         yield from local.flush()
-        release()
+        release("suffixes")
 
     return found
 
@@ -319,6 +320,7 @@ def _reopened(length: int):
     """Open contexts with their bytes, or all strings of them."""
 
     def found(batches):
+        release("suffixes")
         local = Local(with_bytes=True)
         for batch in batches:
             few = []
@@ -344,7 +346,7 @@ def _reopened(length: int):
                 k1 = np.array(k1, np.int64)
                 yield _rows(FEW, k1, *(np.array(x, np.int64) for x in (doc, sub, lo, hi)), k1, extra=pa.array(own, pa.binary()))
         yield from local.flush()
-        release()
+        release("suffixes")
 
     return found
 

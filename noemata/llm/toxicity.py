@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fold, slices, table, texts
+from .common import cut, fold, release, slices, table, texts
 
 WINDOW, GRAMS = 32, (6, 8)
 FRAME, TAIL = b"<<one window follows this frame>>", b"<<the frame ends>>"
@@ -262,6 +262,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, windows, hits (windows above the threshold), advantage (bytes saved over all windows) of every row."""
 
     def scored(batches):
+        release()
         if "none" not in model:
             advantage, t, coefficients = Advantage(model["ordinary"], model["toxic"]), model["threshold"], model["coefficients"]
         for batch in (part for whole in batches for part in slices(whole)):

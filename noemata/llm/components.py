@@ -6,12 +6,37 @@ least neighbours of such nodes (there are fewer than twice the links over HUB) a
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-HUB = 200_000
+#: Links of a node over which they stay where they are; links that one task reduces to a forest.
+HUB, SHARE = 200_000, 200_000
+
+
+def forest(links: DataFrame) -> DataFrame:
+    """Of each task's links those that join what its earlier ones leave apart: the same components with at most a link for each node and task."""
+
+    def kept(batches):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        for batch in batches:
+            keep = []
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                a, b = root(u), root(v)
+                keep.append(a != b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return links.mapInArrow(kept, "u long, v long")
 
 
 def _least(both: DataFrame) -> DataFrame:
@@ -38,6 +63,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component: the smallest node that can be reached, for every node of links (u, v: long) but those that are the smallest themselves. Rounds needed grow with the logarithm of the longest chain."""
     edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before, n = None, edges.count()
+    edges = cut(forest(edges.coalesce(max(1, n // SHARE))))
     for _ in range(rounds):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both)

@@ -216,8 +216,8 @@ def meeting(entries: DataFrame, least: float, steps: int | None) -> DataFrame:
     return entries.repartition("key").mapInArrow(met, "u long, v long, key long, node long, held long")
 
 
-def meeting_apart(entries: DataFrame, least: float) -> DataFrame:
-    """u < v: pairs of entries (key, node, held, component, bits) of one key and of different components whose sizes, places and bit maps allow the similarity."""
+def meeting_apart(entries: DataFrame, least: float, partners: int | None) -> DataFrame:
+    """u < v: pairs of entries (key, node, held, component, bits) of one key and of different components whose sizes, places and bit maps allow the similarity: for each row the first so many of those after it in the order of size, or all."""
 
     def met(batches):
         found = _near_in_size(batches, least, None)
@@ -225,8 +225,10 @@ def meeting_apart(entries: DataFrame, least: float) -> DataFrame:
             component = np.asarray(rows.column("component").combine_chunks())[order]
             data, stops = flat(rows.select(["bits"]).combine_chunks().to_batches()[0], "bits")
             words, lengths, starts = data.view(np.uint64), np.diff(stops)[order] // 8, stops[:-1][order] // 8
+            given = np.zeros(len(node), np.int64)
             for step, at in found:
                 hit = at[component[at] != component[at + step]]
+                hit = hit[given[hit] < partners] if partners else hit
                 keep = np.zeros(len(hit), bool)
                 for width in np.unique(lengths[hit]).tolist():  # the first of a pair is the smaller set
                     for wide in (width, 2 * width):  # and the other of at most 1.25 times its size
@@ -236,6 +238,7 @@ def meeting_apart(entries: DataFrame, least: float) -> DataFrame:
                             a, b = hit[part], hit[part] + step
                             one, two = (words[starts[x][:, None] + np.arange(w)] for x, w in ((a, width), (b, wide)))
                             keep[part] = possible(size[a], one, size[b], folded(two, width), least)
+                given[hit[keep]] += 1
                 a, b = node[hit[keep]], node[hit[keep] + step]
                 if len(a):
                     yield pa.RecordBatch.from_pydict({"u": np.minimum(a, b), "v": np.maximum(a, b)})
@@ -527,8 +530,8 @@ def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, near: int = 2
     Equal sets (by 128 bits of their hashes) are taken together, and each other pair is decided by the exact Jaccard.
     Candidates are complete: in an order of shingles that all sets share, the first fifth of either of two sets that are
     similar to 0.8 has a shingle that the other's has too. First every row is compared with the next rows in size of each
-    of its keys; then, as this joins most of what is alike, all rows of a key that are in different groups still, where
-    their bit maps allow it. Keys of up to `near` + 1 rows are done after the first step. Rows of one id with different
+    of its keys; then, as this joins most of what is alike, with the first row of the key that is in another group still and
+    that the bit maps allow, and at last, as hardly any are left, with all such rows. Keys of up to `near` + 1 rows are done after the first step. Rows of one id with different
     texts are one node: it has the sets of all of them.
     """
     seen = written(profiles(docs.where("doc_id IS NOT NULL"), least, shingle), "profiles")
@@ -538,12 +541,14 @@ def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, near: int = 2
     met = written(meeting(entries_of(distinct), least, near), "met")
     told = filtered(met.where("u IS NOT NULL").select("u", "v").distinct(), sketches, least)
     first = cut(alike(cut(told), docs, least, shingle))
-    several = met.where("key IS NOT NULL").select("key", "node", "held").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # A key whose rows are of one group by now has nothing to tell.
-    split = several.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    named = cut(several.join(split, "key", "left_semi")).join(sketches.select("node", "bits"), "node").select("key", "node", "held", "component", "bits")
-    second = cut(alike(cut(meeting_apart(named, least)), docs, least, shingle))
-    grouped = components(first.unionAll(second))
+    links = first
+    for partners in (1, None):
+        several = met.where("key IS NOT NULL").select("key", "node", "held").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # A key whose rows are of one group by now has nothing to tell.
+        split = several.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+        named = cut(several.join(split, "key", "left_semi")).join(sketches.select("node", "bits"), "node").select("key", "node", "held", "component", "bits")
+        links = links.unionAll(cut(alike(cut(meeting_apart(named, least, partners)), docs, least, shingle)))
+    grouped = components(links)
     labelled = nodes.join(grouped, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     return seen.select("doc_id", "d1", "d2").join(labelled, ["d1", "d2"]).select("doc_id", "component_id")
 

@@ -160,7 +160,8 @@ def test_candidates_are_complete(spark):
     told = {(r.u, r.v) for r in simhash.filtered(simhash.candidates(distinct, 0.8), distinct, 0.8).collect()}
     assert want <= told < found
     alone = simhash.entries_of(distinct).withColumn("component", F.col("node")).join(distinct.select("node", "bits"), "node")
-    assert {(r.u, r.v) for r in simhash.meeting_apart(alone, 0.8).collect()} == told
+    assert {(r.u, r.v) for r in simhash.meeting_apart(alone, 0.8, None).collect()} == told
+    assert {(r.u, r.v) for r in simhash.meeting_apart(alone, 0.8, 1).collect()} < told
 
 
 def test_similar_matches_exact_jaccard(spark):

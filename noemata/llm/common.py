@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def bounded(spark: SparkSession, rows: int = 1000) -> None:
+def bounded(spark: SparkSession, rows: int = 500) -> None:
     """Send fewer rows to Python at once than by default (10,000), as texts are long; unless the session has it otherwise already."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
@@ -80,7 +80,7 @@ def flat(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.nd
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20, column: str = "text"):
+def slices(batch: pa.RecordBatch, most: int = 4 << 20, column: str = "text"):
     """The batch in row slices of at most so many text bytes each (or one row), so that work arrays stay bounded."""
     if len(batch) == 0:
         return

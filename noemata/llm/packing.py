@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import release, remembered, slices, table, texts, written
 
-CACHE = 300_000
+CACHE = 600_000
 #: Rows of one hash slice of a length, about; placements up to which they are broadcast.
 SLICE, BROADCAST = 2_000, 200_000
 

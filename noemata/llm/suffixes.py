@@ -38,7 +38,7 @@ from .common import gathered, release, remembered, slices, table, texts, written
 U = np.uint64
 LENGTH, GRAM = 100, 32
 #: Bytes of text worked on at once; suffixes settled at once before the shuffle; suffixes of one batch of the family.
-CHUNK, LOCAL, BATCH = 1 << 20, 500_000, 1 << 18
+CHUNK, LOCAL, BATCH = 1 << 18, 250_000, 1 << 16
 LAST_ID = (1 << 63) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _TABLES = np.random.default_rng(17).integers(1, 1 << 63, (2, 256), dtype=np.int64).view(U)

@@ -84,5 +84,5 @@ def discover(units: DataFrame, unit: list[str], column: str, mode: str = "text",
     edges = npmi(cooccurrence(tokens, unit, vocabulary), vocabulary, n)
     found = labels(clusters(edges, vocabulary, n_clusters), vocabulary, mode)
     out = {r.key: {"type": r.type, "tokens": list(r.tokens)} for r in found.collect()}
-    built_in = {k: {"type": "relation", "tokens": list(t), "description": d} for k, t, d in CODE_RELATIONS} if mode == "code" else {}
+    built_in = {k: {"type": "relation", "tokens": list(t), "description": k} for k, t in CODE_RELATIONS} if mode == "code" else {}
     return out | built_in

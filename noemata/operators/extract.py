@@ -53,9 +53,12 @@ def best_by_role(active: DataFrame, unit: list[str], k: int = TOP_BY_ROLE, least
 
 
 def _three(ranked: DataFrame, unit: list[str], roles: tuple, value: str) -> DataFrame:
-    """Subjects, predicates and objects of a unit met: at most k ** 3 rows each, by equi-joins on the unit."""
-    parts = [ranked.where(cond).select(*unit, F.col("key").alias(name), F.col(value).alias(f"{name}_activation")) for name, cond in roles]
-    return parts[0].join(parts[1], unit).join(parts[2], unit)
+    """Subjects, predicates and objects of a unit met: at most k ** 3 rows each. They are gathered once for each unit, and meet within its row."""
+    gathered = ranked.groupBy(*unit).agg(*[F.collect_list(F.when(F.expr(cond), F.struct(F.col("key").alias(name), F.col(value).alias(f"{name}_activation")))).alias(f"_{name}") for name, cond in roles])
+    for name, _ in roles:
+        kept = [c for c in gathered.columns if c != f"_{name}"]
+        gathered = gathered.select(*kept, F.inline(f"_{name}"))
+    return gathered
 
 
 def triples_by_least(active: DataFrame, unit: list[str]) -> DataFrame:
@@ -85,13 +88,13 @@ def specificity(active: DataFrame, n_documents: int, least: float = ROLE_ACTIVAT
 def spokes(facts: DataFrame) -> DataFrame:
     """source, target, edge_type: what initiates, is asserted, is targeted, and where it is located."""
     ends = F.array(
-        F.struct(F.col("subject").alias("source"), F.col("infon_id").alias("target"), F.lit("INITIATES").alias("edge_type")),
-        F.struct(F.col("infon_id").alias("source"), F.col("predicate").alias("target"), F.lit("ASSERTS").alias("edge_type")),
-        F.struct(F.col("infon_id").alias("source"), F.col("object").alias("target"), F.lit("TARGETS").alias("edge_type")),
+        F.struct(F.col("subject").alias("source"), F.col("fact_id").alias("target"), F.lit("INITIATES").alias("edge_type")),
+        F.struct(F.col("fact_id").alias("source"), F.col("predicate").alias("target"), F.lit("ASSERTS").alias("edge_type")),
+        F.struct(F.col("fact_id").alias("source"), F.col("object").alias("target"), F.lit("TARGETS").alias("edge_type")),
     )
     out = facts.select(F.inline(ends), F.col("confidence").alias("weight"))
     if "locations" in facts.columns:
-        out = out.unionByName(facts.select(F.col("infon_id").alias("source"), F.explode("locations.name").alias("target"), F.lit("LOCATED_AT").alias("edge_type"), F.col("confidence").alias("weight")))
+        out = out.unionByName(facts.select(F.col("fact_id").alias("source"), F.explode("locations.name").alias("target"), F.lit("LOCATED_AT").alias("edge_type"), F.col("confidence").alias("weight")))
     return out
 
 
@@ -110,7 +113,7 @@ def text_facts(documents: DataFrame, anchors: DataFrame, doc: str = "doc_id") ->
     found = triples_by_mean(active, [doc, "sent_idx"]).join(sentences, [doc, "sent_idx"])
     refs = text.temporal_refs(F.col("sentence"))
     return found.select(
-        text.fact_id(F.col(doc), F.col("sent_idx"), F.col("subject"), F.col("predicate"), F.col("object")).alias("infon_id"),
+        text.fact_id(F.col(doc), F.col("sent_idx"), F.col("subject"), F.col("predicate"), F.col("object")).alias("fact_id"),
         "subject", "predicate", "object", text.affirmed(F.col("sentence")).alias("polarity"), "confidence", F.col(doc).cast("string").alias("doc_id"), "sent_idx", "sentence",
         text.tense(F.col("sentence")).alias("tense"), F.lit("simple").alias("aspect"), refs.alias("temporal_refs"), text.precision(refs).alias("precision"),
         grounding("text", doc_id=F.col(doc), sent_id=F.col("sent_idx"), char_start=F.lit(0), char_end=F.length("sentence"), sentence_text=F.col("sentence")).alias("grounding"),

@@ -14,16 +14,18 @@ def evidence(claims: DataFrame, facts: DataFrame, key: str = "seq", most: int =
 
     claims: claim_id, anchor, activation.
     """
+    whole = F.struct(*[F.col(c) for c in facts.columns])
     roles = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("anchor")) for r in ("subject", "predicate")])
-    touched = facts.select(key, "importance_score", F.inline(roles)).join(F.broadcast(claims), "anchor").groupBy("claim_id", key, "importance_score").agg(
-        F.max(F.when(F.col("role") == "subject", F.col("activation"))).alias("_s"), F.max(F.when(F.col("role") == "predicate", F.col("activation"))).alias("_p")
-    )
-    by = Window.partitionBy("claim_id").orderBy(F.desc("importance_score"), key)
-    first = touched.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most)
-    rows = first.drop("importance_score").join(facts, key)
-    o = claims.select("claim_id", F.col("anchor").alias("object"), F.col("activation").alias("_o"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return rows.join(F.broadcast(o), ["claim_id", "object"], "left").withColumn("s", zero("_s")).withColumn("p", zero("_p")).withColumn("o", zero("_o")).drop("_s", "_p", "_o")
+    # The best facts of a claim are among the best of its anchors, so an anchor's other facts needn't meet a claim.
+    by = Window.partitionBy("role", "anchor").orderBy(F.desc("importance_score"), key)
+    best = facts.select(whole.alias("_f"), key, "importance_score", F.inline(roles)).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most)
+    touched = best.select("anchor", "_f", key).dropDuplicates(["anchor", key]).drop(key).join(claims.select("claim_id", "anchor"), "anchor").select("claim_id", F.col(f"_f.{key}").alias(key), "_f").dropDuplicates(["claim_id", key])
+    by = Window.partitionBy("claim_id").orderBy(F.desc("_f.importance_score"), key)
+    rows = touched.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).select("claim_id", "place", "_f.*")
+    for role, name in (("subject", "s"), ("predicate", "p"), ("object", "o")):
+        told = claims.select("claim_id", F.col("anchor").alias(role), F.col("activation").alias(name))
+        rows = rows.join(told, ["claim_id", role], "left").withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
+    return rows
 
 
 def competing(rows: DataFrame, claims: DataFrame, types: DataFrame) -> DataFrame:
@@ -63,5 +65,9 @@ def verdicts(rows: DataFrame, key: str = "seq") -> DataFrame:
 
 
 def verify(claims: DataFrame, facts: DataFrame, types: DataFrame, key: str = "seq", contrary: bool = False) -> DataFrame:
-    """Verdicts of the claims (claim_id, anchor, activation). A claim that no fact touches has none; it lacks information."""
-    return verdicts(fused(competing(evidence(claims, facts, key), claims, types), contrary), key)
+    """Verdicts of the claims (claim_id, anchor, activation). Of a claim that no fact touches nothing is known: it lacks information."""
+    told = verdicts(fused(competing(evidence(claims, facts, key), claims, types), contrary), key)
+    nothing = belief.pignistic(belief.mass(theta=1.0))
+    filled = {"belief_supports": nothing["s"], "belief_refutes": nothing["r"], "belief_uncertain": nothing["u"], "plausibility_supports": F.lit(1.0), "plausibility_refutes": F.lit(1.0), "n_evidence": F.lit(0), "label": F.lit("NOT ENOUGH INFO")}
+    rows = claims.select("claim_id").distinct().join(told, "claim_id", "left")
+    return rows.select("claim_id", *[F.coalesce(F.col(c), filled[c]).alias(c) for c in told.columns if c != "claim_id"])

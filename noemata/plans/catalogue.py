@@ -355,7 +355,7 @@ def idf_specificity(spark, folder):
 
 @query
 def spoke_edges(spark, folder):
-    rows = events(spark, folder).withColumn("infon_id", F.concat(F.lit("e"), F.col("seq").cast("string")))
+    rows = events(spark, folder).withColumn("fact_id", F.concat(F.lit("e"), F.col("seq").cast("string")))
     return extract.spokes(rows).groupBy("edge_type", F.col("source").substr(1, 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("weight"), "weight"))
 
 

@@ -197,7 +197,7 @@ RICH = f"""{OBS}, rich AS (SELECT seq, subject, CASE predicate {' '.join(f"WHEN
 
 
 def search(persona: str, sign: str, gain: str) -> str:
-    _, good, bad, kinds = PERSONA_FOCUS[persona]
+    good, bad, kinds = PERSONA_FOCUS[persona]
     has = lambda ws: f"predicate IN ({', '.join(map(q, ws))})"
     salience = " + ".join(f"{0.33 if k in kinds else 0}" for k in ("actor", "relation", "feature"))
     return f"""{RICH}, {QUERY}, wanted AS (SELECT r.*, row_number() OVER (PARTITION BY q.anchor ORDER BY importance_score DESC, seq) AS n FROM rich r JOIN query q ON (r.subject = q.anchor AND q.anchor LIKE 'user%') OR (r.object = q.anchor AND q.anchor LIKE 'k%')),
@@ -210,7 +210,7 @@ def search(persona: str, sign: str, gain: str) -> str:
 
 SQL["search_ranked"] = f"WITH {search('investor', '1', '0')} SELECT seq, round(valence, 6) AS valence, round(salience, 6) AS salience, round(urgency, 6) AS urgency, round(recency, 6) AS recency, round(rank_score, 6) AS rank_score FROM s ORDER BY s.rank_score DESC, seq LIMIT 40"
 SQL["search_contrary"] = f"WITH {search('engineer', '-1', 'CASE WHEN polarity THEN 0 ELSE 0.25 END')} SELECT seq, polarity, round(valence, 6) AS valence, round(rank_score, 6) AS rank_score FROM s ORDER BY s.rank_score DESC, seq LIMIT 40"
-SQL["persona_detect"] = f"""WITH {OBS}, {QUERY}, t AS (SELECT CAST(activation AS DOUBLE) AS activation, CASE WHEN anchor LIKE 'user%' THEN 'actor' ELSE 'feature' END AS type FROM query WHERE anchor IN (SELECT subject FROM obs UNION SELECT object FROM obs)), f AS {values([(p, t) for p, x in PERSONA_FOCUS.items() for t in x[3]], 'persona, type')}
+SQL["persona_detect"] = f"""WITH {OBS}, {QUERY}, t AS (SELECT CAST(activation AS DOUBLE) AS activation, CASE WHEN anchor LIKE 'user%' THEN 'actor' ELSE 'feature' END AS type FROM query WHERE anchor IN (SELECT subject FROM obs UNION SELECT object FROM obs)), f AS {values([(p, t) for p, x in PERSONA_FOCUS.items() for t in x[2]], 'persona, type')}
  SELECT persona, round(sum(activation), 6) AS score FROM t JOIN f USING (type) GROUP BY persona"""
 SQL["persona_cues"] = f"WITH t AS {values([(0, 'What are the RISKS?'), (1, 'new patents'), (2, 'Market share of toyota'), (3, 'which policy'), (4, 'weather')], 'id, q')} SELECT id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(q), {q(c)})' for c in cues)} THEN {q(name)}" for name, cues in PERSONA_CUES) + " END AS persona FROM t"
 SQL["chain_walk"] = f"""WITH {OBS}, {ROLES.format(src='obs')}, ordered AS (SELECT seq, subject, row_number() OVER (PARTITION BY subject ORDER BY ts, seq) - 1 AS i FROM obs)
@@ -308,4 +308,4 @@ VERIFIED = f"""{MEAN}, facts AS (SELECT concat_ws(':', doc_id * 1000000 + sent_i
  d4 AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY theta, place) AS d, count(*) OVER (PARTITION BY claim_id) AS n_evidence FROM g4),
  q4 AS (SELECT claim_id, n_evidence, product(s + theta) AS qs, product(r + theta) AS qr, product(u + theta) AS qu, product(theta) AS qt FROM d4 WHERE d <= 5 GROUP BY 1, 2), z4 AS (SELECT claim_id, n_evidence, {CLOSED} FROM q4),
  p4 AS (SELECT claim_id, n_evidence, CASE WHEN s + r + u > 0 THEN s + theta * s / (s + r + u) ELSE theta / 3 END AS ps, CASE WHEN s + r + u > 0 THEN r + theta * r / (s + r + u) ELSE theta / 3 END AS pr, CASE WHEN s + r + u > 0 THEN u + theta * u / (s + r + u) ELSE theta / 3 END AS pu FROM z4)"""
-SQL["verify_claims"] = f"WITH {VERIFIED} SELECT claim_id, round(ps, 6) AS belief_supports, round(pr, 6) AS belief_refutes, round(pu, 6) AS belief_uncertain, n_evidence, CASE WHEN pr > 0.15 AND pr > ps THEN 'REFUTES' WHEN ps > 0.25 AND ps > pr THEN 'SUPPORTS' ELSE 'NOT ENOUGH INFO' END AS label FROM p4"
+SQL["verify_claims"] = f"WITH {VERIFIED} SELECT claim_id, round(ps, 6) AS belief_supports, round(pr, 6) AS belief_refutes, round(pu, 6) AS belief_uncertain, n_evidence, CASE WHEN pr > 0.15 AND pr > ps THEN 'REFUTES' WHEN ps > 0.25 AND ps > pr THEN 'SUPPORTS' ELSE 'NOT ENOUGH INFO' END AS label FROM p4 UNION ALL SELECT DISTINCT claim_id, round(1 / 3, 6), round(1 / 3, 6), round(1 / 3, 6), 0, 'NOT ENOUGH INFO' FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM p4)"

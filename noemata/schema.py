@@ -19,15 +19,15 @@ TEMPORAL_REF = "struct<text: string, precision: string, confidence: double>"
 MASS = "struct<s: double, r: double, u: double, theta: double>"
 
 FACT_DDL = (
-    f"infon_id string, subject string, predicate string, object string, polarity boolean, grounding {GROUNDING}, confidence double, timestamp timestamp, importance {IMPORTANCE}, "
+    f"fact_id string, subject string, predicate string, object string, polarity boolean, grounding {GROUNDING}, confidence double, timestamp timestamp, importance {IMPORTANCE}, "
     "kind string, reinforcement_count bigint, doc_id string, created_at timestamp, direction string, "
     f"spans map<string, {SPAN}>, support map<string, string>, subject_meta map<string, string>, predicate_meta map<string, string>, object_meta map<string, string>, "
     f"locations array<{LOCATION}>, precision string, temporal_refs array<{TEMPORAL_REF}>, tense string, aspect string, importance_score double, last_reinforced string, decay_rate double, "
-    "pruned boolean, parent_infon_ids array<string>, fitness double"
+    "pruned boolean, parent_fact_ids array<string>, fitness double"
 )
 EDGE_DDL = "source string, target string, edge_type string, weight double, metadata struct<anchor: string, anchor_role: string, gap_days: int, level: string>, created_at timestamp"
-CONSTRAINT_DDL = "subject string, predicate string, object string, evidence bigint, doc_count bigint, strength double, persistence double, score double, infon_ids array<string>, updated_at timestamp"
-DOCUMENT_DDL = "doc_id string, path string, kind string, text string, timestamp timestamp, n_infons bigint, token_count bigint, ingested_at timestamp"
+CONSTRAINT_DDL = "subject string, predicate string, object string, evidence bigint, doc_count bigint, strength double, persistence double, score double, fact_ids array<string>, updated_at timestamp"
+DOCUMENT_DDL = "doc_id string, path string, kind string, text string, timestamp timestamp, n_facts bigint, token_count bigint, ingested_at timestamp"
 ANCHOR_DDL = "key string, type string, tokens array<string>, description string, parent string, attrs map<string, string>"
 TABLES = {"facts": FACT_DDL, "edges": EDGE_DDL, "constraints": CONSTRAINT_DDL, "documents": DOCUMENT_DDL}
 
@@ -73,7 +73,7 @@ class Vocabulary:
         """For code, with the built-in relations that are missing."""
         if self.language != "code":
             return self
-        built_in = {k: {"type": "relation", "tokens": list(t), "description": d} for k, t, d in CODE_RELATIONS}
+        built_in = {k: {"type": "relation", "tokens": list(t), "description": k} for k, t in CODE_RELATIONS}
         return Vocabulary(self.anchors | {k: v for k, v in built_in.items() if k not in self.anchors}, self.language, self.version)
 
     def of_type(self, kind: str) -> dict[str, dict]:
@@ -118,7 +118,7 @@ def valences(spark: SparkSession) -> DataFrame:
 
 def focus(spark: SparkSession) -> DataFrame:
     """persona, goals, positive, negative, types."""
-    return spark.createDataFrame([(p, list(g), list(a), list(b), list(t)) for p, (g, a, b, t) in PERSONA_FOCUS.items()], "persona string, goals array<string>, positive array<string>, negative array<string>, types array<string>")
+    return spark.createDataFrame([(p, list(a), list(b), list(t)) for p, (a, b, t) in PERSONA_FOCUS.items()], "persona string, positive array<string>, negative array<string>, types array<string>")
 
 
 def role_of_type(kind: F.Column) -> F.Column:

@@ -79,7 +79,7 @@ class KnowledgeBase:
 
     def upsert(self, new: DataFrame) -> None:
         """new: subject, predicate, object, polarity, confidence, timestamp, seq, and what else a fact has. What is known is reinforced and keeps its first columns."""
-        kept = tuple(c for c in ("infon_id", "grounding", "importance", "kind", "doc_id", "importance_score", "tense") if c in new.columns)
+        kept = tuple(c for c in ("fact_id", "grounding", "importance", "kind", "doc_id", "importance_score", "tense") if c in new.columns)
         old = self.table("facts")
         before = old.select(*facts.KEY, "confidence", "timestamp", F.lit(None).cast(new.schema["seq"].dataType).alias("seq"), "reinforcement_count", *kept)
         folded = facts.upsert_fold(new, before, kept)
@@ -87,8 +87,8 @@ class KnowledgeBase:
         joined = folded.join(old.select(*facts.KEY, *rest), facts.KEY, "left")
         if "kind" not in kept:
             joined = joined.withColumn("kind", F.coalesce("kind", F.lit("observed")))
-        if "infon_id" not in kept:
-            joined = joined.withColumn("infon_id", F.coalesce("infon_id", F.concat(F.lit("inf_"), F.substring(F.sha2(F.concat_ws(":", *[F.col(k).cast("string") for k in facts.KEY]), 256), 1, 12))))
+        if "fact_id" not in kept:
+            joined = joined.withColumn("fact_id", F.coalesce("fact_id", F.concat(F.lit("fact_"), F.substring(F.sha2(F.concat_ws(":", *[F.col(k).cast("string") for k in facts.KEY]), 256), 1, 12))))
         joined = joined.withColumn("pruned", F.coalesce("pruned", F.lit(False))).withColumn("created_at", F.coalesce("created_at", "timestamp"))
         self.replace("facts", joined)
 
@@ -103,7 +103,7 @@ class KnowledgeBase:
         found = extract.text_facts(documents, self.vocabulary.frame(self.spark)).join(documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("timestamp").cast("timestamp").alias("timestamp")), "doc_id")
         found = found.withColumn("kind", F.lit("observed")).withColumn("reinforcement_count", F.lit(1)).withColumn("pruned", F.lit(False)).withColumn("importance_score", F.col("confidence") * 0.3)
         found = found.withColumn("created_at", F.col("timestamp"))
-        self.put("facts", found, ["infon_id"])
+        self.put("facts", found, ["fact_id"])
         kept = documents.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("timestamp").cast("timestamp").alias("timestamp"))
         self.put("documents", kept.withColumn("ingested_at", F.current_timestamp()), ["doc_id"])
         self.since += 1
@@ -116,7 +116,7 @@ class KnowledgeBase:
         """Recompute constraints and chains from the observed facts."""
         seen = facts.live(self.table("facts"))
         self.replace("constraints", consolidate.constraints_by_documents(seen))
-        edges = consolidate.next_edges_by_role(seen.withColumn("seq", F.col("infon_id")))
+        edges = consolidate.next_edges_by_role(seen.withColumn("seq", F.col("fact_id")))
         self.replace("edges", edges.select("source", "target", F.lit("NEXT").alias("edge_type"), "weight", F.struct("anchor", "anchor_role", "gap_days", F.lit(None).cast("string").alias("level")).alias("metadata")))
 
     def decay(self, now: F.Column) -> None:
@@ -142,35 +142,35 @@ class KnowledgeBase:
     def retrieve(self, text: str, limit: int = 10, persona: str | None = None) -> DataFrame:
         """Best facts for a text, with the facts that their chains lead to."""
         asked = retrieve.expanded(self.query_anchors(text), closure(self.vocabulary.frame(self.spark)))
-        rows = facts.live(self.table("facts")).withColumn("seq", F.col("infon_id")).withColumn("reinforcement", F.coalesce("importance.reinforcement", F.lit(0.5)))
+        rows = facts.live(self.table("facts")).withColumn("seq", F.col("fact_id")).withColumn("reinforcement", F.coalesce("importance.reinforcement", F.lit(0.5)))
         hits = retrieve.ranked(retrieve.relevance(rows, asked, valences(self.spark), persona), limit)
         around = retrieve.context(hits, self.table("edges").where("edge_type = 'NEXT'")).groupBy("hit").agg(F.sort_array(F.collect_list("other")).alias("context"))
         return hits.join(around, hits["seq"] == around["hit"], "left").drop("hit").orderBy(F.desc("score"), "seq")
 
     def search(self, text: str, persona: str = "analyst", top_k: int = 50, contrary: bool = False, now: F.Column | None = None) -> DataFrame:
-        rows = facts.live(self.table("facts")).withColumn("seq", F.col("infon_id"))
+        rows = facts.live(self.table("facts")).withColumn("seq", F.col("fact_id"))
         types = self.vocabulary.frame(self.spark).select("key", "type")
         return retrieve.search(rows, self.query_anchors(text), types, focus(self.spark), persona, now if now is not None else F.current_timestamp(), top_k, contrary)
 
     def verify_claim(self, text: str, contrary: bool = False) -> DataFrame:
-        rows = facts.live(self.table("facts")).withColumn("seq", F.col("infon_id"))
+        rows = facts.live(self.table("facts")).withColumn("seq", F.col("fact_id"))
         return verify.verify(self.query_anchors(text).withColumn("claim_id", F.lit(0)), rows, self.vocabulary.frame(self.spark).select("key", "type"), contrary=contrary)
 
     def reason(self, text: str, **options) -> dict:
-        rows = facts.live(self.table("facts")).withColumn("seq", F.col("infon_id"))
+        rows = facts.live(self.table("facts")).withColumn("seq", F.col("fact_id"))
         return reason.search(self.query_anchors(text), rows, self.table("edges").select("source", "target", "metadata.anchor"), **options)[0]
 
     def imagine(self, text: str, persona: str | None = None, **options) -> DataFrame:
         """Imagined facts from the observed ones that the text touches; they are stored as imagined."""
-        rows = facts.live(self.table("facts")).withColumn("seq", F.col("infon_id"))
+        rows = facts.live(self.table("facts")).withColumn("seq", F.col("fact_id"))
         seeds = retrieve.relevance(rows.withColumn("reinforcement", F.lit(0.5)), self.query_anchors(text)).orderBy(F.desc("score"), "seq").limit(50)
         anchors = self.vocabulary.frame(self.spark)
         if not self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             self.spark.sparkContext.setCheckpointDir(f"{self.path}/.checkpoints")
         best, _ = imagine.imagine(seeds, rows, anchors.select("key", "type"), imagine.relatives(anchors), self.table("constraints"), lambda d: d.checkpoint(), persona, **options)
         best = best.checkpoint()
-        stored = best.select(F.col("imagined_id").alias("infon_id"), "subject", "predicate", "object", "polarity", "confidence", "timestamp", F.lit("imagined").alias("kind"), F.array("seq").alias("parent_infon_ids"), "fitness")
-        self.put("facts", stored.withColumn("pruned", F.lit(False)), ["infon_id"])
+        stored = best.select(F.col("imagined_id").alias("fact_id"), "subject", "predicate", "object", "polarity", "confidence", "timestamp", F.lit("imagined").alias("kind"), F.array("seq").alias("parent_fact_ids"), "fitness")
+        self.put("facts", stored.withColumn("pruned", F.lit(False)), ["fact_id"])
         return best
 
     def stats(self) -> DataFrame:
@@ -184,4 +184,4 @@ class KnowledgeBase:
         return facts.top_anchors(self.table("facts"), k)
 
     def recent(self, k: int = 20) -> DataFrame:
-        return self.table("facts").orderBy(F.desc("created_at"), "infon_id").limit(k)
+        return self.table("facts").orderBy(F.desc("created_at"), "fact_id").limit(k)

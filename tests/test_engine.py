@@ -111,7 +111,7 @@ def test_verdicts(spark):
     types = spark.createDataFrame([("toyota", "actor"), ("invest", "relation"), ("battery", "feature"), ("ev", "feature")], "key string, type string")
     claims = spark.createDataFrame([(c, a, 0.9) for c, anchors in ((0, ("toyota", "invest", "battery")), (1, ("toyota", "invest", "ev")), (2, ("honda",))) for a in anchors], "claim_id int, anchor string, activation double")
     f = spark.createDataFrame([(0, "toyota", "invest", "battery", True, 0.9, 0.5)], "seq int, subject string, predicate string, object string, polarity boolean, confidence double, importance_score double")
-    assert {r.claim_id: r.label for r in verify.verify(claims, f, types).collect()} == {0: "SUPPORTS", 1: "REFUTES"}
+    assert {r.claim_id: r.label for r in verify.verify(claims, f, types).collect()} == {0: "SUPPORTS", 1: "REFUTES", 2: "NOT ENOUGH INFO"}
     turned = f.withColumn("polarity", F.lit(False))
     assert verify.verify(claims, turned, types).where("claim_id = 0").first().label == "REFUTES"
 

@@ -55,8 +55,9 @@ def clusters(edges: DataFrame, vocabulary: DataFrame, n_clusters: int, seed: int
     if len(tokens) <= n_clusters:
         return spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, cluster int")
     matrix = np.eye(len(tokens))
-    for r in laplacian(edges).collect():
-        matrix[at[r.t1], at[r.t2]] = r.value
+    entries = laplacian(edges).toArrow()
+    one, two = ([at[t] for t in entries.column(c).to_pylist()] for c in ("t1", "t2"))
+    matrix[one, two] = entries.column("value").to_numpy()
     _, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
     rows = spark.createDataFrame([(t, Vectors.dense(vectors[i, :n_clusters].tolist())) for t, i in at.items()], ["token", "features"])
     model = KMeans(k=n_clusters, seed=seed).fit(rows)

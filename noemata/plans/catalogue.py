@@ -545,7 +545,7 @@ def _cut(spark: SparkSession):
 def imagine_topk(spark, folder):
     related = imagine.relatives(inputs.parents(spark).withColumn("type", F.lit("actor")))
     seeds = few_facts(spark, folder).orderBy(F.desc("confidence"), "seq").limit(20)
-    best, _ = imagine.imagine(seeds, few_facts(spark, folder), kinds(spark, folder), related, triple_constraints(spark, folder), _cut(spark), "investor", generations=2)
+    best, _ = imagine.imagine(seeds, few_facts(spark, folder), kinds(spark, folder), related, triple_constraints(spark, folder), _cut(spark), "investor")
     return best.select("imagined_id", "subject", "predicate", "object", "polarity", r("fitness"))
 
 
@@ -578,18 +578,18 @@ def token_freq(spark, folder):
 
 @query
 def top_f_tokens(spark, folder):
-    return discover.frequent(talk_tokens(spark, folder), 200)
+    return discover.frequent(talk_tokens(spark, folder))
 
 
 @query
 def cooccurrence(spark, folder):
     tokens = talk_tokens(spark, folder)
-    return discover.cooccurrence(tokens, ["conv_id", "turn"], discover.frequent(tokens, 200))
+    return discover.cooccurrence(tokens, ["conv_id", "turn"], discover.frequent(tokens))
 
 
 def related_tokens(spark, folder):
     tokens = talk_tokens(spark, folder)
-    vocabulary = discover.frequent(tokens, 200)
+    vocabulary = discover.frequent(tokens)
     n = tokens.select("conv_id", "turn").distinct().count()
     return discover.npmi(discover.cooccurrence(tokens, ["conv_id", "turn"], vocabulary), vocabulary, n), vocabulary
 
@@ -607,7 +607,7 @@ def laplacian_entries(spark, folder):
 @query
 def discover_clusters(spark, folder):
     edges, vocabulary = related_tokens(spark, folder)
-    return discover.labels(discover.clusters(edges, vocabulary, 12), vocabulary)
+    return discover.labels(discover.clusters(edges, vocabulary, 50), vocabulary)
 
 
 # code

@@ -272,7 +272,7 @@ SQL["fitness"] = f"""WITH {FACTS}, freq AS (SELECT anchor, count(*) AS f FROM (S
 SQL["mcts_root"] = f"""WITH {RICH}, {QUERY}, j AS (SELECT DISTINCT q.anchor, r.seq, r.importance_score FROM rich r JOIN query q ON q.anchor IN (r.subject, r.predicate, r.object))
  SELECT anchor, seq, CAST(row_number() OVER (PARTITION BY anchor ORDER BY importance_score DESC, seq) AS INT) AS place FROM j QUALIFY place <= 20"""
 
-TOKENS = "toks AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM conversations), freq AS (SELECT token, count(*) AS n FROM toks GROUP BY token), vocab AS (SELECT * FROM freq ORDER BY n DESC, token LIMIT 200)"
+TOKENS = "toks AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM conversations), freq AS (SELECT token, count(*) AS n FROM toks GROUP BY token), vocab AS (SELECT * FROM freq ORDER BY n DESC, token LIMIT 2000)"
 PAIRS = f"{TOKENS}, kept AS (SELECT conv_id, turn, token FROM toks JOIN vocab USING (token)), pairs AS (SELECT a.token AS t1, b.token AS t2, count(*) AS n FROM kept a JOIN kept b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.token <= b.token GROUP BY 1, 2)"
 NPMI = f"""{PAIRS}, tot AS (SELECT count(*) AS u FROM (SELECT DISTINCT conv_id, turn FROM toks)), np AS (SELECT t1, t2, CASE WHEN t1 = t2 THEN 1.0 ELSE ln((p.n / u) / ((a.n / u) * (b.n / u))) / -ln(p.n / u) END AS npmi
  FROM pairs p JOIN vocab a ON a.token = t1 JOIN vocab b ON b.token = t2 CROSS JOIN tot WHERE p.n < u), pos AS (SELECT * FROM np WHERE npmi > 0)"""

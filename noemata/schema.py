@@ -117,7 +117,7 @@ def valences(spark: SparkSession) -> DataFrame:
 
 
 def focus(spark: SparkSession) -> DataFrame:
-    """persona, goals, positive, negative, types."""
+    """persona, positive, negative, types."""
     return spark.createDataFrame([(p, list(a), list(b), list(t)) for p, (a, b, t) in PERSONA_FOCUS.items()], "persona string, positive array<string>, negative array<string>, types array<string>")
 
 

@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release, remembered, slices, table, texts, written
+from .common import release, remembered, slices, texts, written
 
-CACHE = 600_000
 #: Rows of one hash slice of a length, about; placements up to which they are broadcast.
 SLICE, BROADCAST = 2_000, 200_000
 
@@ -43,7 +42,8 @@ LATIN_END, DOTTED = "\u0250", "\u0130"
 class Ids:
     """Token ids as little-endian 32-bit bytes. White space never lies within a token, nor does the border between a letter and a mark, so words are encoded once and remembered (a bounded number of them)."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, most: int):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -78,8 +78,8 @@ class Ids:
         """The ids of each text."""
         # The vocabulary is of lower case; only its special tokens are told by case.
         kept, parts = self.kept, [(t if b"<|" in t else MARK.sub(rb" \1", t.lower())).split() for t in some]
-        if len(kept) > CACHE:  # the words learned first are the frequent ones
-            for _ in range(len(kept) - CACHE // 2):
+        if len(kept) > self.most:  # the words learned first are the frequent ones
+            for _ in range(len(kept) - self.most // 2):
                 kept.popitem()
         new = [x for x in set().union(*parts) if x not in kept]
         self._learn(new)
@@ -92,14 +92,14 @@ def _vocabulary(name: str) -> str:
     return name if os.path.isabs(name) else public_tokenizers.path(name)
 
 
-def pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int, with_ids: bool = False, words: int = 600_000) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece; with_ids also the ids. vocabulary: a path, or the name of a public vocabulary."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
         release("packing")
-        encoder = Ids(_vocabulary(vocabulary))
-        for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
+        encoder = Ids(_vocabulary(vocabulary), words)
+        for batch in (part for whole in batches for part in slices(whole, 4 << 20)):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.of(texts(batch)), strict=True):
                 ids += end
@@ -141,10 +141,10 @@ def place(histogram: dict[int, int], room: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", length: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
-    """The pieces of docs with the sequence and the offset at which each lies."""
+def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", length: int = 4096, end_id: int = 2, with_ids: bool = False, words: int = 600_000) -> DataFrame:
+    """The pieces of docs with the sequence and the offset at which each lies. words: how many a Python worker remembers."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, vocabulary, length, end_id, with_ids), "pieces")
+    cut = written(pieces(docs, vocabulary, length, end_id, with_ids, words), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `length` rows
     parts = spark.createDataFrame([(n, -(-c // SLICE)) for n, c in histogram.items()] or [(0, 1)], "length long, _slices long")
     sliced = cut.join(F.broadcast(parts), "length").withColumn("_slice", F.pmod(F.xxhash64("doc_id", "start"), F.col("_slices"))).drop("_slices")
@@ -160,4 +160,4 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", length: int = 4
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=1_000_000)

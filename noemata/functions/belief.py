@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..fixed import IGNORANCE
+
 NAMES = ("s", "r", "u", "theta")
 
 
@@ -52,6 +54,15 @@ def from_confidence(confidence: Column) -> Column:
     return mass(u=u, theta=1 - u)
 
 
+def from_logits(supports: Column, uncertain: Column, refutes: Column) -> Column:
+    """Masses of a classifier's three logits: their softmax, less the ignorance that an undecided one leaves."""
+    most = F.greatest(supports, uncertain, refutes)
+    powers = [F.exp(x - most) for x in (supports, refutes, uncertain)]
+    whole = powers[0] + powers[1] + powers[2]
+    theta = F.greatest(F.lit(0.0), IGNORANCE * (1 - F.greatest(*powers) / whole))
+    return F.struct(*[(p / whole * (1 - theta)).alias(n) for p, n in zip(powers, NAMES[:3], strict=True)], theta.alias("theta"))
+
+
 def combined(qs: Column, qr: Column, qu: Column, t: Column) -> Column:
     """Dempster's rule in closed form: q the products of (mass + theta), t that of theta. Total conflict leaves ignorance."""
     whole = qs + qr + qu - 2 * t

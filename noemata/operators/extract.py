@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed import ACTIVATION, LEAST_CONFIDENCE, ROLE_ACTIVATION, TOP_BY_ROLE, TOP_BY_TYPE
+from ..fixed import ACTIVATION, LEAST_CONFIDENCE, OBSERVED_IMPORTANCE, ROLE_ACTIVATION, TOP_BY_ROLE, TOP_BY_TYPE
 from ..functions import scores, text
-from ..schema import grounding, role_of_type
+from ..schema import HIERARCHY_FIELDS, closure, grounding, role_of_type
+
+ROLES = ("subject", "predicate", "object")
 
 
 def tokens_of(anchors: DataFrame) -> DataFrame:
@@ -106,15 +108,59 @@ def locations(*metas: F.Column) -> F.Column:
     return F.transform(codes, lambda c: F.struct(c.alias("name"), F.lit("country").alias("level"), c.alias("country_code"), first(c).alias("macro_region"), F.lit(0.5).alias("confidence"), F.lit("inferred").alias("source")))
 
 
+def details(anchors: DataFrame) -> DataFrame:
+    """key, tokens, below (tokens of its descendants), meta (type and place in the hierarchy): what a fact says about each of its anchors. As small as the vocabulary."""
+    up = F.when(F.col("parent").isNotNull(), F.create_map(F.lit("parent"), F.col("parent"))).otherwise(F.create_map().cast("map<string, string>"))
+    own = F.map_filter(F.coalesce("attrs", F.create_map().cast("map<string, string>")), lambda k, v: k.isin(*[f for f in HIERARCHY_FIELDS if f != "parent"]))
+    rows = anchors.select("key", "tokens", F.map_concat(up, own, F.create_map(F.lit("type"), F.col("type"))).alias("meta"))
+    lower = closure(anchors).where("depth > 0").join(anchors.select(F.col("key").alias("descendant"), "tokens"), "descendant")
+    gathered = lower.groupBy(F.col("ancestor").alias("key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("below"))
+    return rows.join(gathered, "key", "left").withColumn("below", F.coalesce("below", F.array().cast("array<string>")))
+
+
+def _described(found: DataFrame, about: DataFrame) -> DataFrame:
+    """found with _subject, _predicate and _object: details of each role's anchor."""
+    for r in ROLES:
+        found = found.join(F.broadcast(about.select(F.col("key").alias(r), F.struct(*[c for c in about.columns if c != "key"]).alias(f"_{r}"))), r)
+    return found
+
+
 def text_facts(documents: DataFrame, anchors: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Facts of documents (doc, text): triples by geometric mean, with ids, polarity, tense, temporal references and precision."""
+    """Facts of documents (doc, text): triples by geometric mean with all that a fact holds: ids, polarity, tense, temporal references, spans,
+    support, attributes of its anchors, locations and importance. Specificity counts over all documents given."""
     sentences = text.sentences(documents.select(doc, "text"))
-    active = activations(sentences, anchors, [doc, "sent_idx"])
-    found = triples_by_mean(active, [doc, "sent_idx"]).join(sentences, [doc, "sent_idx"])
-    refs = text.temporal_refs(F.col("sentence"))
+    unit = [doc, "sent_idx"]
+    active = activations(sentences, anchors, unit)
+    rarity = specificity(active, documents.count()).select("key", "specificity")
+    found = triples_by_mean(active, unit).join(sentences, unit)
+    found = _described(found, details(anchors).join(rarity, "key", "left"))
+    sentence, refs = F.col("sentence"), text.temporal_refs(F.col("sentence"))
+    specific = sum((F.coalesce(F.col(f"_{r}.specificity"), F.lit(0.0)) for r in ROLES), F.lit(0.0)) / 3
+    spans = F.map_filter(F.create_map(*[x for r in ROLES for x in (F.lit(r), text.longest_token_span(sentence, F.col(f"_{r}.tokens")))]), lambda k, v: v.isNotNull())
+    support = F.create_map(*[x for r in ROLES for x in (F.lit(r), text.support(sentence, F.col(f"_{r}.tokens"), F.col(f"_{r}.below")))])
+    metas = [F.col(f"_{r}.meta") for r in ROLES]
+    parts = [F.col("confidence").alias("activation"), F.lit(0.0).alias("coherence"), specific.alias("specificity"), F.lit(1.0).alias("novelty"), F.lit(0.5).alias("reinforcement")]
     return found.select(
         text.fact_id(F.col(doc), F.col("sent_idx"), F.col("subject"), F.col("predicate"), F.col("object")).alias("fact_id"),
-        "subject", "predicate", "object", text.affirmed(F.col("sentence")).alias("polarity"), "confidence", F.col(doc).cast("string").alias("doc_id"), "sent_idx", "sentence",
-        text.tense(F.col("sentence")).alias("tense"), F.lit("simple").alias("aspect"), refs.alias("temporal_refs"), text.precision(refs).alias("precision"),
+        "subject", "predicate", "object", text.affirmed(sentence).alias("polarity"), "confidence", F.col(doc).cast("string").alias("doc_id"), "sent_idx", "sentence",
+        text.tense(sentence).alias("tense"), F.lit("simple").alias("aspect"), refs.alias("temporal_refs"), text.precision(refs).alias("precision"),
+        spans.alias("spans"), support.alias("support"), *[m.alias(f"{r}_meta") for m, r in zip(metas, ROLES, strict=True)], locations(*metas).alias("locations"),
+        F.struct(*parts).alias("importance"), scores.importance(F.col("confidence"), F.lit(0.0), specific, F.lit(1.0)).alias("importance_score"),
+        grounding("text", doc_id=F.col(doc), sent_id=F.col("sent_idx"), char_start=F.lit(0), char_end=F.length("sentence"), sentence_text=sentence).alias("grounding"),
+    )
+
+
+def observed_facts(documents: DataFrame, anchors: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Facts of observations (doc, text): triples by the least activation, polarity by the window before the predicate's span."""
+    sentences = text.sentences(documents.select(doc, "text"))
+    unit = [doc, "sent_idx"]
+    found = triples_by_least(activations(sentences, anchors, unit), unit).join(sentences, unit)
+    found = found.join(F.broadcast(anchors.select(F.col("key").alias("predicate"), F.col("tokens").alias("_tokens"))), "predicate")
+    span = text.first_token_span(F.col("sentence"), F.col("_tokens"))
+    parts = [F.col("confidence").alias("activation"), *[F.lit(v).alias(n) for n, v in OBSERVED_IMPORTANCE]]
+    return found.withColumn("_span", span).select(
+        text.fact_id(F.col(doc), F.col("sent_idx"), F.col("subject"), F.col("predicate"), F.col("object")).alias("fact_id"),
+        "subject", "predicate", "object", (~text.negated_before(F.col("sentence"), F.col("_span.start"), F.col("_span.end"))).alias("polarity"), "confidence",
+        F.col(doc).cast("string").alias("doc_id"), "sent_idx", "sentence", F.lit("present").alias("tense"), F.lit("simple").alias("aspect"), F.struct(*parts).alias("importance"),
         grounding("text", doc_id=F.col(doc), sent_id=F.col("sent_idx"), char_start=F.lit(0), char_end=F.length("sentence"), sentence_text=F.col("sentence")).alias("grounding"),
     )

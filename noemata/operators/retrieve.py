@@ -114,6 +114,11 @@ def search(facts: DataFrame, query: DataFrame, types: DataFrame, focus: DataFram
     role = F.when(F.col("type") == "actor", "subject").when(F.col("type") == "relation", "predicate").otherwise("object")
     wanted = query.join(F.broadcast(types.select(F.col("key").alias("anchor"), "type")), "anchor").select("anchor", role.alias("role"))
     found = fetched(facts, wanted, top_k, [F.desc("importance_score"), "seq"]).drop("role", "anchor", "rank").dropDuplicates(["seq"])
+    return rescored(found, types, focus, persona, now, contrary).orderBy(F.desc("rank_score"), "seq").limit(top_k)
+
+
+def rescored(found: DataFrame, types: DataFrame, focus: DataFrame, persona: str, now: Column, contrary: bool = False) -> DataFrame:
+    """found with valence, salience, urgency, recency and rank_score."""
     kinds = [F.broadcast(types.select(F.col("key").alias(c), F.col("type").alias(f"_{c}"))) for c in ("subject", "predicate", "object")]
     for k, c in zip(kinds, ("subject", "predicate", "object"), strict=True):
         found = found.join(k, c, "left")
@@ -122,4 +127,4 @@ def search(facts: DataFrame, query: DataFrame, types: DataFrame, focus: DataFram
     found = found.withColumn("valence", -valence if contrary else valence).withColumn("salience", salience_of([F.col("_subject"), F.col("_predicate"), F.col("_object")], F.col("_focus")))
     found = found.withColumn("urgency", urgency_of(F.col("tense"), F.col("confidence"))).withColumn("recency", scores.recency(F.col("timestamp"), now))
     ranked_ = found.withColumn("rank_score", rank_score(F.col("importance_score"), F.col("salience"), F.col("recency"), F.col("valence"), contrary, F.col("polarity")))
-    return ranked_.drop("positive", "negative", "_focus", "_subject", "_predicate", "_object").orderBy(F.desc("rank_score"), "seq").limit(top_k)
+    return ranked_.drop("positive", "negative", "_focus", "_subject", "_predicate", "_object")

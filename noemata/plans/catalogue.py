@@ -5,13 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixed import DECAY_RATE
+from ..fixed import DECAY_RATE, SEARCH
 from ..functions import belief, scores, text
-from ..operators import consolidate, discover, extract, facts, imagine, reason, retrieve, verify
-from ..schema import closure, focus, role_of_type, valences
+from ..operators import consolidate, discover, extract, facts, imagine, lookup, reason, retrieve, verify
+from ..schema import closure, focus, grounding, role_of_type, valences
 from ..sources import code
 from ..sources.tables import event_facts, geography, order_facts, supply_facts, table
 from . import inputs
@@ -147,6 +147,67 @@ def shortened_names(spark, folder):
     return table(spark, folder, "part").select("p_partkey", text.shortened(F.col("p_name"), 12).alias("name"))
 
 
+# lookups
+
+
+@query
+def fact_by_id(spark, folder):
+    rows = events(spark, folder).withColumn("pruned", F.col("confidence") < 0.2)
+    found = lookup.by_id(rows, "seq", 17, 42, 99, 10**12).withColumn("asked", F.lit("all"))
+    return found.unionByName(lookup.by_id(rows, "seq", 17, 42, 99, 10**12, with_pruned=False).withColumn("asked", F.lit("live"))).select("asked", "seq", *facts.KEY)
+
+
+@query
+def document_by_id(spark, folder):
+    return lookup.by_id(table(spark, folder, "documents"), "doc_id", 7).select("doc_id", "lang", F.length("text").alias("n"))
+
+
+def typed_edges(spark, folder):
+    return consolidate.next_edges(events(spark, folder)).withColumn("edge_type", F.lit("NEXT"))
+
+
+@query
+def edges_outgoing(spark, folder):
+    return lookup.edges(typed_edges(spark, folder), source=100, edge_type="NEXT").select("source", "target", r("weight"))
+
+
+@query
+def edges_incoming(spark, folder):
+    return lookup.edges(typed_edges(spark, folder), target=500).select("source", "target", r("weight"))
+
+
+@query
+def constraints_filtered(spark, folder):
+    rows = consolidate.constraints_by_documents(events(spark, folder).withColumn("doc_id", F.to_date("timestamp"))).withColumn("score", F.round("score", 6))
+    return lookup.constraints(rows, predicate="purchase", object="k_3", min_score=0.2, limit=25).select("subject", "predicate", "object", "score")
+
+
+@query
+def observation_documents(spark, folder):
+    """The document of an observation: source and time."""
+    return events(spark, folder).select("seq", F.concat(F.lit("agent:"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")).alias("doc_id"))
+
+
+@query
+def answers_json(spark, folder):
+    """Facts as a search answers with them; each one's context is what follows it."""
+    where = grounding("ast", file_path=F.concat(F.lit("f"), (F.col("seq") % 10).cast("string")), line_number=F.col("seq"))
+    rows = events(spark, folder).withColumn("grounding", where)
+    beside = consolidate.next_edges(events(spark, folder)).select(F.col("source").alias("hit"), F.col("target").alias("seq")).join(rows, "seq")
+    found = lookup.answers(rows.withColumn("score", F.col("confidence")), beside, "seq")
+    return found.groupBy("subject", "predicate").agg(F.min("grounding").alias("first_grounding"), F.count(F.lit(1)).alias("n"), F.sum(F.size("context")).cast("long").alias("n_context"), F.min(F.get("context", F.lit(0))["grounding"]).alias("first_context"))
+
+
+@query
+def chained_facts(spark, folder):
+    """What the subject's chain leads to within three steps of its first fact."""
+    rows = events(spark, folder)
+    starts = rows.groupBy("subject").agg(F.min_by("seq", F.struct("timestamp", "seq")).alias("seq"))
+    edges = consolidate.next_edges_by_role(rows).where("anchor_role = 'subject'")
+    walked = retrieve.chains(starts.select(F.col("seq").alias("source"), F.col("subject").alias("anchor")), edges, 3)
+    return lookup.chained(starts, walked, rows).select("seq", *facts.KEY)
+
+
 # consolidation
 
 
@@ -353,6 +414,23 @@ def idf_specificity(spark, folder):
     return extract.specificity(active(spark, folder), table(spark, folder, "documents").count()).select("key", "df", r("specificity"))
 
 
+@query
+def text_facts(spark, folder):
+    """Facts of the documents with all their columns."""
+    found = extract.text_facts(table(spark, folder, "documents"), inputs.anchors(spark))
+    return found.select(
+        "doc_id", "sent_idx", "fact_id", "subject", "predicate", "object", "polarity", "tense", "precision", F.map_keys("spans").alias("spans"), F.map_values("support").alias("support"),
+        F.size("locations").alias("n_locations"), F.col("object_meta")["parent"].alias("object_parent"), r("importance_score"),
+    )
+
+
+@query
+def observed_facts(spark, folder):
+    """Facts of the documents, read as observations."""
+    found = extract.observed_facts(table(spark, folder, "documents"), inputs.anchors(spark))
+    return found.select("doc_id", "sent_idx", "subject", "predicate", "object", r("confidence"), r(scores.composite(F.col("importance")), "importance"))
+
+
 @query
 def spoke_edges(spark, folder):
     rows = events(spark, folder).withColumn("fact_id", F.concat(F.lit("e"), F.col("seq").cast("string")))
@@ -471,6 +549,35 @@ def mass_confidence(spark, folder):
     return simple_masses(spark, folder).select("seq", *mass_columns(belief.from_confidence(F.col("confidence"))))
 
 
+@query
+def mass_logits(spark, folder):
+    """A classifier's logits as masses."""
+    rows = events(spark, folder).select("seq", belief.from_logits(F.col("seq") % 7 / 2, F.col("seq") % 5 / 2, F.col("seq") % 3 / 2).alias("m"))
+    return rows.select("seq", *mass_columns(F.col("m")))
+
+
+@query
+def pignistic(spark, folder):
+    """Chances, plausibility and entropy of masses."""
+    rows = simple_masses(spark, folder).select("seq", belief.from_polarity(F.col("polarity"), F.col("confidence")).alias("m"))
+    chances = belief.pignistic(F.col("m"))
+    return rows.select("seq", *[r(chances[n], n) for n in ("s", "r", "u")], r(belief.plausibility(F.col("m"), "s"), "plausible"), r(belief.entropy(F.col("m")), "entropy"))
+
+
+@query
+def ucb_scores(spark, folder):
+    rows = simple_masses(spark, folder).withColumn("visits", F.col("seq") % 9)
+    return rows.select("seq", r(F.when(F.col("visits") > 0, belief.ucb(F.col("confidence"), F.lit(50.0), F.col("visits"), SEARCH["exploration"])), "ucb"), (belief.ucb(F.col("confidence"), F.lit(50.0), F.col("visits"), 1.4) == float("inf")).alias("unvisited"))
+
+
+@query
+def valence(spark, folder):
+    """Valence of every fact for each persona."""
+    rows = rich(spark, folder).join(F.broadcast(focus(spark)))
+    value = retrieve.valence_of(F.col("predicate"), F.col("confidence"), F.col("polarity"), F.col("positive"), F.col("negative"))
+    return rows.groupBy("persona", "predicate").agg(F.count(F.lit(1)).alias("n"), r(F.min(value), "least"), r(F.max(value), "most"))
+
+
 @query
 def dempster_combine(spark, folder):
     """All facts of a day and event type, fused, with pignistic chances."""
@@ -535,9 +642,29 @@ def fitness(spark, folder):
     return found.select("seq", r("logic_penalty"), r("whisper"), r("bridge"), r("persona_align"), r("fitness"))
 
 
+@query
+def imagine_verdict(spark, folder):
+    """The verdict over the fittest flips."""
+    mutants = imagine.polarity_flips(few_facts(spark, folder))
+    found = imagine.scored(mutants, few_facts(spark, folder), kinds(spark, folder), triple_constraints(spark, folder), "investor")
+    found = found.withColumn("fitness", F.round("fitness", 6)).withColumn("logic_penalty", F.round("logic_penalty", 6))
+    best = found.orderBy(F.desc("fitness"), "seq").limit(20)
+    return imagine.verdict(best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("fitness"), "seq")))).select("n", "fit", r("penalty"), "verdict")  # 20 rows
+
+
+def _shared(spark: SparkSession, prefix: str) -> str:
+    """The shared folder of the session; a temporary one where all runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def _cut(spark: SparkSession):
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        spark.sparkContext.setCheckpointDir(_shared(spark, "checkpoint-"))
     return lambda df: df.checkpoint()
 
 
@@ -636,7 +763,7 @@ def ast_js(spark, folder):
 def _streamed(spark, folder, make, mode="append"):
     from ..streaming import streams
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')}/{uuid.uuid4().hex}"
+    base = f"{_shared(spark, 'stream-')}/{uuid.uuid4().hex}"
     rows = spark.read.parquet(f"{folder}/events.parquet")
     rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/in")
     streams.run(make(streams, streams.event_stream(spark, f"{base}/in", files_per_batch=4)), f"{base}/out", f"{base}/state", mode)
@@ -662,13 +789,14 @@ def stream_session_chains(spark, folder):
 def stream_upsert(spark, folder):
     from ..streaming import streams
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')}/{uuid.uuid4().hex}"
+    base = f"{_shared(spark, 'stream-')}/{uuid.uuid4().hex}"
     spark.read.parquet(f"{folder}/events.parquet").repartitionByRange(3, "event_id").write.parquet(f"{base}/in")
     kept: list[str] = []
 
     def save(rows: DataFrame) -> None:
-        rows.write.parquet(f"{base}/state{len(kept)}")
-        kept.append(f"{base}/state{len(kept)}")
+        target = f"{base}/state-{uuid.uuid4().hex}"  # a batch that is run again writes beside what it left
+        rows.write.parquet(target)
+        kept.append(target)
 
     streams.upserts(streams.event_stream(spark, f"{base}/in", 1), lambda: spark.read.parquet(kept[-1]) if kept else None, save, f"{base}/check")
     return spark.read.parquet(kept[-1]).select(*facts.KEY, "reinforcement_count", r("confidence"))

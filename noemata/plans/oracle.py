@@ -309,3 +309,30 @@ VERIFIED = f"""{MEAN}, facts AS (SELECT concat_ws(':', doc_id * 1000000 + sent_i
  q4 AS (SELECT claim_id, n_evidence, product(s + theta) AS qs, product(r + theta) AS qr, product(u + theta) AS qu, product(theta) AS qt FROM d4 WHERE d <= 5 GROUP BY 1, 2), z4 AS (SELECT claim_id, n_evidence, {CLOSED} FROM q4),
  p4 AS (SELECT claim_id, n_evidence, CASE WHEN s + r + u > 0 THEN s + theta * s / (s + r + u) ELSE theta / 3 END AS ps, CASE WHEN s + r + u > 0 THEN r + theta * r / (s + r + u) ELSE theta / 3 END AS pr, CASE WHEN s + r + u > 0 THEN u + theta * u / (s + r + u) ELSE theta / 3 END AS pu FROM z4)"""
 SQL["verify_claims"] = f"WITH {VERIFIED} SELECT claim_id, round(ps, 6) AS belief_supports, round(pr, 6) AS belief_refutes, round(pu, 6) AS belief_uncertain, n_evidence, CASE WHEN pr > 0.15 AND pr > ps THEN 'REFUTES' WHEN ps > 0.25 AND ps > pr THEN 'SUPPORTS' ELSE 'NOT ENOUGH INFO' END AS label FROM p4 UNION ALL SELECT DISTINCT claim_id, round(1 / 3, 6), round(1 / 3, 6), round(1 / 3, 6), 0, 'NOT ENOUGH INFO' FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM p4)"
+
+# lookups, masses and verdicts
+
+SQL["fact_by_id"] = f"""WITH {OBS} SELECT 'all' AS asked, seq, {KEY} FROM obs WHERE seq IN (17, 42, 99) UNION ALL SELECT 'live', seq, {KEY} FROM obs WHERE seq IN (17, 42, 99) AND confidence >= 0.2"""
+SQL["document_by_id"] = "SELECT doc_id, lang, CAST(length(text) AS INT) AS n FROM documents WHERE doc_id = 7"
+SQL["edges_outgoing"] = f"SELECT * FROM ({SQL['next_edges_weighted']}) WHERE source = 100"
+SQL["edges_incoming"] = f"SELECT * FROM ({SQL['next_edges_weighted']}) WHERE target = 500"
+SQL["constraints_filtered"] = f"SELECT subject, predicate, object, score FROM ({SQL['constraints_p2']}) WHERE predicate = 'purchase' AND object = 'k_3' AND score >= 0.2 ORDER BY score DESC, subject LIMIT 25"
+SQL["observation_documents"] = "SELECT event_id AS seq, 'agent:' || strftime(ts, '%Y-%m-%dT%H:%M:%S') AS doc_id FROM events"
+SQL["answers_json"] = f"""WITH {OBS}, g AS (SELECT *, '{{"type":"ast","file_path":"f' || (seq % 10) || '","line_number":' || seq || ',"node_type":null}}' AS grounding FROM obs), e AS ({SQL['next_edges_weighted']}),
+ c AS (SELECT e.source, count(*) AS n, min(struct_pack(a := g.subject, b := g.predicate, c := g.object, d := g.polarity, e := g.grounding)) AS first FROM e JOIN g ON g.seq = e.target GROUP BY e.source)
+ SELECT subject, predicate, min(grounding) AS first_grounding, count(*) AS n, CAST(sum(coalesce(c.n, 0)) AS BIGINT) AS n_context, min(c.first.e) AS first_context FROM g LEFT JOIN c ON c.source = g.seq GROUP BY subject, predicate"""
+SQL["chained_facts"] = f"WITH {OBS}, o AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY ts, seq) AS n FROM obs) SELECT seq, {KEY} FROM o WHERE n BETWEEN 2 AND 4"
+SQL["mass_logits"] = f"""WITH {OBS}, a AS (SELECT seq, exp((seq % 7) / 2.0) AS s, exp((seq % 5) / 2.0) AS u, exp((seq % 3) / 2.0) AS r FROM obs), b AS (SELECT *, s + u + r AS w, greatest(s, u, r) AS most FROM a), c AS (SELECT *, 0.5 * (1 - most / w) AS theta FROM b)
+ SELECT seq, round(s / w * (1 - theta), 6) AS s, round(r / w * (1 - theta), 6) AS r, round(u / w * (1 - theta), 6) AS u, round(theta, 6) AS theta FROM c"""
+SQL["pignistic"] = f"""WITH {OBS}, a AS (SELECT seq, polarity, least(confidence, 0.8) AS k FROM obs), m AS (SELECT seq, CASE WHEN polarity THEN 0.5 * k ELSE 0 END AS s, CASE WHEN polarity THEN 0 ELSE 0.7 * k END AS r, CASE WHEN polarity THEN 0 ELSE 0.1 * k END AS u, CASE WHEN polarity THEN 1 - 0.5 * k ELSE 1 - 0.8 * k END AS t FROM a),
+ f AS (SELECT *, s + r + u AS focal FROM m)
+ SELECT seq, {', '.join(f"round(CASE WHEN focal > 0 THEN {n} + t * {n} / focal ELSE t / 3 END, 6) AS {n}" for n in 'sru')}, round(1 - r - u, 6) AS plausible,
+ round({' + '.join(f"CASE WHEN {n} > 0 THEN -{n} * log2({n}) ELSE 0 END" for n in 'srut')}, 6) AS entropy FROM f"""
+SQL["ucb_scores"] = f"WITH {OBS} SELECT seq, CASE WHEN seq % 9 > 0 THEN round(confidence + 1.4 * sqrt(2 * ln(50) / (seq % 9)), 6) END AS ucb, seq % 9 = 0 AS unvisited FROM obs"
+SQL["valence"] = f"""WITH {RICH}, focus AS {values([(p, list(a), list(b)) for p, (a, b, _) in PERSONA_FOCUS.items()], 'persona, positive, negative')},
+ v AS (SELECT persona, predicate, (CASE WHEN polarity THEN 1 ELSE -1 END) * (CASE WHEN list_contains(positive, predicate) THEN 0.5 + 0.5 * confidence WHEN list_contains(negative, predicate) THEN -(0.5 + 0.5 * confidence) ELSE 0.1 * confidence END) AS valence FROM rich, focus)
+ SELECT persona, predicate, count(*) AS n, round(min(valence), 6) AS least, round(max(valence), 6) AS most FROM v GROUP BY persona, predicate"""
+SQL["imagine_verdict"] = f"""WITH f AS ({SQL['fitness']}), k AS (SELECT *, row_number() OVER (ORDER BY fitness DESC, seq) AS rank FROM f QUALIFY rank <= 20),
+ t AS (SELECT count(*) AS n, count(*) FILTER (fitness >= 0.6) AS fit, avg(logic_penalty) FILTER (rank <= 10) AS penalty, coalesce(bool_and(logic_penalty >= -0.2) FILTER (rank <= 5), false) AS sound FROM k)
+ SELECT n, fit, round(coalesce(penalty, 0), 6) AS penalty, CASE WHEN n = 0 THEN 'SPECULATIVE' WHEN penalty <= -0.5 THEN 'CONTRADICTED' WHEN fit >= 3 AND sound THEN 'PLAUSIBLE' ELSE 'SPECULATIVE' END AS verdict FROM t"""
+SQL["observed_facts"] = f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(sent_idx AS INT) AS sent_idx, subject, predicate, object, confidence, round((confidence + 2.5) / 5, 6) AS importance FROM ({SQL['triples_min']})"

@@ -1,7 +1,7 @@
 """Numeric goldens and behaviour of the engine on small fixtures."""
 
 import math
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,5 +191,35 @@ def test_knowledge_base(spark, tmp_path):
         kb.upsert(rows(spark, ("x", "p", "y"), ("x", "p", "y")))
         assert kb.table("facts").where("subject = 'x'").first().reinforcement_count == 2
         assert kb.prune(0.0) == 0
+        assert kb.get(known := kb.table("facts").where("subject = 'x'").first().fact_id).predicate == "p" and kb.get("none") is None
+        assert kb.document("d1").n_facts == 2 and kb.document("d1").token_count == 11 and kb.document("d9") is None
+        spoke = kb.edges(edge_type="ASSERTS", target="invest")
+        assert spoke.count() == 3 and kb.edges(source=spoke.first().source, edge_type="TARGETS").first().target == "battery"
+        for _ in range(2):
+            kb.add_edge(known, "y", "SEEN")
+        assert kb.edges(source=known, edge_type="SEEN").count() == 2 and kb.edges(edge_type="SEEN", limit=1).count() == 1
+        assert kb.constraints(subject="toyota").first().doc_count == 2 and kb.constraints(min_score=5.0).count() == 0
+        hit = kb.answer("toyota battery", 1)[0]
+        assert (hit["subject"], hit["grounding"]["type"]) == ("toyota", "text") and hit["score"] > 0
+        told = kb.full_search("toyota invest", now=F.lit("2026-03-06").cast("timestamp"))
+        assert {r.subject for r in told["facts"].collect()} == {"toyota", "ford"} and told["constraints"].count() == 2
+        assert [r.timestamp for r in told["timeline"].collect()] == sorted(r.timestamp for r in told["timeline"].collect())
+        assert kb.observe("Ford invests in a battery.", at=datetime(2026, 3, 7, tzinfo=UTC)) == {"facts_added": 1, "facts_reinforced": 0}
+        assert kb.observe("Ford invests in a battery. Ford never invests in a battery.", at=datetime(2026, 3, 8, tzinfo=UTC)) == {"facts_added": 0, "facts_reinforced": 2}
+        assert kb.vacuum() > 0 and kb.vacuum() == 0
         assert kb.reason("Toyota invests in battery")["label"] in ("SUPPORTS", "NOT ENOUGH INFO", "REFUTES")
+        (tmp_path / "kb" / "facts" / "CURRENT").unlink()
+        with pytest.raises(FileNotFoundError):
+            kb.table("facts")
+    full = {r.subject: r for r in extract.text_facts(docs.where("doc_id = 'd1'"), v.frame(spark)).collect()}
+    assert full["ford"].spans["object"].text == "batteries" and full["ford"].support["subject"] == "direct" and full["toyota"].object_meta == {"type": "feature"}
+    assert full["toyota"].importance_score == pytest.approx(0.3 * full["toyota"].confidence + 0.2 * full["toyota"].importance.specificity + 0.15)
     assert extract.text_facts(docs, v.frame(spark)).count() == 3
+
+
+def test_masses_of_logits(spark):
+    m = spark.range(1).select(belief.from_logits(F.lit(2.0), F.lit(1.0), F.lit(0.0)).alias("m")).first().m
+    powers = [math.exp(x) for x in (2, 1, 0)]
+    share = [p / sum(powers) for p in powers]
+    theta = 0.5 * (1 - share[0])
+    assert (m.s, m.u, m.r, m.theta) == pytest.approx((*[x * (1 - theta) for x in share], theta))

@@ -22,7 +22,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fold, release, slices, table, texts
@@ -168,19 +168,24 @@ class Scorer:
         return out
 
 
-def first_of(rows: DataFrame, order: list, most: int, slices_: int = 64) -> DataFrame:
-    """The first rows of each language: first of each slice of its rows, so that a language of most rows is spread over tasks, then of these."""
-    sliced = rows.withColumn("_s", F.pmod(F.xxhash64(*rows.columns), F.lit(slices_)))
-    for keys in (["lang", "_s"], ["lang"]):
-        sliced = sliced.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
-    return sliced.drop("_s")
+def first_of(rows: DataFrame, order: list, most: int, level: Column | None = None) -> DataFrame:
+    """The first rows of each language in this order. Rows are counted by level (by default the first of order; it must rise with the order) first, and only levels up to that of the last row wanted are
+    ranked; so a language of most rows sends its counts to one task and not its rows."""
+    levels = rows.withColumn("_l", order[0] if level is None else level)
+    counts = levels.groupBy("lang", "_l").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("lang").orderBy("_l")) - F.col("_c")
+    last = counts.withColumn("_b", before).where(F.col("_b") < most).groupBy("lang").agg(F.max("_l").alias("_last"))
+    near = levels.join(F.broadcast(last), "lang").where("_l <= _last")  # a row for each language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_l", *order))
+    return near.withColumn("_n", place).where(F.col("_n") <= most).drop("_n", "_l", "_last")
 
 
 def fit(training: DataFrame, pieces: dict[str, int], max_documents: int = 1000, max_words: int = 8000, max_letters: int = 40) -> tuple[list[str], np.ndarray]:
     """training: doc_id, text, lang."""
     spark = training.sparkSession
     known = training.where("lang IS NOT NULL")
-    picked = cut(first_of(known.select("doc_id", "lang").distinct(), [F.xxhash64("doc_id"), F.col("doc_id")], max_documents))
+    h = F.xxhash64("doc_id")
+    picked = cut(first_of(known.select("doc_id", "lang").distinct(), [h, F.col("doc_id")], max_documents, F.shiftright(h, 52)))  # 4096 levels
     sample = known.join(F.broadcast(picked), ["doc_id", "lang"])  # at most max_documents for each language
 
     def counted(batches):
@@ -193,7 +198,7 @@ def fit(training: DataFrame, pieces: dict[str, int], max_documents: int = 1000,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["lang", "word", "n"])
 
     counts = sample.select("lang", "text").mapInArrow(counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = first_of(counts, [F.desc("n"), F.col("word")], max_words)
+    top = first_of(counts, [F.desc("n"), F.col("word")], max_words, -F.col("n"))
     words: dict[str, Counter] = {}
     for lang, word, n in zip(*(c.to_pylist() for c in top.toArrow().columns), strict=True):
         words.setdefault(lang, Counter())[word.decode("utf-8", "replace").lower()] += n

@@ -13,8 +13,9 @@ A value where more than `most` fingerprints meet is not left to one task: its fi
 of the bits not yet used, of which linked ones share at least one (three differing bits can't touch all four), and so on
 down; this loses no link. Each task reports a spanning forest of the links it finds, not the links.
 
-similar() and representatives(), which the pipeline uses, group texts by the similarity of their shingle sets instead, and
-find every pair that is similar enough by the prefixes of the sets.
+similar() and representatives(), which the pipeline uses, take this search's links between fingerprints as candidates and
+decide each by the similarity of the shingle sets. As fingerprints don't find all pairs that are so similar, the prefixes of
+the sets then find the rest, between the groups that the search leaves.
 
 Cases: null and empty texts and those of white space only have fingerprint 0, which links like any other; with fewer words
 than a shingle has, the whole sequence is the only shingle; repeated rows and ids are reported each (equal ids count as one
@@ -93,8 +94,9 @@ def possible(size_a: np.ndarray, map_a: np.ndarray, size_b: np.ndarray, map_b: n
 
 
 def filtered(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs u, v that can be so similar by their bit maps. sketches: node, size, bits."""
-    one, two = (sketches.select(F.col("node").alias(c), F.col("size").alias(f"_s{c}"), F.col("bits").alias(f"_b{c}")) for c in "uv")
+    """The pairs u, v that can be so similar by their bit maps. sketches: node, size, bits (with component, only pairs of different ones)."""
+    named = "component" in sketches.columns
+    one, two = (sketches.select(F.col("node").alias(c), F.col("size").alias(f"_s{c}"), F.col("bits").alias(f"_b{c}"), *[F.col("component").alias(f"_c{c}")] * named) for c in "uv")
 
     def kept(batches):
         for batch in batches:
@@ -108,7 +110,8 @@ def filtered(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
                 keep[at] = possible(sizes[0][at], both[0], sizes[1][at], both[1], least)
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "_su", "_bu", "_sv", "_bv").mapInArrow(kept, "u long, v long")
+    both = pairs.join(one, "u").join(two, "v")
+    return (both.where("_cu <> _cv") if named else both).select("u", "v", "_su", "_bu", "_sv", "_bv").mapInArrow(kept, "u long, v long")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -146,7 +149,7 @@ def common_shingles(docs: DataFrame, shingle: int, sampled: int = 10_000, often:
 
 
 def profiles(docs: DataFrame, least: float, shingle: int) -> DataFrame:
-    """doc_id; a digest of the set of shingles (two longs); size of the set; its prefix, rare shingles first; its bit map; of every row."""
+    """doc_id; a digest of the set of shingles (two longs); size of the set; its prefix, rare shingles first; its bit map; the fingerprint of op7_simhash; of every row."""
     common = common_shingles(docs, shingle)
     by_hash = np.argsort(common)
     held = common[by_hash]
@@ -154,7 +157,7 @@ def profiles(docs: DataFrame, least: float, shingle: int) -> DataFrame:
     def profiled(batches):
         release()
         for batch in (part for whole in batches for part in slices(whole)):
-            firsts, seconds, sizes, prefixes, maps = [], [], [], [], []
+            firsts, seconds, sizes, prefixes, maps, prints = [], [], [], [], [], []
             for text in texts(batch):
                 h = np.unique(shingle_hashes(text, shingle))
                 digest = xxhash.xxh3_128_digest(h.tobytes())
@@ -167,11 +170,12 @@ def profiles(docs: DataFrame, least: float, shingle: int) -> DataFrame:
                 sizes.append(len(h))
                 prefixes.append(ordered[: prefix_size(len(h), least)].view(np.int64))
                 maps.append(parities(h))
-            arrays = [batch.column("doc_id"), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "d1", "d2", "size", "prefix", "bits"])
+                prints.append(_signed(fingerprint(text)))
+            arrays = [batch.column("doc_id"), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "d1", "d2", "size", "prefix", "bits", "print"])
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profiled, "doc_id long, d1 long, d2 long, size int, prefix array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(profiled, "doc_id long, d1 long, d2 long, size int, prefix array<long>, bits binary, print long")
 
 
 def _near_in_size(batches, least: float, steps: int | None):
@@ -506,7 +510,7 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 def alike(pairs: DataFrame, docs: DataFrame, least: float, shingle: int) -> DataFrame:
     """u, v: the pairs whose sets of shingles have that Jaccard similarity, computed exactly from the texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    asked = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    asked = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked")
     if asked.count() <= ASKED:  # so few that all tasks can know them; only their texts are dealt then
         rows = rows.join(F.broadcast(asked), "node", "left_semi")
     one, two = (rows.select(F.col("node").alias(c), F.col("text").alias(f"_{c}")) for c in "uv")
@@ -524,30 +528,44 @@ def alike(pairs: DataFrame, docs: DataFrame, least: float, shingle: int) -> Data
     return pairs.join(one, "u").join(two, "v").select("u", "v", "_u", "_v").mapInArrow(kept, "u long, v long").distinct()
 
 
+def searched(marks: DataFrame, distance: int = 3, parts: int = 4) -> DataFrame:
+    """u < v: candidates of the search over fingerprints, from nodes with theirs (node, print): links that join whatever fingerprints link, and each node with the first of its own fingerprint."""
+    distinct = written(marks.groupBy("print").agg(F.min("node").alias("node")), "prints")
+    own = marks.select("print", F.col("node").alias("v")).join(distinct.withColumnRenamed("node", "u"), "print").select("u", "v")
+    found = links(distinct, distance, parts).select("u", "v").unionAll(own)
+    return found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5, near: int = 2) -> DataFrame:
     """doc_id, component_id of every row with an id: groups of texts whose sets of shingles are at least so similar.
 
     Equal sets (by 128 bits of their hashes) are taken together, and each other pair is decided by the exact Jaccard.
-    Candidates are complete: in an order of shingles that all sets share, the first fifth of either of two sets that are
-    similar to 0.8 has a shingle that the other's has too. First every row is compared with the next rows in size of each
+    First come the links that the search of op7_simhash finds between the fingerprints. They miss some of the pairs that are
+    so similar; what is still apart is found by prefixes, with complete candidates: in an order of shingles that all sets
+    share, the first fifth of either of two sets that are
+    similar to 0.8 has a shingle that the other's has too. Every row is compared with the next rows in size of each
     of its keys; then, as this joins most of what is alike, with the first row of the key that is in another group still and
     that the bit maps allow, and at last, as hardly any are left, with all such rows. Keys of up to `near` + 1 rows are done after the first step. Rows of one id with different
     texts are one node: it has the sets of all of them.
     """
     seen = written(profiles(docs.where("doc_id IS NOT NULL"), least, shingle), "profiles")
-    nodes = cut(seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
+    nodes = written(seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "nodes")
     distinct = seen.withColumnRenamed("doc_id", "node").join(nodes, ["d1", "d2", "node"]).dropDuplicates(["d1", "d2", "node"])
-    sketches = written(distinct.select("node", "size", "bits"), "sketches")
+    sketches = written(distinct.select("node", "size", "bits", "print"), "sketches")
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        return written(alike(written(pairs, "told"), docs, least, shingle), "alike")
+
+    links = decided(filtered(searched(sketches.select("node", "print")), sketches, least))
+    marked = sketches.select("node", "size", "bits").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     met = written(meeting(entries_of(distinct), least, near), "met")
-    told = filtered(met.where("u IS NOT NULL").select("u", "v").distinct(), sketches, least)
-    first = cut(alike(cut(told), docs, least, shingle))
-    links = first
+    links = links.unionAll(decided(filtered(met.where("u IS NOT NULL").select("u", "v").distinct(), written(marked, "marked"), least)))
     for partners in (1, None):
         several = met.where("key IS NOT NULL").select("key", "node", "held").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
         # A key whose rows are of one group by now has nothing to tell.
         split = several.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        named = cut(several.join(split, "key", "left_semi")).join(sketches.select("node", "bits"), "node").select("key", "node", "held", "component", "bits")
-        links = links.unionAll(cut(alike(cut(meeting_apart(named, least, partners)), docs, least, shingle)))
+        named = written(several.join(split, "key", "left_semi"), "several").join(sketches.select("node", "bits"), "node").select("key", "node", "held", "component", "bits")
+        links = links.unionAll(decided(meeting_apart(named, least, partners)))
     grouped = components(links)
     labelled = nodes.join(grouped, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     return seen.select("doc_id", "d1", "d2").join(labelled, ["d1", "d2"]).select("doc_id", "component_id")

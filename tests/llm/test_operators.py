@@ -179,6 +179,21 @@ def test_similar_matches_exact_jaccard(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar(frame(spark, rows)).collect()} == {i: root(i) for i in parent}
 
 
+def test_similar_takes_the_candidates_of_the_fingerprint_search(spark, monkeypatch):
+    rows, asked = edited(40), []
+    monkeypatch.setattr(simhash, "links", lambda distinct, *a, f=simhash.links, **b: asked.append(distinct.count()) or f(distinct, *a, **b))
+    monkeypatch.setattr(simhash, "meeting", lambda entries, *a, f=simhash.meeting, **b: f(entries.limit(0), *a, **b))
+    found = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, rows)).collect()}
+    prints, want = {r[0]: brute_print(r[1]) for r in rows}, true_links(rows)
+    near = [p for p in want if (prints[p[0]] ^ prints[p[1]]).bit_count() <= 3]
+    assert asked == [len(set(prints.values()))] and len(near) > 10
+    assert sum(found[a] == found[b] for a, b in near) >= 0.9 * len(near)  # alone, without the prefixes
+    told = {i: i for i in found}
+    for a, b in sorted(want):  # and nothing that isn't alike
+        told = {i: told[a] if x == told[b] else x for i, x in told.items()}
+    assert all(told[i] == told[c] for i, c in found.items())
+
+
 def test_bit_maps_lose_no_similar_pair():
     rng = np.random.default_rng(3)
     pruned = 0

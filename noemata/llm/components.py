@@ -1,5 +1,8 @@
 """Connected components of a graph given by its links: alternating large-star and small-star steps, each two aggregations and a join.
 
+Links are reduced to forests by task first. Up to SHARE links, before that or after, are what one task reduces anyway: it
+tells the components then, without rounds.
+
 The joins bring a node's links to its least neighbour. Of a node with more than HUB links these stay where they are, and the
 least neighbours of such nodes (there are fewer than twice the links over HUB) are sent to all tasks.
 """
@@ -10,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 #: Links of a node over which they stay where they are; links that one task reduces to a forest.
 HUB, SHARE = 200_000, 200_000
@@ -39,6 +42,27 @@ def forest(links: DataFrame) -> DataFrame:
     return links.mapInArrow(kept, "u long, v long")
 
 
+def settled(links: DataFrame) -> DataFrame:
+    """node, component of links that all are in one partition."""
+
+    def told(batches):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in list(parent)], pa.int64())], names=["node", "component"])
+
+    return links.mapInArrow(told, "node long, component long")
+
+
 def _least(both: DataFrame) -> DataFrame:
     return both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
 
@@ -61,9 +85,13 @@ def _hubs(least: DataFrame, n_links: int) -> DataFrame | None:
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component: the smallest node that can be reached, for every node of links (u, v: long) but those that are the smallest themselves. Rounds needed grow with the logarithm of the longest chain."""
-    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), "links")
     before, n = None, edges.count()
-    edges = cut(forest(edges.coalesce(max(1, n // SHARE))))
+    if n > SHARE:
+        edges = written(forest(edges.distinct().coalesce(n // SHARE)), "forest")
+        n = edges.count()
+    if n <= SHARE:
+        return written(settled(edges.coalesce(1)), "components")
     for _ in range(rounds):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both)

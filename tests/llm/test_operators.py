@@ -248,6 +248,23 @@ def test_components_of_a_long_chain(spark):
     assert all(found[i] == (0 if i <= 120 else 121) for i in found) and len(found) in (199, 200, 201)
 
 
+@pytest.mark.parametrize("share", [3, 30])
+def test_components_of_more_links_than_a_task_takes(spark, monkeypatch, share):
+    monkeypatch.setattr(components, "SHARE", share)
+    links = [(i, i + 1) for i in range(60) if i != 40] + [(90, k) for k in range(50, 58)] + [(5, 5)]
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long").repartition(4)).collect()}
+    assert {i: c for i, c in found.items() if i != c} == {i: 0 if i <= 40 else 41 for i in [*range(61), 90] if i not in (0, 41)}
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(100)], "u long, v long")
+    spark.sparkContext.setJobGroup("few", "few")
+    found = {r.node: r.component for r in components.components(links).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few")
+    spark.sparkContext.setJobGroup("others", "others")
+    assert found == {i: 0 for i in range(1, 101)} and 0 < len(jobs) <= 6
+
+
 # suffix arrays
 
 

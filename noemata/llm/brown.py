@@ -44,7 +44,9 @@ from .common import flat, fold, release, slices, table, texts, written
 
 END = b""
 #: Words counted, words remembered, and cells of words by class held by a task before it passes them on or forgets them.
-FLUSH, MEMORY, CELLS = 400_000, 600_000, 2_000_000
+FLUSH, MEMORY, CELLS = 200_000, 250_000, 2_000_000
+#: Bytes of text that are made into words at once.
+TEXTS = 1 << 20
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -67,7 +69,7 @@ def counts(docs: DataFrame) -> DataFrame:
             held.clear()
             return out
 
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, TEXTS)):
             for text in texts(batch):
                 held.update(tokens(text))
             if len(held) > FLUSH:
@@ -83,10 +85,11 @@ class Items(dict):
 
     def __init__(self, words: list[bytes], n_endings: int):
         super().__init__({w: i for i, w in enumerate(words)})
-        self.fixed, self.n_endings = len(words), n_endings
+        self.groups = list(range(len(words), len(words) + n_endings))  # one number for all words of a group
+        self.n_endings = n_endings
 
     def __missing__(self, word: bytes) -> int:
-        item = self.fixed + ending(word, self.n_endings)
+        item = self.groups[ending(word, self.n_endings)]
         if len(self) < MEMORY:
             self[word] = item
         return item
@@ -99,7 +102,7 @@ def encoded(docs: DataFrame, trained: F.Column, near: list[bytes], n_endings: in
     def coded(batches):
         release()
         items, n_near, part, row = Items(sent.value, n_endings), len(sent.value), TaskContext.get().partitionId(), 0
-        for batch in (some for whole in batches for some in slices(whole)):
+        for batch in (some for whole in batches for some in slices(whole, TEXTS)):
             codes, words, kinds, times, stops = [], [], [], [], [0]
             for text in texts(batch):
                 found = tokens(text)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -553,6 +554,15 @@ def test_class_bigram_scores_match_brute_force(spark, options):
         assert math.isclose(got[r[0]], sum(math.log10(chance(a, b)) for a, b in zip([brown.END, *x], x, strict=False)), rel_tol=1e-9)
 
 
+def test_items_hold_few_words_and_tell_all():
+    tracemalloc.start()
+    items = brown.Items([b"a", b"b"], 7)
+    told = all(items[b"w%d" % k] == 2 + brown.ending(b"w%d" % k, 7) for k in range(400_000))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert told and held < 30e6
+
+
 def test_later_words_move_to_the_best_class():
     """Moving each word alone by the gains is what the likelihood of the class bigrams says."""
     rng = np.random.default_rng(8)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -491,6 +492,30 @@ def test_packing(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_packing_learns_each_word_once(monkeypatch):
+    """Marks after a word are no reason to encode it again, and small batches go through the encoder together; the ids are the tokenizer's, also where few words are remembered."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    vocabulary, learned, learn = public_tokenizers.path("word_bpe_49k.json"), [], packing.Ids._learn
+    monkeypatch.setattr(packing.Ids, "_learn", lambda self, words: learned.extend(words) or learn(self, words))
+    tokenizer = Tokenizer.from_file(vocabulary)
+    packing.remembered("packing").clear()
+    packing.Ids(vocabulary, 100).of(pa.array(["River.!! river,%%% river river. (RIVER)", None, "", " river.!! river,%%%\n"]))
+    assert sorted(learned) == [b"(river", b")", b",%%%", b".", b".!!", b"river"]
+    rows = ["it's. x'. 'll! don't.' a.b, É. é.!! ½.", None, "", " \t\u00a0x.\u0085 ", "Foo.<|endoftext|>. STOP.|> <|ENDOFTEXT|>", "x.\u0301 a<\u0338 İ. ß.", "no " * 40 + "#" * 300]
+    want = [np.array(tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in rows]
+    for most in (1, 3, 1000):
+        packing.remembered("packing").clear()
+        encoder = packing.Ids(vocabulary, most)
+        assert [encoder.of(pa.array(rows * 2)) for _ in range(3)] == [want * 2] * 3
+    packing.remembered("packing").clear()
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [x]}, schema=pa.schema({"doc_id": pa.int64(), "text": pa.string()})) for i, x in enumerate(rows)]
+    assert [b.to_pydict() for b in packing._gathered(iter(batches))] == [{"doc_id": list(range(len(rows))), "text": rows}]
+    monkeypatch.setattr(packing, "AT_ONCE", 50)
+    assert [x for b in packing._gathered(iter(batches)) for x in b["text"].to_pylist()] == rows
+
+
 def test_shortest_pack_first():
     got = packing.place({6: 2, 4: 1, 3: 3, 1: 1}, 10)
     assert got == [(6, 0, 2, 0, 0), (4, 0, 1, 0, 6), (3, 0, 1, 1, 6), (3, 1, 2, 2, 0), (1, 0, 1, 2, 3)]

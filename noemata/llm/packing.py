@@ -36,7 +36,7 @@ SLICE, BROADCAST = 2_000, 200_000
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 #: Text bytes whose words are told apart at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 
 
 #: Letters before this one are composed, and lower-case one by one, but for the dotted capital.
@@ -139,6 +139,8 @@ class Ids:
         codes = words.indices.to_numpy()
         firsts, counts = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
         ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+        del lists, words, stems, marks, parts, known, codes
+        pa.default_memory_pool().release_unused()
         packed = _ranges(ids, firsts, counts).astype("<u4", copy=False).tobytes()
         return [packed[4 * a : 4 * b] for a, b in itertools.pairwise(ends.tolist())]
 

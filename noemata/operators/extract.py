@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter, defaultdict
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import ACTIVATION, LEAST_CONFIDENCE, OBSERVED_IMPORTANCE, ROLE_ACTIVATION, TOP_BY_ROLE, TOP_BY_TYPE
@@ -37,50 +39,147 @@ def activations(units: DataFrame, anchors: DataFrame, unit: list[str], column: s
     return counted.groupBy(*unit, "key", "type").agg(F.max(F.log1p(F.col("count"))).alias("activation"))
 
 
+def _made(fields: dict) -> Column:
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+def active_in(sentence: Column, anchors: DataFrame) -> Column:
+    """Array of (key, type, activation): what activations() has for a unit, from its own row. The vocabulary is small and goes into the expression."""
+    words_of, phrases = defaultdict(Counter), []
+    for key, kind, token in sorted(tokens_of(anchors).where("token IS NOT NULL").collect()):
+        if " " in token:
+            phrases.append((key, kind, token))
+        else:
+            words_of[token][key, kind] += 1
+    hit = lambda key, kind, n: _made({"key": key, "type": kind, "less": -n.cast("long")})
+    none = F.array().cast("array<struct<key: string, type: string, less: bigint>>")
+
+    def of(words: Column) -> Column:
+        found = none
+        if words_of:
+            entries = [x for t, named in words_of.items() for x in (F.lit(t), F.array(*[_made({"key": F.lit(k), "type": F.lit(t_), "times": F.lit(n)}) for (k, t_), n in named.items()]))]
+            of_token = F.create_map(*entries)
+            count = lambda kept, t: F.size(F.filter(kept, lambda w: w == t))
+            hits = lambda kept: F.flatten(F.transform(F.array_distinct(kept), lambda t: text.bound(count(kept, t), lambda n: F.transform(of_token[t], lambda a: hit(a["key"], a["type"], a["times"] * n)))))
+            found = text.bound(F.filter(words, lambda w: w.isin(*words_of)), lambda kept: F.when(F.size(kept) > 0, hits(kept)).otherwise(none))
+        if phrases:
+            listed = F.array(*[_made({"key": F.lit(k), "type": F.lit(t_), "token": F.lit(f" {t} "), "n": F.lit(len(t) + 2)}) for k, t_, t in phrases])
+            times = lambda line, x: (F.length(line) - F.length(F.replace(line, x["token"], F.lit("")))) / x["n"]
+            said = lambda line: F.transform(F.filter(listed, lambda x: F.contains(line, x["token"])), lambda x: hit(x["key"], x["type"], times(line, x)))
+            found = F.concat(found, text.bound(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), said))
+        return found
+
+    same = lambda x, y: (x["key"] == y["key"]) & (x["type"] == y["type"])
+    most = lambda hits: F.filter(hits, lambda x, i: (i == 0) | ~same(F.get(hits, i - 1), x))
+    words = F.regexp_extract_all(F.lower(sentence), F.lit(r"[a-z0-9_']+"), F.lit(0))
+    counted = text.bound(F.sort_array(text.bound(words, of)), most)
+    return F.transform(counted, lambda x: _made({"key": x["key"], "type": x["type"], "activation": F.log1p(-x["less"])}))
+
+
+def encoded(documents: DataFrame, anchors: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """doc, sent_idx, sentence, active (key, type, activation) of each sentence of documents (doc, text).
+
+    A sentence is worked out within its row, so nothing is shuffled. Only documents that share an id, whose sentences of one
+    place count together, are grouped.
+    """
+    rows = documents.select(doc, "text")
+    shared = rows.groupBy(doc).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(doc).alias("_doc"))
+    alone = lambda df: text.sentences(df).withColumn("active", active_in(F.col("sentence"), anchors))
+    if not shared.take(1):
+        return alone(rows)
+    is_shared = rows[doc].eqNullSafe(shared["_doc"])
+    together, unit = text.sentences(rows.join(shared, is_shared, "left_semi")), [doc, "sent_idx"]
+    active = activations(together, anchors, unit).groupBy(*unit).agg(F.collect_list(F.struct("key", "type", "activation")).alias("active"))
+    active = active.select(F.col(doc).alias("_doc"), F.col("sent_idx").alias("_at"), "active")
+    met = together.groupBy(*unit).agg(F.collect_list("sentence").alias("sentences")).join(active, F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("sent_idx") == F.col("_at")))
+    first = met.select(*unit, F.get("sentences", F.lit(0)).alias("sentence"), "active", F.slice("sentences", 2, F.size("sentences")).alias("others"))
+    return alone(rows.join(shared, is_shared, "left_anti")).withColumn("others", F.array().cast("array<string>")).unionByName(first)
+
+
+def listed(active: DataFrame, unit: list[str]) -> DataFrame:
+    """unit columns, key, type, activation of what encoded() gives."""
+    return active.select(*unit, F.inline(F.concat("active")))
+
+
+def _best(active: Column, by: Column, value: str, k: int) -> Column:
+    """The k of the largest value of each by, ties by key, in turn: the entries with by and rank. Within the row."""
+    sorted_ = F.sort_array(F.transform(active, lambda x: _made({"by": by(x), "less": -x[value], "key": x["key"], "x": x})))
+    ranks = lambda rows: text.bound(F.transform(rows, lambda x: x["by"]), lambda bys: F.transform(rows, lambda x, i: _made({"by": x["by"], "rank": (i + 2 - F.array_position(bys, x["by"])).cast("int"), "x": x["x"]})))
+    return F.filter(text.bound(sorted_, ranks), lambda x: x["rank"] <= k)
+
+
+def _best_by_type(k: int, least: float) -> Column:
+    return _best(F.filter("active", lambda x: x["activation"] >= least), lambda x: x["type"], "activation", k)
+
+
+def _shares(active: Column) -> Column:
+    """activation over the unit's largest (1 where that is 0) beside it."""
+    most = lambda a: F.array_max(F.transform(a, lambda x: x["activation"]))
+    share = lambda a: text.bound(most(a), lambda m: F.transform(a, lambda x: _made({"key": x["key"], "type": x["type"], "activation": x["activation"], "share": x["activation"] / F.when(m > 0, m).otherwise(F.lit(1.0))})))
+    return text.bound(active, share)
+
+
+def _best_by_role(k: int = TOP_BY_ROLE, least: float = ROLE_ACTIVATION) -> Column:
+    return _best(F.filter(_shares(F.col("active")), lambda x: x["activation"] >= least), lambda x: role_of_type(x["type"]), "share", k)
+
+
 def best_by_type(active: DataFrame, unit: list[str], k: int = TOP_BY_TYPE, least: float = ACTIVATION) -> DataFrame:
-    by = Window.partitionBy(*unit, "type").orderBy(F.desc("activation"), "key")
-    return active.where(F.col("activation") >= least).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    found = F.transform(_best_by_type(k, least), lambda x: _made({"key": x["x"]["key"], "type": x["by"], "activation": x["x"]["activation"], "rank": x["rank"]}))
+    return active.select(*unit, F.inline(found))
 
 
 def normalised(active: DataFrame, unit: list[str]) -> DataFrame:
-    """activation over the unit's largest (1 where that is 0)."""
-    most = F.max("activation").over(Window.partitionBy(*unit))
-    return active.withColumn("share", F.col("activation") / F.when(most > 0, most).otherwise(F.lit(1.0)))
+    """key, type, activation and share: activation over the unit's largest."""
+    return active.select(*unit, F.inline(_shares(F.col("active"))))
 
 
 def best_by_role(active: DataFrame, unit: list[str], k: int = TOP_BY_ROLE, least: float = ROLE_ACTIVATION) -> DataFrame:
-    rows = normalised(active, unit).where(F.col("activation") >= least).withColumn("role", role_of_type(F.col("type")))
-    by = Window.partitionBy(*unit, "role").orderBy(F.desc("share"), "key")
-    return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    found = F.transform(_best_by_role(k, least), lambda x: _made({"key": x["x"]["key"], "type": x["x"]["type"], "activation": x["x"]["activation"], "share": x["x"]["share"], "role": x["by"], "rank": x["rank"]}))
+    return active.select(*unit, F.inline(found))
+
+
+def _three(ranked: Column, tests: tuple, value: str, confidence, kept) -> Column:
+    """Subjects, predicates and objects of a unit met within its row, at most k ** 3 entries: the three, their values and the confidence."""
+
+    def met(rows: Column) -> Column:
+        subjects, predicates, objects = (F.filter(rows, t) for t in tests)
+        entry = lambda s, p, o: _made({"subject": s["x"]["key"], "predicate": p["x"]["key"], "object": o["x"]["key"], **{f"{r}_activation": x["x"][value] for r, x in zip(ROLES, (s, p, o), strict=True)}, "confidence": confidence(*(x["x"][value] for x in (s, p, o)))})
+        every = F.flatten(F.transform(subjects, lambda s: F.flatten(F.transform(predicates, lambda p: F.transform(objects, lambda o: entry(s, p, o))))))
+        return F.filter(every, kept)
 
+    return text.bound(ranked, met)
 
-def _three(ranked: DataFrame, unit: list[str], roles: tuple, value: str) -> DataFrame:
-    """Subjects, predicates and objects of a unit met: at most k ** 3 rows each. They are gathered once for each unit, and meet within its row."""
-    gathered = ranked.groupBy(*unit).agg(*[F.collect_list(F.when(F.expr(cond), F.struct(F.col("key").alias(name), F.col(value).alias(f"{name}_activation")))).alias(f"_{name}") for name, cond in roles])
-    for name, _ in roles:
-        kept = [c for c in gathered.columns if c != f"_{name}"]
-        gathered = gathered.select(*kept, F.inline(f"_{name}"))
-    return gathered
+
+def _triples_by_least() -> Column:
+    tests = (lambda x: x["by"] == "actor", lambda x: x["by"] == "relation", lambda x: x["by"].isin("actor", "feature"))
+    return _three(_best_by_type(TOP_BY_TYPE, ACTIVATION), tests, "activation", lambda *v: scores.confidence_of_least(F.least(*v)), lambda x: x["subject"] != x["object"])
+
+
+def _triples_by_mean() -> Column:
+    tests = (lambda x: x["by"] == "subject", lambda x: x["by"] == "predicate", lambda x: x["by"] == "object")
+    return _three(_best_by_role(), tests, "share", scores.geometric, lambda x: x["confidence"] >= LEAST_CONFIDENCE)
 
 
 def triples_by_least(active: DataFrame, unit: list[str]) -> DataFrame:
     """actor x relation x (actor or feature), subject unlike object; confidence from the least activation."""
-    ranked = best_by_type(active, unit)
-    found = _three(ranked, unit, (("subject", "type = 'actor'"), ("predicate", "type = 'relation'"), ("object", "type IN ('actor', 'feature')")), "activation").where("subject <> object")
-    least = F.least("subject_activation", "predicate_activation", "object_activation")
-    return found.withColumn("least", least).withColumn("confidence", scores.confidence_of_least(least))
+    return active.select(*unit, F.inline(_triples_by_least()))
 
 
 def triples_by_mean(active: DataFrame, unit: list[str]) -> DataFrame:
     """Best of each role; confidence the geometric mean of the shares."""
-    ranked = best_by_role(active, unit)
-    found = _three(ranked, unit, tuple((r, f"role = '{r}'") for r in ("subject", "predicate", "object")), "share")
-    mean = scores.geometric(F.col("subject_activation"), F.col("predicate_activation"), F.col("object_activation"))
-    return found.withColumn("confidence", mean).where(F.col("confidence") >= LEAST_CONFIDENCE)
+    return active.select(*unit, F.inline(_triples_by_mean()))
+
+
+def _with_triples(active: DataFrame, doc: str, triples: Column) -> DataFrame:
+    """doc, sent_idx, sentence and triples of the sentences that have any; documents without id have none. A generator, so triples are worked out once and before what reads them."""
+    rows = active.where(F.col(doc).isNotNull())
+    sentences = F.concat(F.array("sentence"), "others") if "others" in active.columns else F.array("sentence")
+    found = lambda t: F.transform(F.when(F.size(t) > 0, sentences).otherwise(F.array().cast("array<string>")), lambda s: _made({"sentence": s, "triples": t}))
+    return rows.select(doc, "sent_idx", F.inline(text.bound(triples, found)))
 
 
 def specificity(active: DataFrame, n_documents: int, least: float = ROLE_ACTIVATION) -> DataFrame:
-    """key, df, specificity: log1p(documents / (1 + units where active)), over the largest of all."""
+    """key, df, specificity: log1p(documents / (1 + units where active)), over the largest of all. active: key, activation."""
     counted = active.groupBy("key").agg(F.sum((F.col("activation") > least).cast("long")).alias("df"))
     idf = F.log1p(F.lit(float(n_documents)) / (1 + F.col("df")))
     rows = counted.withColumn("idf", idf)
@@ -109,10 +208,10 @@ def locations(*metas: F.Column) -> F.Column:
 
 
 def details(anchors: DataFrame) -> DataFrame:
-    """key, tokens, below (tokens of its descendants), meta (type and place in the hierarchy): what a fact says about each of its anchors. As small as the vocabulary."""
+    """key, tokens, pattern (of its tokens' span), below (tokens of its descendants), meta (type and place in the hierarchy): what a fact says about each of its anchors. As small as the vocabulary."""
     up = F.when(F.col("parent").isNotNull(), F.create_map(F.lit("parent"), F.col("parent"))).otherwise(F.create_map().cast("map<string, string>"))
     own = F.map_filter(F.coalesce("attrs", F.create_map().cast("map<string, string>")), lambda k, v: k.isin(*[f for f in HIERARCHY_FIELDS if f != "parent"]))
-    rows = anchors.select("key", "tokens", F.map_concat(up, own, F.create_map(F.lit("type"), F.col("type"))).alias("meta"))
+    rows = anchors.select("key", "tokens", text.longest_token_pattern(F.col("tokens")).alias("pattern"), F.map_concat(up, own, F.create_map(F.lit("type"), F.col("type"))).alias("meta"))
     lower = closure(anchors).where("depth > 0").join(anchors.select(F.col("key").alias("descendant"), "tokens"), "descendant")
     gathered = lower.groupBy(F.col("ancestor").alias("key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("below"))
     return rows.join(gathered, "key", "left").withColumn("below", F.coalesce("below", F.array().cast("array<string>")))
@@ -128,22 +227,21 @@ def _described(found: DataFrame, about: DataFrame) -> DataFrame:
 def text_facts(documents: DataFrame, anchors: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Facts of documents (doc, text): triples by geometric mean with all that a fact holds: ids, polarity, tense, temporal references, spans,
     support, attributes of its anchors, locations and importance. Specificity counts over all documents given."""
-    sentences = text.sentences(documents.select(doc, "text"))
-    unit = [doc, "sent_idx"]
-    active = activations(sentences, anchors, unit)
-    rarity = specificity(active, documents.count()).select("key", "specificity")
-    found = triples_by_mean(active, unit).join(sentences, unit)
+    active = encoded(documents, anchors, doc)
+    rarity = specificity(listed(active, []), documents.count()).select("key", "specificity")
+    sentence, refs = F.col("sentence"), F.col("temporal_refs")
+    said = _with_triples(active, doc, _triples_by_mean()).select("*", text.affirmed(sentence).alias("polarity"), text.tense(sentence).alias("tense"), text.temporal_refs(sentence).alias("temporal_refs"))
+    found = said.select(*[c for c in said.columns if c != "triples"], F.inline("triples"))
     found = _described(found, details(anchors).join(rarity, "key", "left"))
-    sentence, refs = F.col("sentence"), text.temporal_refs(F.col("sentence"))
     specific = sum((F.coalesce(F.col(f"_{r}.specificity"), F.lit(0.0)) for r in ROLES), F.lit(0.0)) / 3
-    spans = F.map_filter(F.create_map(*[x for r in ROLES for x in (F.lit(r), text.longest_token_span(sentence, F.col(f"_{r}.tokens")))]), lambda k, v: v.isNotNull())
+    spans = F.map_filter(F.create_map(*[x for r in ROLES for x in (F.lit(r), text.span_of(sentence, F.col(f"_{r}.pattern")))]), lambda k, v: v.isNotNull())
     support = F.create_map(*[x for r in ROLES for x in (F.lit(r), text.support(sentence, F.col(f"_{r}.tokens"), F.col(f"_{r}.below")))])
     metas = [F.col(f"_{r}.meta") for r in ROLES]
     parts = [F.col("confidence").alias("activation"), F.lit(0.0).alias("coherence"), specific.alias("specificity"), F.lit(1.0).alias("novelty"), F.lit(0.5).alias("reinforcement")]
     return found.select(
         text.fact_id(F.col(doc), F.col("sent_idx"), F.col("subject"), F.col("predicate"), F.col("object")).alias("fact_id"),
-        "subject", "predicate", "object", text.affirmed(sentence).alias("polarity"), "confidence", F.col(doc).cast("string").alias("doc_id"), "sent_idx", "sentence",
-        text.tense(sentence).alias("tense"), F.lit("simple").alias("aspect"), refs.alias("temporal_refs"), text.precision(refs).alias("precision"),
+        "subject", "predicate", "object", "polarity", "confidence", F.col(doc).cast("string").alias("doc_id"), "sent_idx", "sentence",
+        "tense", F.lit("simple").alias("aspect"), "temporal_refs", text.precision(refs).alias("precision"),
         spans.alias("spans"), support.alias("support"), *[m.alias(f"{r}_meta") for m, r in zip(metas, ROLES, strict=True)], locations(*metas).alias("locations"),
         F.struct(*parts).alias("importance"), scores.importance(F.col("confidence"), F.lit(0.0), specific, F.lit(1.0)).alias("importance_score"),
         grounding("text", doc_id=F.col(doc), sent_id=F.col("sent_idx"), char_start=F.lit(0), char_end=F.length("sentence"), sentence_text=sentence).alias("grounding"),
@@ -152,9 +250,8 @@ def text_facts(documents: DataFrame, anchors: DataFrame, doc: str = "doc_id") ->
 
 def observed_facts(documents: DataFrame, anchors: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Facts of observations (doc, text): triples by the least activation, polarity by the window before the predicate's span."""
-    sentences = text.sentences(documents.select(doc, "text"))
-    unit = [doc, "sent_idx"]
-    found = triples_by_least(activations(sentences, anchors, unit), unit).join(sentences, unit)
+    said = _with_triples(encoded(documents, anchors, doc), doc, _triples_by_least())
+    found = said.select(*[c for c in said.columns if c != "triples"], F.inline("triples"))
     found = found.join(F.broadcast(anchors.select(F.col("key").alias("predicate"), F.col("tokens").alias("_tokens"))), "predicate")
     span = text.first_token_span(F.col("sentence"), F.col("_tokens"))
     parts = [F.col("confidence").alias("activation"), *[F.lit(v).alias(n) for n, v in OBSERVED_IMPORTANCE]]

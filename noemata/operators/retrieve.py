@@ -89,20 +89,21 @@ def constraint_lookup(constraints: DataFrame, wanted: DataFrame, k: int = 10) ->
 
 
 def chains(starts: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
-    """start, anchor, step, node: along the edges of one anchor from each start (source, anchor). Edges of an anchor form a path, so each step is one row; a node that comes again ends it."""
-    spark = starts.sparkSession
-    starts.createOrReplaceTempView("_chain_starts")
-    edges.select("source", "target", "anchor").createOrReplaceTempView("_chain_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, anchor, step, node, path) AS (
-            SELECT source, anchor, 0, source, array(source) FROM _chain_starts
-            UNION ALL
-            SELECT w.start, w.anchor, w.step + 1, e.target, array_append(w.path, e.target)
-            FROM walk w JOIN _chain_edges e ON e.source = w.node AND e.anchor = w.anchor
-            WHERE w.step < {depth} AND NOT array_contains(w.path, e.target)
-        )
-        SELECT start, anchor, step, node FROM walk
-    """)
+    """start, anchor, step, node: along the edges of one anchor from each start (source, anchor). Edges of an anchor form a path, so each step is one row; a node that comes again ends it.
+
+    A step is a join of the walks, which hold their path, with the edges of their last node. The edges are dealt out once for all
+    steps and merged: broadcasts of all steps would meet in the memory of one task. Where a node has several, each goes on by a walk of its own, and all but the first leave out what they share (since).
+    """
+    links = edges.groupBy(F.col("source").alias("_source"), F.col("anchor").alias("_anchor")).agg(F.collect_list("target").alias("_targets")).hint("merge")
+    walks = starts.select(F.col("source").alias("start"), "anchor", F.lit(0).alias("since"), F.array("source").alias("path"))
+    for step in range(1, depth + 1):
+        last = F.when(F.size("path") == step, F.get("path", F.lit(step - 1)))
+        met = walks.withColumn("_last", last).join(links, (F.col("_last") == F.col("_source")) & (F.col("anchor") == F.col("_anchor")), "left")
+        further = F.filter(F.coalesce("_targets", F.array()), lambda t: ~F.array_contains("path", t))
+        met = met.select("start", "anchor", "since", "path", F.posexplode_outer(further).alias("_place", "_next"))
+        onward = F.when(F.col("_next").isNotNull(), F.concat("path", F.array("_next"))).otherwise(F.col("path"))
+        walks = met.select("start", "anchor", F.when(F.col("_place") > 0, step).otherwise(F.col("since")).alias("since"), onward.alias("path"))
+    return walks.select("start", "anchor", "since", F.posexplode("path").alias("step", "node")).where("step >= since").select("start", "anchor", "step", "node")
 
 
 def timeline(hits: DataFrame, key: str = "seq") -> DataFrame:

@@ -223,3 +223,33 @@ def test_masses_of_logits(spark):
     share = [p / sum(powers) for p in powers]
     theta = 0.5 * (1 - share[0])
     assert (m.s, m.u, m.r, m.theta) == pytest.approx((*[x * (1 - theta) for x in share], theta))
+
+
+def test_chains_of_branches_and_circles(spark):
+    """As the edges say one by one: branches go on apart, repeated edges count, a node that comes again ends the walk, other anchors are not followed."""
+    edges = [(1, 2, "a"), (2, 3, "a"), (2, 4, "a"), (4, 5, "a"), (3, 1, "a"), (3, 6, "b"), (5, 7, "a"), (5, 7, "a"), (7, 8, "a"), (9, 9, "a"), (2, None, "a")]
+    starts = [(1, "a"), (3, "b"), (9, "a"), (None, "a"), (1, "a")]
+    told = []
+
+    def walk(start, anchor, path):
+        told.append((start, anchor, len(path) - 1, path[-1]))
+        for s, t, a in edges:
+            if len(path) <= 5 and None not in (s, t) and s == path[-1] and a == anchor and t not in path:
+                walk(start, anchor, [*path, t])
+
+    for start, anchor in starts:
+        walk(start, anchor, [start])
+    made = retrieve.chains(spark.createDataFrame(starts, "source int, anchor string"), spark.createDataFrame(edges, "source int, target int, anchor string"), 5)
+    assert made.columns == ["start", "anchor", "step", "node"]
+    assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, told))
+
+
+def test_chains_are_no_recursive_query(spark):
+    """A recursive query stops over 1,000,000 rows; here over 50."""
+    limit = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, "50")
+    try:
+        found = retrieve.chains(spark.range(40).selectExpr("id * 10 AS source", "'a' AS anchor"), spark.range(400).selectExpr("id AS source", "id + 1 AS target", "'a' AS anchor"), 3)
+        assert found.count() == 160 and found.agg(F.max(F.col("node") - F.col("start"))).first()[0] == 3
+    finally:
+        spark.conf.unset(limit)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import CODE_RELATIONS
 
+PLACES = 2**31
+
 
 def unit_tokens(units: DataFrame, unit: list[str], column: str) -> DataFrame:
     """Distinct tokens of each unit."""
@@ -22,10 +24,19 @@ def frequent(tokens: DataFrame, most: int = 2000) -> DataFrame:
 
 
 def cooccurrence(tokens: DataFrame, unit: list[str], vocabulary: DataFrame) -> DataFrame:
-    """t1 <= t2, n: units that have both, tokens with themselves too. A unit is a line or sentence, so its pairs are few; they are made within the row."""
-    kept = tokens.join(F.broadcast(vocabulary.select("token")), "token").groupBy(*unit).agg(F.sort_array(F.collect_list("token")).alias("ts"))
-    pairs = F.flatten(F.transform("ts", lambda t, i: F.transform(F.slice("ts", i + 1, F.size("ts")), lambda u: F.struct(t.alias("t1"), u.alias("t2")))))
-    return kept.select(F.inline(pairs)).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"))
+    """t1 <= t2, n: units that have both, tokens with themselves too. A unit is a line or sentence, so its pairs are few; they are made within the row.
+
+    Tokens go as their place in the sorted vocabulary, and a pair as one number, which is counted and only then named.
+    """
+    places = vocabulary.select("token", F.row_number().over(Window.orderBy("token")).cast("int").alias("_at"))  # as few as the vocabulary
+    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small partitions, which grow by their pairs, are not put together
+    kept = tokens.join(F.broadcast(places), "token").select(*unit, "_at").repartition(n, *unit).groupBy(*unit).agg(F.sort_array(F.collect_list("_at")).alias("ts"))
+    first = kept.select(F.posexplode("ts").alias("i", "_1"), "ts")
+    pairs = first.select("_1", F.explode(F.slice("ts", F.col("i") + 1, F.size("ts"))).alias("_2"))
+    counted = pairs.groupBy((F.col("_1").cast("long") * PLACES + F.col("_2")).alias("_pair")).agg(F.count(F.lit(1)).alias("n")).select(F.expr(f"CAST(_pair DIV {PLACES} AS INT)").alias("_1"), (F.col("_pair") % PLACES).cast("int").alias("_2"), "n")
+    for i in (1, 2):
+        counted = counted.join(F.broadcast(places.select(F.col("_at").alias(f"_{i}"), F.col("token").alias(f"t{i}"))), f"_{i}")
+    return counted.select("t1", "t2", "n")
 
 
 def npmi(pairs: DataFrame, vocabulary: DataFrame, n_units: int) -> DataFrame:
@@ -45,7 +56,9 @@ def laplacian(edges: DataFrame) -> DataFrame:
 
 
 def clusters(edges: DataFrame, vocabulary: DataFrame, n_clusters: int, seed: int = 7) -> DataFrame:
-    """token, cluster: k-means over the eigenvectors of least eigenvalue. The Laplacian is of the vocabulary's size (a stated bound, 2000 tokens) and is solved on the driver."""
+    """token, cluster: k-means over the eigenvectors of least eigenvalue. The Laplacian is of the vocabulary's size (a stated bound, 2000 tokens) and is made and solved on the driver, from the edges worked out once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.linalg import Vectors
 
@@ -54,10 +67,12 @@ def clusters(edges: DataFrame, vocabulary: DataFrame, n_clusters: int, seed: int
     at = {t: i for i, t in enumerate(tokens)}
     if len(tokens) <= n_clusters:
         return spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, cluster int")
-    matrix = np.eye(len(tokens))
-    entries = laplacian(edges).toArrow()
-    one, two = ([at[t] for t in entries.column(c).to_pylist()] for c in ("t1", "t2"))
-    matrix[one, two] = entries.column("value").to_numpy()
+    near, found = np.zeros((len(tokens), len(tokens))), edges.toArrow()
+    one, two = (pc.index_in(found.column(c), value_set=pa.array(tokens, found.schema.field(c).type)).to_numpy() for c in ("t1", "t2"))
+    near[one, two] = near[two, one] = found.column("npmi").to_numpy()
+    degree = near.sum(axis=1)
+    degree[degree == 0] = 1
+    matrix = np.eye(len(tokens)) - near / np.sqrt(np.outer(degree, degree))
     _, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
     rows = spark.createDataFrame([(t, Vectors.dense(vectors[i, :n_clusters].tolist())) for t, i in at.items()], ["token", "features"])
     model = KMeans(k=n_clusters, seed=seed).fit(rows)
